@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.llm import bpe, chat
+from fieldlark.llm import bpe, chat, langid, quality, toxicity
 from fieldlark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,7 +17,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    back = bpe.decode(coded, path, public_tokenizers.PATTERN)
+    back = bpe.decode(coded, path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -51,8 +51,32 @@ FROM t GROUP BY conv_id
 """
 
 
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~_held_out()))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels").where(~_held_out()))
+    kept = ~F.col("base_failed") & quality.verdict(rules)
+    return quality.statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~_held_out()))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

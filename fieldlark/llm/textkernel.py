@@ -63,15 +63,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.up = _powers.down = np.empty(0, np.uint64)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of about 1 MB of text each, so that the arrays below stay small; null becomes empty."""
+def slices(texts: pa.Array, size: int = _SPLIT) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of about ``size`` bytes of text each, so that the arrays below stay small; null becomes empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SPLIT, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, texts.slice(at, to - at)
         at = to
 
