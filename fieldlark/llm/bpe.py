@@ -21,12 +21,13 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces that a worker remembers, and the longest it remembers; others are encoded anew.
-MEMORY, LONGEST = 500_000, 64
+MEMORY, LONGEST = 400_000, 64
 #: Pieces that the library encodes in a call.
 BATCH = 8192
 #: A stretch of bytes, again, and its first byte a third time.
@@ -95,11 +96,9 @@ class Codec:
         self.splitter = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.plain = pattern == PATTERN
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
-        back = {c: b for b, c in shown.items()}
-        self.bytes = {i: bytes(back[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
-        self.size = np.zeros(max(self.bytes) + 1, np.int64)
-        self.size[list(self.bytes)] = [len(b) for b in self.bytes.values()]
-        self.known: dict[str, list[int]] = {}
+        self.size = np.zeros(max(table.values()) + 1, np.int64)
+        self.size[list(table.values())] = [len(t) for t in table]
+        self.known: dict[str, bytes] = {}
 
     def kind(self, chars: np.ndarray) -> np.ndarray:
         """The classes of code points, by how the library's own splitter joins each to a letter, a digit or a sign."""
@@ -131,8 +130,8 @@ class Codec:
                     heappush(ready, (self.table[both], k, part[k], part[right[k]]))
         return [self.table[x] for x in part if x]
 
-    def fresh(self, pieces: list[str]) -> dict[str, list[int]]:
-        """The ids of pieces, by the library.
+    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, four bytes each, by the library.
 
         Among overlapping pairs of equal rank the library takes the first listed, not the leftmost. Those need
         a repeating stretch of bytes, so pieces that have one are merged here.
@@ -141,13 +140,14 @@ class Codec:
         for at in range(0, len(pieces), BATCH):
             some = pieces[at : at + BATCH]
             (e,) = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
-            ids = e.ids
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            ids = np.array(e.ids, np.int32)
+            ends = 4 * (np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in some])) + 1)
+            ids = ids.tobytes()
             out.update(zip(some, (ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
         for piece in pieces:
             raw = piece.encode()
             if len(raw) > LONGEST or REPEATS.search(raw):
-                out[piece] = self.merge(raw)
+                out[piece] = np.array(self.merge(raw), np.int32).tobytes()
         return out
 
     def pieces(self, texts: pa.LargeStringArray) -> tuple[pa.StringArray, np.ndarray]:
@@ -175,17 +175,13 @@ class Codec:
         coded = pieces.dictionary_encode()
         distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         found = self.known
-        if new := [p for p in distinct if p not in found]:
-            codes = self.fresh(new)
-            if len(found) + len(new) > MEMORY:
-                found.clear()
-            found.update((p, c) for p, c in codes.items() if len(p) <= LONGEST)
-            rest = self.fresh([p for p in distinct if p not in found and p not in codes]) if len(found) <= len(codes) else {}
-            ids = [found.get(p) or codes.get(p) or rest[p] for p in distinct]
-        else:
-            ids = [found[p] for p in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        codes = self.fresh([p for p in distinct if p not in found])
+        ids = [found[p] if p in found else codes[p] for p in distinct]
+        if len(found) + len(codes) > MEMORY:
+            found.clear()
+        found.update((p, c) for p, c in codes.items() if len(p) <= LONGEST)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         start = np.cumsum(size) - size
         many = size[which]
         end = np.cumsum(many)
@@ -205,6 +201,15 @@ class Codec:
         return pa.ListArray.from_arrays(ids.offsets, (at - np.repeat(before, per_row)).astype(np.int32))
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> pa.BinaryArray:
+    """The bytes of each id, by reversing the characters of its token."""
+    shown = byte_characters()
+    back = {c: b for b, c in shown.items()}
+    tokens = {rank: "".join(map(shown.__getitem__, token)) for token, rank in ranks(path).items()}
+    return pa.array([bytes(map(back.__getitem__, tokens[i])) if i in tokens else None for i in range(max(tokens) + 1)], pa.binary())
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -252,7 +257,7 @@ def encode(df: DataFrame, path: str, pattern: str = PATTERN, text: str = "text",
     return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{source}`"].alias("_source")).mapInArrow(batches, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str = PATTERN, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded`` binary: the bytes of the ids."""
     schema = _replaced(df, T.StructField(decoded, T.BinaryType(), False))
     kept = schema.names[:-1]
@@ -260,12 +265,18 @@ def decode(df: DataFrame, path: str, pattern: str = PATTERN, ids: str = "ids", d
     at = len(kept)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(path, pattern).bytes
+        names = byte_table(path)
+        size = pa.compute.binary_length(names).to_numpy()
         for whole in parts:
             for first in range(0, whole.num_rows, 512):
                 part = whole.slice(first, 512)
-                made = [b"".join(map(table.__getitem__, row or ())) for row in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(made, pa.binary())], schema.names)
+                rows = part.column(at).fill_null([]) if part.column(at).null_count else part.column(at)
+                ids = rows.flatten()
+                token = names.take(ids)  # the bytes of all rows end to end
+                ends = np.cumsum(np.concatenate([[0], size[ids.to_numpy()]]))
+                offsets = ends[rows.offsets.to_numpy() - rows.offsets[0].as_py()].astype(np.int32)
+                made = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), token.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], made], schema.names)
 
     return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{source}`"].alias("_source")).mapInArrow(batches, schema)
 
