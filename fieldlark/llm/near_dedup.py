@@ -50,13 +50,13 @@ def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(line[0]), found
 
 
-def signatures(rows: list[np.ndarray]) -> np.ndarray:
+def signatures(rows: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
     """A matrix of one signature a row, 31 bits a coordinate; no row may be empty."""
     size = np.array([len(r) for r in rows])
     begin = np.cumsum(size) - size
     flat = np.concatenate(rows).view(np.uint64)
-    out = np.empty((len(rows), COORDINATES), np.int32)
-    for j, step in enumerate(_STEP):
+    out = np.empty((len(rows), coordinates), np.int32)
+    for j, step in enumerate(_STEP[:coordinates]):
         out[:, j] = np.minimum.reduceat(((flat * step) >> np.uint64(33)).astype(np.int32), begin)
     return out
 
@@ -100,7 +100,7 @@ def _compare(least: int, share: int):
         among = [set(p) for p in prefix]
         full = group.column("hashes").combine_chunks()
         flat, ends = full.flatten().to_numpy(), full.offsets.to_numpy() - full.offsets[0].as_py()
-        signature = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
+        signature = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         parent = {c: c for c in whole.tolist()}
 
         def root(c: int) -> int:
@@ -128,24 +128,12 @@ def _compare(least: int, share: int):
     return block
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80, least: int = LEAST) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row: pairs of sets with 100 * intersection >= share * union are linked.
+def link_lists(prefixes: DataFrame, signatures: DataFrame, hashes: DataFrame, least: int, share: int) -> DataFrame:
+    """Components (node, component) of the ids whose sets are similar, among ids that meet in a posting list.
 
-    ``least`` is the number of coordinates out of COORDINATES that a pair must share to be looked at.
+    ``prefixes``: id, prefix (the ids' lists in one global order) and centrality; ``signatures``: id, signature;
+    ``hashes``: id, hashes (its set, in order).
     """
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stash(source.mapInArrow(_sign(n), "id long, line long, n_shingles long, signature array<int>"))
-    usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    lines = stash(usable.groupBy("line").agg(F.min("id").alias("id"), F.min_by("signature", "id").alias("signature")))
-    posted = lines.select("id", F.posexplode("signature").alias("i", "v")).select("id", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("key"))
-    frequent = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(frequent, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= least)
-    first = F.slice("keys", F.lit(1), F.size("keys") - (least - 1))
-    prefixes = stash(shared.select("id", F.transform(first, lambda k: k["key"]).alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["n"]).alias("centrality")))
-    ids = prefixes.select("id")
-    ids = F.broadcast(ids) if prefixes.count() <= KEYS else ids
-    hashes = stash(source.join(ids, "id", "left_semi").mapInArrow(_full(n), "id long, line long, hashes array<long>").join(lines.select("id", "line"), ["id", "line"]).select("id", "hashes"))
-
     lists = prefixes.select("id", "centrality", F.explode("prefix").alias("key"))
     centres = lists.groupBy("key").agg(F.max_by("id", F.struct("centrality", -F.col("id"))).alias("centre"))
     pairs = lists.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -155,7 +143,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
 
     joined = components(links)
     placed = prefixes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.join(lines.select("id", "signature"), "id").join(hashes, "id")
+    placed = placed.join(signatures, "id").join(hashes, "id")
     placed = stash(placed.select("id", "component", "prefix", "signature", "hashes"))
     lists = placed.select("id", "component", F.size("hashes").alias("size"), F.explode("prefix").alias("key"))
     open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("size").alias("hashes")).where("lo <> hi")
@@ -167,7 +155,28 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     dealt = dealt.select("id", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
     more = dealt.join(placed, "id").groupBy("key", "lo", "hi").applyInArrow(_compare(least, share), "a long, b long")
     all_links = stash(links.unionByName(more))
-    joined = components(all_links)
+    return components(all_links)
+
+
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80, least: int = LEAST) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row: pairs of sets with 100 * intersection >= share * union are linked.
+
+    ``least`` is the number of coordinates out of COORDINATES that a pair must share to be looked at.
+    """
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    signed = stash(source.mapInArrow(_sign(n), "id long, line long, n_shingles long, signature array<int>"))
+    usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
+    lines = stash(usable.groupBy("line").agg(F.min("id").alias("id"), F.min_by("signature", "id").alias("signature")))
+    posted = lines.select("id", F.posexplode("signature").alias("i", "v")).select("id", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("key"))
+    frequent = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = posted.join(frequent, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= least)
+    first = F.slice("keys", F.lit(1), F.size("keys") - (least - 1))
+    prefixes = stash(shared.select("id", F.transform(first, lambda k: k["key"]).alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["n"]).alias("centrality")))
+    ids = prefixes.select("id")
+    ids = F.broadcast(ids) if prefixes.count() <= KEYS else ids
+    hashes = stash(source.join(ids, "id", "left_semi").mapInArrow(_full(n), "id long, line long, hashes array<long>").join(lines.select("id", "line"), ["id", "line"]).select("id", "hashes"))
+
+    joined = link_lists(prefixes, lines.select("id", "signature"), hashes, least, share)
     classes = lines.select("line", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("line", F.coalesce("component", "id").alias("component_id"))
     named = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     out = signed.select("id", "line", "n_shingles").join(classes, "line", "left").select(F.col("id").alias(key), "n_shingles", named.alias("component_id"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.llm import bpe, chat, decontaminate, langid, near_dedup, quality, toxicity
+from fieldlark.llm import bpe, chat, decontaminate, langid, near_dedup, quality, substring_dedup, toxicity
 from fieldlark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -108,8 +108,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op7_decontamination, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op7_decontamination, op8_near_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
