@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.llm import bpe, chat, decontaminate, langid, near_dedup, quality, substring_dedup, toxicity
+from fieldlark.llm import bpe, chat, decontaminate, langid, license_scan, near_dedup, quality, sharding, substring_dedup, toxicity
 from fieldlark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -112,9 +112,34 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_known", "sentence_ids", "licenses")
+
+
+def _license_sql() -> str:
+    """The same scan for DuckDB, from the same tables of sentences and rules."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in license_scan.SENTENCES.items())
+    names = list(dict.fromkeys(name for name, _ in license_scan.RULES))
+    match = lambda ids: f"regexp_matches(ids, {quoted('(^| )' + '( [^ ]+)* '.join(ids) + '( |$)')})"
+    each = ", ".join(f"CASE WHEN {' OR '.join(match(ids) for n, ids in license_scan.RULES if n == name)} THEN {quoted(name)} END" for name in names)
+    return rf"""
+WITH known(s, id) AS (VALUES {known}),
+parts AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, k, trim(regexp_replace(replace(lower(p[k]), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM parts)),
+found AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY k) AS ids FROM lines JOIN known USING (s) GROUP BY doc_id),
+named AS (SELECT doc_id, n, ids, concat_ws(',', {each}) AS licenses FROM found)
+SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op7_decontamination, op8_near_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op6_sharding, op7_decontamination, op8_near_dedup, op9_license_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op7_decontamination": OP7_SQL}
+    return {"op2_chat_format": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_license_scan": _license_sql()}
