@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation: documents of equal text move towards the shard that holds most of them.
 
 Every document starts in the shard of its key's hash. A group of equal texts is kept as cells (group, shard,
-documents), never as pairs. In a round each cell wants to move to the fullest shard of its group that has room,
-and as many documents go as the target's quota takes, in a fixed order. Documents without a twin then fill the
+documents), never as pairs. In a round each cell wants to move to the fullest shard of its group that has room
+or that others leave (to one of as many as the group fills); as many documents go from one shard to another as come back or as the target's quota still
+takes, in a fixed order. Documents without a twin then fill the
 shards up, so that the counts of the shards differ by one at most (law ``rows``).
 
 Defined results: a null text is empty; its size is 8. Groups larger than a shard fill whole shards one after
@@ -22,7 +23,7 @@ BUCKET = 100_000
 GROUP = ["link", "text_crc32", "size"]
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = 12) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = 16) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = stash(docs.select(F.col(key).cast("long").alias("id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole).alias("link")))
@@ -34,19 +35,27 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     groups = rows.groupBy(*GROUP).agg(F.count("*").alias("members")).where("members > 1")
     linked = stash(rows.join(groups, GROUP))
     cells = stash(linked.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy(*GROUP, "shard").agg(F.count("*").alias("held")))
-    for _ in range(rounds):
-        load = dict(cells.groupBy("shard").agg(F.sum("held")).collect())  # one row a shard
-        room = F.array(*(F.lit(max(0, quota[s] - load.get(s, 0))) for s in range(shards)))
+    left = set(range(shards))  # shards that documents have left in the last round
+    for k in range(rounds):
         tie = F.xxhash64("link", "shard")
         ranked = cells.withColumn("_own", F.struct(F.col("held"), tie.alias("tie"), F.col("shard").alias("shard")))
         ranked = ranked.withColumn("_all", F.collect_list("_own").over(Window.partitionBy(*GROUP)))  # at most one cell a shard
-        best = F.array_max(F.filter("_all", lambda x: (x > F.col("_own")) & (F.get(room, x["shard"]) > 0)))
+        load = dict(cells.groupBy("shard").agg(F.sum("held")).collect())  # one row a shard
+        room = [quota[s] - load.get(s, 0) for s in range(shards)]
+        takes = F.array(*(F.lit(room[s] > 0 or s in left) for s in range(shards)))
+        better = F.sort_array(F.filter("_all", lambda x: (x > F.col("_own")) & F.get(takes, x["shard"])), asc=False)
+        fills = F.ceil(F.aggregate("_all", F.lit(0).cast("long"), lambda n, x: n + x["held"]) / max(1, quota[-1]))  # shards that the group needs
+        best = F.get(better, F.pmod(F.xxhash64("link", "shard", F.lit(k)), F.greatest(F.least(F.size(better), fills), F.lit(1))).cast("int"))
         wishes = ranked.withColumn("target", best["shard"]).where("target IS NOT NULL").select(*GROUP, "shard", "held", "target", spread("link").alias("_bucket"))
-        placed = ordinal(wishes, ["target"], [*GROUP, "shard"], "before", "_bucket", "held")
-        moves = placed.select(*GROUP, "shard", "target", F.least(F.col("held"), F.greatest(F.get(room, F.col("target")) - F.col("before"), F.lit(0))).alias("n")).where("n > 0")
-        moves = stash(moves)
-        if moves.isEmpty():
+        wanted = {(a, b): n for a, b, n in wishes.groupBy("shard", "target").agg(F.sum("held")).collect()}  # one row a pair of shards
+        allowed = _flows(wanted, room)
+        left = {a for (a, _), n in allowed.items() if n}
+        if not left:
             break
+        flow = F.get(F.array(*(F.lit(allowed.get((a, b), 0)) for a in range(shards) for b in range(shards))), F.col("shard") * shards + F.col("target"))
+        placed = ordinal(wishes, ["shard", "target"], GROUP, "before", "_bucket", "held")
+        moves = placed.select(*GROUP, "shard", "target", F.least(F.col("held"), F.greatest(flow - F.col("before"), F.lit(0))).alias("n")).where("n > 0")
+        moves = stash(moves)
         changed = cells.unionByName(moves.select(*GROUP, "shard", (-F.col("n")).alias("held"))).unionByName(moves.select(*GROUP, F.col("target").alias("shard"), F.col("n").alias("held")))
         cells = stash(changed.groupBy(*GROUP, "shard").agg(F.sum("held").alias("held")).where("held > 0"))
 
@@ -71,3 +80,14 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     columns = ["id", "size", "text_crc32", "shard", "slot"]
     out = seated.where(fits).select(*columns).unionByName(filled.select(*columns))
     return out.select(F.col("id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _flows(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many documents may go from one shard to another: as many as come back, and then into what room there is."""
+    out = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}
+    room = [max(0, r) for r in room]
+    for a, b in sorted(wanted, key=lambda k: (-wanted[k], k)):
+        more = min(wanted[a, b] - out[a, b], room[b])
+        out[a, b] += more
+        room[b] -= more
+    return out
