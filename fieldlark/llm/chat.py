@@ -62,12 +62,15 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE, machine: dict = MA
     """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    step = lambda state, role: F.coalesce(*[F.when((state == s) & (role == r), F.lit(to)) for s, moves in machine.items() for r, to in moves.items()])
-    walk = F.aggregate(
-        "turns",
-        F.struct(F.lit("start").alias("state"), F.lit(0).alias("n")),
-        lambda at, t: F.struct(F.when(at["state"].isNotNull(), step(at["state"], t["role"])).alias("state"), (at["n"] + F.when(at["state"].isNotNull() & step(at["state"], t["role"]).isNotNull(), 1).otherwise(0)).alias("n")),
-    )
+    moves = [(F.concat(F.lit(s), F.lit(" "), F.lit(r)), F.lit(to)) for s, each in machine.items() for r, to in each.items()]
+
+    def step(at: Column, t: Column) -> Column:
+        """The next state and how many turns were taken; "" once a turn was refused."""
+        move = F.concat(at["state"], F.lit(" "), t["role"])
+        to = F.coalesce(*(F.when(move == key, state) for key, state in moves), F.lit(""))
+        return F.struct(to.alias("state"), (at["n"] + F.when(to == "", 0).otherwise(1)).alias("n"))
+
+    walk = F.aggregate("turns", F.struct(F.lit("start").alias("state"), F.lit(0).alias("n")), step)
 
     def segments(t: Column) -> Column:
         role = t["role"]
