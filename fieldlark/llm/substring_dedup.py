@@ -8,7 +8,8 @@ that share WORDS + ROUND - 1 words in a row (49) always do at the same place. Th
 place, of each component and window stays, the others are removed; overlapping windows join into spans.
 
 Defined results: null and empty texts have no paragraph; a repeat inside one text alone is no repeat across
-texts and stays; of rows with one key all but the first lose what they share. Short lines and passages, fewer
+texts and stays; rows with one key are one text
+each, and what they share with another key goes from all of them; rows with a null key stay as they are. Short lines and passages, fewer
 words than a window, always stay. Very long texts are read whole. Other columns pass through ``remove``.
 """
 
@@ -72,7 +73,7 @@ def paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, int, int, np.ndarray
     row = np.repeat(np.arange(len(texts)), np.diff(own.offset))
     line = np.searchsorted(breaks, own.start + (offsets[:-1] - offsets[0])[row]) + row * 1_000_003  # a row's end ends a line
     begin = np.flatnonzero(np.diff(line, prepend=-1) != 0)
-    end = np.append(begin[1:], len(line))
+    end = np.append(begin[1:], len(line))[: len(begin)]
     grams = shingles(own.hash, SHINGLE).view(np.int64)
     up, _ = _powers(int((end - begin).max(initial=0)) + 1)
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
@@ -96,7 +97,7 @@ def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = sum(many)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(ids, many), pa.int64(), from_pandas=True),
+                    pa.array(np.repeat(ids, many), pa.int64()),
                     pa.array(np.concatenate([p for p, _ in posted]).astype(np.int32)),
                     pa.array(np.full(n, WORDS, np.int32)),
                     pa.array(np.concatenate([h for _, h in posted])),
@@ -108,7 +109,7 @@ def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signed = signatures([f[4] for f in found], 2 * BANDS)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[f[0]] for f in found], pa.int64(), from_pandas=True),
+                        pa.array([ids[f[0]] for f in found], pa.int64()),
                         pa.array([f[1] for f in found], pa.int32()),
                         pa.array([f[2] for f in found], pa.int32()),
                         pa.array([f[3] for f in found], pa.int64()),
@@ -133,7 +134,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     ``kind`` is paragraph or window; ``first_id`` the key of the text that keeps the passage (of a joined span,
     the smallest such key). Spans that stay, as the first of their kind, have ``removed`` false.
     """
-    source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
     units = stash(source.mapInArrow(_units, _UNITS))
     ranked = lambda df, by: df.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).where("n > 1")
 
