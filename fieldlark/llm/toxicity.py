@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlark.llm.common import stash
 from fieldlark.llm.textkernel import slices
 
 #: Labelled rows that are learned from at most; hashed features, and how many are kept.
@@ -84,52 +85,71 @@ def distinct(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (both % SPACE).astype(np.int32), both // SPACE
 
 
-def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, texts of class 0, texts of class 1) that a task has met."""
+    count = np.zeros((2, SPACE), np.int32)
     for part in parts:
+        labels = part.column(0).to_numpy(zero_copy_only=False)
         for first, texts in slices(part.column(1)):
             gram, row = distinct(*grams(texts))
-            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-            each = [gram[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(texts)), pa.array(each, pa.binary())], ["label", "grams"])
+            for label in (0, 1):
+                count[label] += np.bincount(gram[labels[first + row] == label], minlength=SPACE).astype(np.int32)
+    met = np.flatnonzero(count.sum(axis=0))
+    for at in range(0, len(met), 100_000):
+        some = met[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (some, count[0][some], count[1][some])], ["gram", "n0", "n1"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = ROWS) -> Model:
+def _rows(wanted: np.ndarray):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, texts in slices(part.column(1)):
+                gram, row = distinct(*grams(texts, wanted))
+                bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+                each = [gram[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(texts)), pa.array(each, pa.binary())], ["label", "grams"])
+
+    return batches
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = ROWS, features: int = FEATURES) -> Model:
     """Learn from ``labels`` (key, label 0/1) on the texts of ``docs``.
 
-    At most ``rows`` labelled rows, those with the smallest hash of the key, are read: a bounded sample.
+    At most ``rows`` labelled keys, those with the smallest hash, are read: a bounded sample. Counts are made and
+    features chosen by Spark; the driver gets the chosen features and which texts of the sample have them.
     """
-    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
+    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64(key), key).limit(rows)
-    found = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn), key).select("label", "_text").mapInArrow(_features, "label int, grams binary").toArrow()
-    y = found.column("label").to_numpy().astype(np.float64)
-    sets = [np.frombuffer(b, np.int32) for b in found.column("grams").to_pylist()]
-    return fit(y, sets)
-
-
-def fit(y: np.ndarray, sets: list[np.ndarray], features: int = FEATURES, penalty: float = 1.0, steps: int = 400) -> Model:
+    sample = stash(docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn), key).select("label", "_text"))
+    total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    base = float(np.log((positive + 0.5) / (total - positive + 0.5)))
+    if not 0 < positive < total:
+        return Model(np.zeros(SPACE, np.float32), base)
+    counts = sample.mapInArrow(_counts, "gram int, n0 int, n1 int").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+    ratio = F.ln((F.col("n1") + 1) / (positive + 2)) - F.ln((F.col("n0") + 1) / (total - positive + 2))
+    certain = F.abs(ratio) / F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
+    chosen = counts.select("gram", ratio.alias("ratio"), certain.alias("certain")).where("certain > 2").orderBy(F.desc("certain"), "gram").limit(features).collect()
+    ratios = np.zeros(SPACE, np.float64)
+    ratios[[r["gram"] for r in chosen]] = [r["ratio"] for r in chosen]
+    found = sample.mapInArrow(_rows(ratios != 0), "label int, grams binary").toArrow()
+    return fit(found.column("label").to_numpy().astype(np.float64), [np.frombuffer(b, np.int32) for b in found.column("grams").to_pylist()], ratios)
+
+
+def fit(y: np.ndarray, sets: list[np.ndarray], ratios: np.ndarray, penalty: float = 1.0, steps: int = 400) -> Model:
+    """Logistic regression by accelerated gradient descent on features worth their ratio."""
     weight, positive = np.zeros(SPACE, np.float32), float(y.sum())
     base = float(np.log((positive + 0.5) / (len(y) - positive + 0.5)))
-    if not 0 < positive < len(y):
+    chosen = np.flatnonzero(ratios)
+    if not len(chosen):
         return Model(weight, base)
     # Rows come in any order; sums of floats must not depend on it.
-    order = sorted(range(len(sets)), key=lambda i: (y[i], len(sets[i]), sets[i].tobytes()))
+    order = sorted(range(len(sets)), key=lambda i: (y[i], sets[i].tobytes()))
     y, sets = y[order], [sets[i] for i in order]
-    count = [np.zeros(SPACE, np.float64), np.zeros(SPACE, np.float64)]
-    for label, s in zip(y, sets, strict=True):
-        count[int(label)][s] += 1
-    ratio = np.log((count[1] + 1) / (positive + 2)) - np.log((count[0] + 1) / (len(y) - positive + 2))
-    certain = np.abs(ratio) / np.sqrt(1 / (count[1] + 1) + 1 / (count[0] + 1))
-    certain[count[0] + count[1] < 3] = 0
-    chosen = np.argsort(-certain, kind="stable")[:features]
-    chosen = chosen[certain[chosen] > 2]
-    if not len(chosen):
-        return Model(weight, base)
     at = np.full(SPACE, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
-    columns = [at[s][at[s] >= 0] for s in sets]
-    row = np.repeat(np.arange(len(sets)), [len(c) for c in columns])
-    column = np.concatenate(columns)
-    value = ratio[chosen][column]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = at[np.concatenate(sets)]
+    value = ratios[chosen][column]
     w, bias = np.zeros(len(chosen)), base
     last_w, last_bias = w, bias
     norm = np.ones(len(chosen))
@@ -146,7 +166,7 @@ def fit(y: np.ndarray, sets: list[np.ndarray], features: int = FEATURES, penalty
         last_w, last_bias = w, bias
         w = v - rate * (np.bincount(column, value * error[row], len(chosen)) + penalty * v)
         bias = b - rate * error.sum()
-    weight[chosen] = w * ratio[chosen]
+    weight[chosen] = w * ratios[chosen]
     return Model(weight, float(bias))
 
 
