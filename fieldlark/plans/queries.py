@@ -606,3 +606,137 @@ FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2
 """)
 def placed_and_closing(spark, d):
     return joins.books(read(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag", "l_extendedprice", "A", "R")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey")
+def leg_combinations(spark, d):
+    legs = read(spark, d, "nation").select(F.col("n_nationkey").alias("leg"))
+    return joins.combinations(legs, 3).select(*(F.col(f"leg_{k}.leg").alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"))))
+
+
+@query("""
+WITH x AS (SELECT 1 / (1 + o_totalprice / 100000) AS implied, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS label, o_orderkey % 3 = 0 AS three FROM orders),
+p AS (SELECT *, least(greatest(0.7 * implied + 0.3 / CASE WHEN three THEN 3 ELSE 2 END, 0.01), 0.99) AS p FROM x WHERE label IS NOT NULL)
+SELECT count(*) AS scored_rows, round(avg((p - label) ** 2), 6) AS brier, round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS log_loss FROM p
+""")
+def first_model_pass(spark, d):
+    from fieldlark.plans import provider
+
+    c = F.col
+    rows = read(spark, d, "orders").select(c("o_custkey").cast("string").alias("canonical_event_id"), c("o_orderkey").cast("string").alias("source_ref"), F.when(c("o_orderkey") % 3 == 0, "football_1x2_regulation").otherwise("other").alias("mapped_market_id"), (1 + c("o_totalprice") / 100000).alias("decimal_odds"), F.lit(0).alias("needs_mapping"), c("o_orderstatus"))
+    graded = rows.select("canonical_event_id", "source_ref", F.when(c("o_orderstatus") == "F", "win").when(c("o_orderstatus") == "O", "loss").otherwise("push").alias("settlement_result"), F.lit("settled").alias("settlement_status"))
+    scored = provider.first_pass(provider.market_snapshots(rows.drop("o_orderstatus"), graded))
+    return scored.agg(F.count("*").alias("scored_rows"), r6(F.avg("brier")).alias("brier"), r6(F.avg("log_loss")).alias("log_loss"))
+
+
+@query("""
+WITH x AS (SELECT s_suppkey, 1.3 AS avg, 5.0 AS m, 4.0 + s_suppkey % 9 AS hf, 3.0 + s_suppkey % 7 AS ha, 2.0 + s_suppkey % 11 AS af, 1.0 + s_suppkey % 13 AS aa FROM supplier),
+r AS (SELECT s_suppkey, avg, least(greatest(hf / m / avg, 0.35), 3.2) AS hatt, least(greatest(ha / m / avg, 0.35), 3.2) AS hdef, least(greatest(af / m / avg, 0.35), 3.2) AS aatt, least(greatest(aa / m / avg, 0.35), 3.2) AS adef FROM x)
+SELECT s_suppkey, round(least(greatest(avg * hatt * sqrt(adef), 0.05), 4.5), 6) AS lambda_home, round(least(greatest(avg * aatt * sqrt(hdef), 0.05), 4.5), 6) AS lambda_away FROM r
+""")
+def multiplicative_rates(spark, d):
+    k = F.col("s_suppkey")
+    five = F.lit(5.0)
+    out = models.multiplicative_rates(read(spark, d, "supplier"), F.lit(1.3), (five, 4.0 + k % 9, 3.0 + k % 7), (five, 2.0 + k % 11, 1.0 + k % 13))
+    return out.select("s_suppkey", r6("lambda_home").alias("lambda_home"), r6("lambda_away").alias("lambda_away"))
+
+
+@query("""
+WITH x AS (SELECT s_suppkey, least(greatest((4 + s_suppkey % 5 + coalesce(CASE WHEN s_suppkey % 3 > 0 THEN 3.0 + s_suppkey % 4 END, 4.9) + 5 + 4.9) / 2, 3), 16) AS corners FROM supplier)
+SELECT s_suppkey, round(corners, 6) AS corners, round(1 / (1 + exp(-(corners - 9.5) / 1.8)), 6) AS over_9_5 FROM x
+""")
+def expected_corners(spark, d):
+    k = F.col("s_suppkey")
+    corners = models.expected_total((4 + k % 5).cast("double"), F.when(k % 3 > 0, 3.0 + k % 4), F.lit(5.0), F.lit(None).cast("double"), F.lit(9.8), 3.0, 16.0)
+    return read(spark, d, "supplier").select("s_suppkey", r6(corners).alias("corners"), r6(models.over_logistic(corners)).alias("over_9_5"))
+
+
+_ARTIFACT = {"classes": ["H", "D", "A"], "intercept": [0.2, -0.1, 0.0], "features": [{"name": "balance"}, {"name": "nation"}], "weights": [[0.4, 0.0, -0.4], [0.02, 0.01, -0.03]], "calibration": {"shrink_alpha": 0.2, "base_probs": [0.45, 0.25, 0.3]}}
+
+
+@query("""
+WITH x AS (SELECT c_custkey, c_acctbal / 1000 AS b, c_nationkey AS n FROM customer), e AS (SELECT c_custkey, exp(0.2 + 0.4 * b + 0.02 * n) AS h, exp(-0.1 + 0.01 * n) AS d, exp(-0.4 * b - 0.03 * n) AS a FROM x)
+SELECT c_custkey, round(0.8 * h / (h + d + a) + 0.09, 6) AS p_home, round(0.8 * d / (h + d + a) + 0.05, 6) AS p_draw, round(0.8 * a / (h + d + a) + 0.06, 6) AS p_away FROM e
+""")
+def linear_artifact(spark, d):
+    f = {"balance": F.col("c_acctbal") / 1000, "nation": F.col("c_nationkey").cast("double")}
+    return read(spark, d, "customer").select("c_custkey", *(r6(p).alias(n) for p, n in zip(models.linear_scores(f, _ARTIFACT), ("p_home", "p_draw", "p_away"), strict=True)))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12")
+def order_preview(spark, d):
+    return dedupe.preview(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 12)
+
+
+@query("""
+WITH x AS (SELECT user_id, list(DISTINCT event_type) AS present FROM events GROUP BY 1)
+SELECT user_id, array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'refund', 'view'], lambda t: NOT list_contains(present, t))), ',') AS missing FROM x
+""")
+def missing_fields(spark, d):
+    required = F.array(*map(F.lit, ("click", "error", "purchase", "refund", "view")))
+    present = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("present"))
+    return present.select("user_id", F.array_join(dedupe.missing(required, F.col("present")), ",").alias("missing"))
+
+
+@query("SELECT l_shipmode AS provider, l_returnflag AS market_key, count(DISTINCT l_orderkey) AS events, count(DISTINCT l_suppkey) AS books, count(*) AS outcomes FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1, 2")
+def market_groups(spark, d):
+    c = F.col
+    rows = read(spark, d, "lineitem").select(c("l_linestatus").alias("provider"), c("l_returnflag").alias("market_key"), c("l_orderkey").alias("event_id"), c("l_suppkey").alias("bookmaker"))
+    return resolve.market_groups(rows)
+
+
+@query("""
+SELECT event_type AS source_id, CASE WHEN value > 50 THEN 'ok' ELSE 'partial' END AS status, max(ts) AS last_finished_at, count(*) AS runs FROM events GROUP BY 1, 2
+""")
+def source_runs(spark, d):
+    e = read(spark, d, "events")
+    return aggregates.run_summary(e.select(F.col("event_type").alias("source_id"), F.when(F.col("value") > 50, "ok").otherwise("partial").alias("status"), F.col("ts").alias("finished_at")))
+
+
+@query("""
+WITH x AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'pre_event_market' ELSE 'post_event_evaluation' END AS stage, CASE WHEN event_id % 9 = 0 THEN event_type END AS truth, value > 60 AS late, value IS NULL AS open FROM events)
+SELECT count(*) FILTER (stage LIKE 'pre%' AND truth IS NOT NULL) AS truth_before_event, count(*) FILTER (stage LIKE 'pre%' AND late) AS cutoff_after_start, count(*) FILTER (stage LIKE 'pre%' AND open) AS no_cutoff FROM x
+""")
+def leak_guard(spark, d):
+    k = F.col("event_id")
+    rows = read(spark, d, "events").select(F.when(k % 3 == 0, "pre_event_market").otherwise("post_event_evaluation").alias("snapshot_stage"), F.when(k % 9 == 0, F.col("event_type")).alias("truth"), F.col("value").alias("cutoff_at"), F.lit(60.0).alias("commence_at"))
+    return rules.leaks(rows, ["truth"])
+
+
+@query("SELECT event_id, event_type FROM events WHERE contains(lower(props), '\"k\": 7')")
+def marker_scan(spark, d):
+    rows = read(spark, d, "events").select("event_id", "event_type", F.replace("props", F.lit('"'), F.lit("'")).alias("props"))
+    return rules.secrets(rows, ["'k': 7"]).select("event_id", "event_type")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders
+""")
+def update_in_place(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return dedupe.update(o, o.where("o_orderkey % 5 = 0").withColumn("o_custkey", F.col("o_custkey") + 1000000), ["o_orderkey"], ["o_custkey"])
+
+
+@query("""
+SELECT o_orderkey, n_name AS raw, coalesce(r_name, n_name) AS resolved FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_nationkey
+""")
+def fallback_names(spark, d):
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    known = n.join(joins.small(r), n.n_nationkey == r.r_regionkey).select(F.col("n_name").alias("raw_name"), F.col("r_name").alias("canonical"))
+    named = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(joins.small(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joins.with_fallback(named.select("o_orderkey", F.col("n_name").alias("raw")), joins.small(known), "raw").select("o_orderkey", "raw", "resolved")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber % 2 AS m, l_extendedprice / 1e5 AS p, 1 + l_quantity / 20 AS odds FROM lineitem),
+t AS (SELECT l_orderkey, max(p) FILTER (m = 1) * max(p) FILTER (m = 0) AS p, max(odds) FILTER (m = 1) * max(odds) FILTER (m = 0) AS odds FROM p JOIN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber % 2 = 1) = 1 AND count(*) FILTER (l_linenumber % 2 = 0) = 1) USING (l_orderkey) GROUP BY 1),
+a AS (SELECT *, least(greatest(p * 0.92, 1e-6), 1 - 1e-6) AS adjusted FROM t)
+SELECT l_orderkey, 'Safe Builder' AS ticket, round(odds, 6) AS odds, round(adjusted, 6) AS adjusted, round(adjusted * odds - 1, 6) AS edge FROM a
+""")
+def fixed_tickets(spark, d):
+    c = F.col
+    rows = read(spark, d, "lineitem")
+    odd = c("l_linenumber") % 2 == 1
+    whole = rows.groupBy("l_orderkey").agg(F.count_if(odd).alias("a"), F.count_if(~odd).alias("b")).where("a = 1 AND b = 1").select("l_orderkey")
+    legs = rows.join(whole, "l_orderkey", "left_semi").select("l_orderkey", F.when(odd, "football.double_chance").otherwise("football.total_goals").alias("market"), F.when(odd, "1X").otherwise("under_3.5").alias("selection"), (c("l_extendedprice") / 1e5).alias("p"), (1 + c("l_quantity") / 20).alias("odds"))
+    return bets.tickets(legs, "l_orderkey", 0.8).select("l_orderkey", "ticket", r6("odds").alias("odds"), r6("adjusted").alias("adjusted"), r6("edge").alias("edge"))
