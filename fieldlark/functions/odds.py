@@ -57,27 +57,40 @@ def unit_result(result: Column, odds: Column) -> Column:
     return F.when(result == "win", F.round(odds - 1, 6)).when(result == "loss", F.lit(-1.0)).otherwise(F.lit(0.0))
 
 
+#: What the ladders say; fixed values.
+SAYS = {
+    "paper": "PAPER ONLY - model trust too low",
+    "edge": "NO BET - edge too small",
+    "kelly": "NO BET - Kelly zero",
+    "watch": "WATCHLIST VALUE - model not trusted enough for staking",
+    "strong": "STRONG VALUE - still verify market/liquidity",
+    "small": "VALUE - small stake only",
+    "risk": "NO BET - correlation risk too high",
+    "combined_edge": "NO BET - combined edge too small",
+    "builder": "VALUE BUILDER - verify same-game pricing",
+    "small_builder": "SMALL VALUE BUILDER - tiny stake only",
+}
+#: Bounds of trust, edge and risk in the ladders; fixed values.
+TRUST_PAPER, TRUST_WATCH = 0.50, 0.75
+EDGE_LEAST, EDGE_STRONG = 0.02, 0.08
+TICKET_RISK, TICKET_EDGE, TICKET_STRONG = 0.45, 0.03, 0.10
+
+
+def ladder(*steps: tuple[Column, str], last: str) -> Column:
+    """What the first step that holds says, else ``last``."""
+    return F.coalesce(*(F.when(holds, SAYS[key]) for holds, key in steps), F.lit(SAYS[last]))
+
+
 def decision(edge: Column, kelly_share: Column, trust: Column) -> Column:
     """What to do with a price; below a trust of a half everything stays on paper."""
-    return (
-        F.when(trust < 0.5, "PAPER ONLY - model trust too low")
-        .when(edge < 0.02, "NO BET - edge too small")
-        .when(kelly_share <= 0, "NO BET - Kelly zero")
-        .when(trust < 0.75, "WATCHLIST VALUE - model not trusted enough for staking")
-        .when(edge >= 0.08, "STRONG VALUE - still verify market/liquidity")
-        .otherwise("VALUE - small stake only")
-    )
+    refused = ((trust < TRUST_PAPER, "paper"), (edge < EDGE_LEAST, "edge"), (kelly_share <= 0, "kelly"))
+    return ladder(*refused, (trust < TRUST_WATCH, "watch"), (edge >= EDGE_STRONG, "strong"), last="small")
 
 
 def ticket_decision(edge: Column, quarter: Column, risk: Column, trust: Column) -> Column:
-    return (
-        F.when(trust < 0.5, "PAPER ONLY - model trust too low")
-        .when(risk >= 0.45, "NO BET - correlation risk too high")
-        .when(edge < 0.03, "NO BET - combined edge too small")
-        .when(quarter <= 0, "NO BET - Kelly zero")
-        .when(edge >= 0.10, "VALUE BUILDER - verify same-game pricing")
-        .otherwise("SMALL VALUE BUILDER - tiny stake only")
-    )
+    """What to do with a ticket, whose legs hang together by ``risk``."""
+    refused = ((trust < TRUST_PAPER, "paper"), (risk >= TICKET_RISK, "risk"), (edge < TICKET_EDGE, "combined_edge"), (quarter <= 0, "kelly"))
+    return ladder(*refused, (edge >= TICKET_STRONG, "builder"), last="small_builder")
 
 
 def brier(p: Column, label: Column) -> Column:

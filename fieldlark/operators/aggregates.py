@@ -80,16 +80,21 @@ def phase_counts(events: DataFrame, match: str, phase: str, minute: str) -> Data
     return out.withColumns({"regulation_time": regular, "extra_time_only": extra, "after_extra_time": regular & extra, "qualification": regular & (extra | shootout)})
 
 
+#: A player's base rating, points for each of these in ninety minutes, and minutes where unknown; fixed values.
+PLAYER_BASE, PLAYER_POINTS, PLAYER_MINUTES = 50, {"xg": 18, "shots": 3, "goals": 12, "cards": -6}, 60
+
+
 def player_scores(lineups: DataFrame, events: DataFrame, player: str = "player_id") -> DataFrame:
     """Ratings per ninety minutes of players with events: 50 plus weighted rates, clamped to 0 and 100.
 
     Minutes are 60 where unknown and at least 1.
     """
-    minutes = lineups.groupBy(player).agg(F.sum(F.coalesce("minutes", F.lit(60))).alias("minutes"))
+    minutes = lineups.groupBy(player).agg(F.sum(F.coalesce("minutes", F.lit(PLAYER_MINUTES))).alias("minutes"))
     done = events.groupBy(player).agg(F.sum("xg").alias("xg"), F.sum("shots").alias("shots"), F.sum("goals").alias("goals"), F.sum("cards").alias("cards"))
-    rows = done.join(minutes, player, "left").withColumn("minutes", F.greatest(F.coalesce("minutes", F.lit(60)), F.lit(1)))
+    rows = done.join(minutes, player, "left").withColumn("minutes", F.greatest(F.coalesce("minutes", F.lit(PLAYER_MINUTES)), F.lit(1)))
     per = lambda c: F.coalesce(F.col(c), F.lit(0)) * 90.0 / F.col("minutes")
-    return rows.withColumn("score", F.round(clamp(50 + 18 * per("xg") + 3 * per("shots") + 12 * per("goals") - 6 * per("cards"), 0.0, 100.0), 6))
+    total = sum((points * per(c) for c, points in PLAYER_POINTS.items()), F.lit(PLAYER_BASE))
+    return rows.withColumn("score", F.round(clamp(total, 0.0, 100.0), 6))
 
 
 def team_strength(matches: DataFrame, team: str = "team", scored: str = "gf", conceded: str = "ga") -> DataFrame:

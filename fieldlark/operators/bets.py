@@ -80,14 +80,40 @@ LEG_TAGS = {
 }
 
 
+#: How legs beyond the five probabilities follow from them: leg -> (share of each input, floor, ceiling); fixed values.
+LEG_SHARES = {
+    "football.team_goals:home_over_0.5": ({"home": 0.55, "over15": 0.55}, None, 0.95),
+    "football.team_goals:away_over_0.5": ({"away": 0.55, "over15": 0.45}, None, 0.95),
+    "football.team_goals:home_over_1.5": ({"home": 0.45, "over25": 0.35}, 0.05, None),
+    "football.team_goals:away_over_1.5": ({"away": 0.45, "over25": 0.25}, 0.04, None),
+}
+OVER15, OVER35, CORNERS, CARDS = (0.18, 0.96), (-0.22, 0.04), (0.40, 0.16), 0.50
+
+
 def derived_legs(home: Column, draw: Column, away: Column, over25: Column, btts: Column) -> Column:
     """Array of (leg, market, selection, p, category, tags): nineteen legs from the five probabilities."""
-    over15, over35 = F.least(over25 + 0.18, F.lit(0.96)), F.greatest(over25 - 0.22, F.lit(0.04))
-    p = [home, draw, away, home + draw, home + away, draw + away, over15, over25, 1 - over25, over35, 1 - over35, btts, 1 - btts]
-    p += [F.least(home * 0.55 + over15 * 0.55, F.lit(0.95)), F.least(away * 0.55 + over15 * 0.45, F.lit(0.95)), F.greatest(home * 0.45 + over25 * 0.35, F.lit(0.05)), F.greatest(away * 0.45 + over25 * 0.25, F.lit(0.04))]
-    p += [0.5 + clamp((over25 - 0.5) * 0.40, -0.16, 0.16), F.lit(0.5)]
-    leg = lambda i, name, kind, tags, x: F.struct(F.lit(i).alias("leg"), F.lit(name.split(":")[0]).alias("market"), F.lit(name.split(":")[1]).alias("selection"), x.cast("double").alias("p"), F.lit(kind).alias("category"), F.split(F.lit(tags), ",").alias("tags"))
-    return F.array(*(leg(i, name, kind, tags, x) for i, ((name, (kind, tags)), x) in enumerate(zip(LEG_TAGS.items(), p, strict=True))))
+    over15, over35 = F.least(over25 + OVER15[0], F.lit(OVER15[1])), F.greatest(over25 + OVER35[0], F.lit(OVER35[1]))
+    given = {"home": home, "away": away, "over15": over15, "over25": over25}
+    p = {
+        "football.1x2": {"home": home, "draw": draw, "away": away},
+        "football.double_chance": {"1X": home + draw, "12": home + away, "X2": draw + away},
+        "football.total_goals": {"over_1.5": over15, "over_2.5": over25, "under_2.5": 1 - over25, "over_3.5": over35, "under_3.5": 1 - over35},
+        "football.btts": {"yes": btts, "no": 1 - btts},
+        "football.total_corners": {"over_8.5": 0.5 + clamp((over25 - 0.5) * CORNERS[0], -CORNERS[1], CORNERS[1])},
+        "football.total_cards": {"over_3.5": F.lit(CARDS)},
+    }
+    known = {f"{market}:{selection}": x for market, each in p.items() for selection, x in each.items()}
+    for name, (shares, floor, ceiling) in LEG_SHARES.items():
+        x = sum((share * given[k] for k, share in shares.items()), F.lit(0.0))
+        x = F.greatest(x, F.lit(floor)) if floor is not None else x
+        known[name] = F.least(x, F.lit(ceiling)) if ceiling is not None else x
+
+    def leg(i: int, name: str) -> Column:
+        market, selection = name.split(":")
+        kind, tags = LEG_TAGS[name]
+        return F.struct(F.lit(i).alias("leg"), F.lit(market).alias("market"), F.lit(selection).alias("selection"), known[name].cast("double").alias("p"), F.lit(kind).alias("category"), F.split(F.lit(tags), ",").alias("tags"))
+
+    return F.array(*(leg(i, name) for i, name in enumerate(LEG_TAGS)))
 
 
 def pair_risk(a: Column, b: Column) -> Column:
