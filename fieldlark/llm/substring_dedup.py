@@ -5,10 +5,11 @@ MinHash signatures, those that meet in a band are verified by exact Jaccard simi
 the linked ones form components. A passage set into the middle of a line is no paragraph, so windows of WORDS
 words are compared too: each text posts the windows whose hash is least among ROUND neighbours, which two texts
 that share WORDS + ROUND - 1 words in a row (49) always do at the same place. The first occurrence, by key and
-place, of each component and window stays, the others are removed; overlapping windows join into spans.
+place, of each component and window stays, the others are removed, further ones in the same text too; overlapping
+windows join into spans.
 
 Defined results: null and empty texts have no paragraph; a repeat inside one text alone is no repeat across
-texts and stays; rows with one key are one text
+texts and stays; a window that overlaps its own first occurrence (a word said over and over) is none; rows with one key are one text
 each, and what they share with another key goes from all of them; rows with a null key stay as they are. Short lines and passages, fewer
 words than a window, always stay. Very long texts are read whole. Other columns pass through ``remove``.
 """
@@ -47,7 +48,7 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows that a row of words posts, each hash once, the first of equal ones."""
+    """(place, hash) of the windows that a row of words posts, each at every place that it has."""
     n = len(hashes) - WORDS + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -59,9 +60,8 @@ def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.zeros(ROUND - 1, np.uint64)
         place = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), ROUND, np.maximum)[:n] == value)
     else:
-        place = np.array([int(np.argmin(value))])
-    found, first = np.unique(value[place], return_index=True)
-    return place[first], found.view(np.int64)
+        place = np.flatnonzero(value == value.min())
+    return place, value[place].view(np.int64)
 
 
 def paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
@@ -140,6 +140,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
 
     posted = units.where("signature IS NULL").select("id", "place", "n_words", "hash")
     found = posted.join(ranked(posted, "hash").where("first.id <> last"), "hash")
+    found = found.where((F.col("id") != F.col("first.id")) | (F.col("place") == F.col("first.place")) | (F.col("place") >= F.col("first.place") + WORDS))
     found = stash(found.select("id", "place", "n_words", F.col("first.id").alias("first_id"), (F.struct("id", "place") != F.col("first")).alias("removed")))
     by = Window.partitionBy("id", "removed").orderBy("place")
     apart = F.coalesce(F.col("place") > F.lag(F.col("place") + F.col("n_words")).over(by), F.lit(True))

@@ -142,6 +142,26 @@ def test_substrings_leave_one_copy(spark):
     assert substring_dedup.repeats(df.limit(0)).count() == 0
 
 
+def speaker(seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 8)))
+    return lambda n: " ".join(word() for _ in range(n))
+
+
+def test_every_occurrence_of_a_shared_passage_goes(spark):
+    say = speaker(11)
+    passage = say(70)
+    texts = [f"{say(9)} {passage} {say(9)}", f"{say(5)} {passage} {say(20)} {passage} {say(8)} {passage} {say(6)}", f"{say(60)}", "q " * 400, "q " * 300]
+    texts[0] += f" {passage} {say(3)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = substring_dedup.repeats(df)
+    out = {r.doc_id: r.text for r in substring_dedup.remove(df, spans).collect()}
+    middle = passage.split(" ")[20:50]
+    times = lambda t: sum(t.split()[i : i + 30] == middle for i in range(len(t.split())))
+    assert [times(out[i]) for i in range(3)] == [1, 0, 0] and out[2] == texts[2]
+    assert 32 <= len(out[3].split()) < 400 and len(out[4].split()) < 32
+
+
 def _shards(spark, texts):
     rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     sizes, held = Counter(r.shard for r in rows), defaultdict(set)
