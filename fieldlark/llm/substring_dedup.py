@@ -4,7 +4,8 @@ A paragraph is a line of at least ``least_words`` words. Equal paragraphs are on
 MinHash signatures, those that meet in a band are verified by exact Jaccard similarity of five-word shingles, and
 the linked ones form components. A passage set into the middle of a line is no paragraph, so windows of WORDS
 words are compared too: each text posts the windows whose hash is least among ROUND neighbours, which two texts
-that share WORDS + ROUND - 1 words in a row (49) always do at the same place. The first occurrence, by key and
+that share WORDS + ROUND - 1 words in a row (49) always do at the same place. From there each match with the first
+text that posts the window is followed both ways as far as words are equal. The first occurrence, by key and
 place, of each component and window stays, the others are removed, further ones in the same text too; overlapping
 windows join into spans.
 
@@ -128,6 +129,58 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f[3] for f in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "hashes"])
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two rows of one length have in common from their start."""
+    at, step = 0, 64
+    while at < len(a):
+        differ = a[at : at + step] != b[at : at + step]
+        if differ.any():
+            return at + int(differ.argmax())
+        at += step
+        step *= 2
+    return len(a)
+
+
+def _extended(x: np.ndarray, y: np.ndarray, anchors: list[dict], same: bool) -> Iterator[tuple[int, int, int]]:
+    """(place in x, place in y, words) of the matches that the anchors lie in, both ways as far as words are equal.
+
+    With ``same`` both are one text, and a match ends before it runs into its copy.
+    """
+    diagonal, end = None, 0
+    for d, p in sorted((a["place"] - a["first_place"], a["place"]) for a in anchors):
+        q = p - d
+        if d == diagonal and p + WORDS <= end:
+            continue
+        most = min(len(x) - p, len(y) - q, d if same else len(x))
+        n = _common(x[p : p + most], y[q : q + most]) if most >= WORDS else 0
+        if n < WORDS:  # of another row with this key
+            continue
+        back = min(p, q, d - n if same else p)
+        back = _common(x[p - back : p][::-1], y[q - back : q][::-1])
+        diagonal, end = d, p + n
+        yield p - back, q - back, back + n
+
+
+_ALIKE = "id long, removed boolean, place int, n_words int, first_id long"
+
+
+def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for first, texts in slices(part.column(3)):
+            for second, others in slices(part.column(4).slice(first, len(texts))):
+                rows = part.slice(first + second, len(others))
+                coded = [t.dictionary_encode() for t in (texts.slice(second, len(others)), others)]
+                own = [words(c.dictionary, SPACED) for c in coded]
+                row = lambda k, i: own[k].hash[own[k].offset[i] : own[k].offset[i + 1]]  # noqa: B023, E731
+                out = []
+                for id_, first_id, anchors, i, j in zip(*(rows.column(k).to_pylist() for k in range(3)), *(c.indices.to_pylist() for c in coded), strict=True):
+                    for at, there, n in _extended(row(0, i), row(1, j), anchors, id_ == first_id):
+                        out += [(id_, True, at, n, first_id), (first_id, False, there, n, first_id)]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "removed", "place", "n_words", "first_id"])
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80) -> DataFrame:
     """The spans that repeat across texts: (key, first_word, n_words, kind, first_id, removed).
 
@@ -141,10 +194,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     posted = units.where("signature IS NULL").select("id", "place", "n_words", "hash")
     found = posted.join(ranked(posted, "hash").where("first.id <> last"), "hash")
     found = found.where((F.col("id") != F.col("first.id")) | (F.col("place") == F.col("first.place")) | (F.col("place") >= F.col("first.place") + WORDS))
-    found = stash(found.select("id", "place", "n_words", F.col("first.id").alias("first_id"), (F.struct("id", "place") != F.col("first")).alias("removed")))
+    found = found.where(F.struct("id", "place") != F.col("first")).groupBy("id", F.col("first.id").alias("first_id"))
+    found = stash(found.agg(F.collect_list(F.struct("place", F.col("first.place").alias("first_place"))).alias("anchors")))
+    ends = stash(found.select("id").union(found.select("first_id")).distinct())
+    ends = F.broadcast(ends) if ends.count() <= KEYS else ends
+    texts = source.join(ends, "id", "left_semi")
+    both = found.join(texts, "id").join(texts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
+    alike = both.select("id", "first_id", "anchors", "text", "first_text").mapInArrow(_alike, _ALIKE)
+    # One row a word at most, so that a text that keeps a very common passage stays small.
+    alike = alike.groupBy("id", "removed", "place").agg(F.max("n_words").alias("n_words"), F.min("first_id").alias("first_id"))
     by = Window.partitionBy("id", "removed").orderBy("place")
-    apart = F.coalesce(F.col("place") > F.lag(F.col("place") + F.col("n_words")).over(by), F.lit(True))
-    spans = found.withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(by)).groupBy("id", "removed", "_span")
+    before = F.max(F.col("place") + F.col("n_words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = alike.withColumn("_apart", F.coalesce(F.col("place") > before, F.lit(True)).cast("int")).withColumn("_span", F.sum("_apart").over(by)).groupBy("id", "removed", "_span")
     spans = spans.agg(F.min("place").alias("first_word"), F.max(F.col("place") + F.col("n_words")).alias("_end"), F.min("first_id").alias("first_id"))
     spans = spans.select("id", "first_word", (F.col("_end") - F.col("first_word")).alias("n_words"), F.lit("window").alias("kind"), "first_id", "removed")
 

@@ -162,6 +162,21 @@ def test_every_occurrence_of_a_shared_passage_goes(spark):
     assert 32 <= len(out[3].split()) < 400 and len(out[4].split()) < 32
 
 
+def test_spans_reach_the_ends_of_a_passage(spark):
+    say = speaker(12)
+    sizes = [51, 60, 120, 300] * 5
+    passages = [say(n) for n in sizes]
+    edges = [(say(7), say(6)) for _ in sizes]
+    texts = [f"{say(8)} {p} {say(9)}" for p in passages] + [f"{a} {p} {b}" for (a, b), p in zip(edges, passages, strict=True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = substring_dedup.repeats(df).where("kind = 'window'")
+    got = {(r.doc_id, r.first_word, r.n_words, r.first_id, r.removed) for r in spans.collect()}
+    n = len(sizes)
+    assert got == {(i, 8, s, i, False) for i, s in enumerate(sizes)} | {(n + i, 7, s, i, True) for i, s in enumerate(sizes)}
+    out = {r.doc_id: r.text.split() for r in substring_dedup.remove(df, spans).collect()}
+    assert [out[n + i] for i in range(n)] == [f"{a} {b}".split() for a, b in edges]
+
+
 def _shards(spark, texts):
     rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     sizes, held = Counter(r.shard for r in rows), defaultdict(set)
