@@ -58,8 +58,6 @@ RULES = (
     ("BSD", ("bsd_grant", "bsd_source")),
     ("Proprietary", ("reserved",)),
 )
-#: Every known sentence holds one of these.
-ANCHOR = "(?i)licen[sc]ed?|permission|warranty|redistribut|free software|rights reserved"
 
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
@@ -75,7 +73,7 @@ def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCE
     names = ("sentence_ids", "licenses", "n_known")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     source = F.coalesce(F.col(text), F.lit(""))
-    found = F.when(source.rlike(ANCHOR), identifiers(source, sentences)).otherwise(F.array().cast("array<string>"))
+    found = identifiers(source, sentences)
     # A generator, so that no filter on the result is moved below it.
     out = df.select(*kept, F.inline(F.transform(F.array(found), lambda ids: F.struct(F.array_join(ids, " ").alias("sentence_ids"), F.size(ids).cast("long").alias("n_known")))))
     matches = [F.when(F.col("sentence_ids").rlike(r"(^| )" + r"( \S+)* ".join(ids) + r"( |$)"), F.lit(name)) for name, ids in rules]

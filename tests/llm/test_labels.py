@@ -104,3 +104,12 @@ def test_licences(spark, text, ids, names):
     df = spark.createDataFrame([(text, "old")], "text string, licenses string")
     r = license_scan.scan(df).first()
     assert (r.sentence_ids, r.licenses, r.n_known) == (ids, names, len(ids.split()))
+
+
+def test_licence_sentences_need_no_anchor(spark):
+    texts = ["All  rights reserved", "All rights\u00a0reserved", "ALL RIGHTS-RESERVED", "This program is free  software", "Made by\nhand."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.n_known) for r in license_scan.scan(df).collect()}
+    assert got == {0: ("reserved", 1), 1: ("reserved", 1), 2: ("reserved", 1), 3: ("fsf_free", 1), 4: ("", 0)}
+    own = license_scan.scan(df, sentences={"made by": "made", "hand": "hand"}, rules=(("Hand", ("made", "hand")),))
+    assert {r.doc_id: r.licenses for r in own.collect()} == {0: "", 1: "", 2: "", 3: "", 4: "Hand"}
