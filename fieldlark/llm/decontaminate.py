@@ -69,15 +69,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
-def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each test suffix: the range of the suffix array that its window has, the longest match, and where.
+def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each test suffix the range of the suffix array that its window has; for each place there the longest match.
 
     All ranges narrow together: round k keeps the suffixes whose word k is the test suffix's word k.
     """
     n, m = len(items.start), len(text)
     low, high = np.zeros(n, np.int64), np.full(n, m, np.int64)
     from_, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    depth, at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    depth = np.zeros(m, np.int64)
     active = np.arange(n)
     k = 0
     while len(active):
@@ -90,10 +90,12 @@ def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarra
         active, left, right = active[found], left[found], right[found]
         low[active], high[active] = left, right
         k += 1
-        depth[active], at[active] = k, order[left]
+        begin, first = np.unique(left, return_index=True)  # ranges of one round are equal or apart
+        many = right[first] - begin
+        depth[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())] = k
         full = items.size[active] == k
         from_[active[full]], to[active[full]] = left[full], right[full]
-    return from_, to, depth, at
+    return from_, to, depth
 
 
 def _bisect(text: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, k: int, right: bool) -> np.ndarray:
@@ -187,7 +189,7 @@ def shard(texts: pa.Array, items: Items) -> tuple[np.ndarray, list[np.ndarray],
     text = rank[np.minimum(where, len(rank) - 1)]
     text[np.cumsum(gaps) - 1] = 0
     order = suffix_array(text)
-    from_, to, depth, spot = search(text, order, items)
+    from_, to, depth = search(text, order, items)
     hit = np.flatnonzero(to > from_)
     many = to[hit] - from_[hit]
     if len(hit):
@@ -202,11 +204,12 @@ def shard(texts: pa.Array, items: Items) -> tuple[np.ndarray, list[np.ndarray],
         place = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         for r, a, b in zip(*_runs(row[place]), strict=True):
             hits[r] = (place[a:b] - own.offset[r]).astype(np.int32)
-    best = np.argsort(depth, kind="stable")
-    best = best[depth[best] > 0]
-    r = row[where[spot[best]]]
-    for i, x in zip(best.tolist(), r.tolist(), strict=True):  # the longest is last
-        longest[x], at[x] = int(depth[i]), int(where[spot[i]] - own.offset[x])
+    place = np.flatnonzero(depth)
+    start, depth = where[order[place]], depth[place]
+    best = np.lexsort((start, -depth, row[start]))  # of each row the longest, the first of equal ones
+    x, first = np.unique(row[start[best]], return_index=True)
+    for r, i in zip(x.tolist(), best[first].tolist(), strict=True):
+        longest[r], at[r] = int(depth[i]), int(start[i] - own.offset[r])
     return n_words, hits, found, longest, at
 
 

@@ -110,6 +110,13 @@ def test_longest_match_and_place(spark):
     assert (r.longest, r.longest_at, r.n_hit) == (4, 2, 4)
 
 
+def test_longest_match_of_each_copy(spark):
+    texts = ["x y one two three four z", "one two three four", "y two three four", "q q", "x one two three", "one two three x one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.longest, r.longest_at) for r in decontaminate.matches(df, spark.createDataFrame([(1, "zero one two three four five")], "item_id long, text string"), window=3).collect()}
+    assert got == {0: (4, 2), 1: (4, 0), 2: (3, 1), 3: (0, None), 4: (3, 1), 5: (5, 4)}
+
+
 def shared(rows, n):
     own = defaultdict(set)
     for i, t in rows:
