@@ -29,18 +29,31 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))))
 
 
+def _keys(text: Column, least: float) -> Column:
+    """Blocking keys: trigrams, and for texts short enough to lack a common one bigrams, then letters.
+
+    Two texts without a common n-gram match in blocks of n - 1 letters at most, and between two blocks one text has
+    an unmatched letter. So their total length is at most 1 / (least * (1 + 1 / (2 * (n - 1))) - 1).
+    """
+    keys = grams(text)
+    for n in (3, 2):
+        rest = least * (1 + 1 / (2 * (n - 1))) - 1
+        shorter = grams(text, n - 1)
+        keys = F.concat(keys, shorter if rest <= 0 else F.when(F.length(text) <= 1 / rest + 1e-6, shorter).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(keys)
+
+
 def resolve(names: DataFrame, aliases: DataFrame, name: str = "name", alias: str = "alias", value: str = "canonical_id", least: float = NEAR) -> DataFrame:
     """The best alias of each distinct name: exact 0.99, else the most similar at ``least`` or more; ``auto`` at 0.95 or more.
 
-    Candidates share a trigram; a pair at the threshold always does (names of three letters or more), so
-    blocking loses none. Ties go to the smallest value.
+    Candidates share a blocking key, which a pair at the threshold always does, short names too. Ties go to the smallest value.
     """
     distinct = names.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
     known = aliases.select(F.col(alias).alias("_a"), F.col(value).alias("_v")).distinct()
     exact = distinct.join(known, F.col("_n") == F.col("_a")).groupBy("_n").agg(F.min("_v").alias("_v")).select("_n", "_v", F.lit(0.99).alias("confidence"))
     rest = distinct.join(exact, "_n", "left_anti")
-    left = rest.select("_n", F.explode(grams(F.col("_n"))).alias("_g"))
-    right = known.select("_a", "_v", F.explode(grams(F.col("_a"))).alias("_g"))
+    left = rest.select("_n", F.explode(_keys(F.col("_n"), least)).alias("_g"))
+    right = known.select("_a", "_v", F.explode(_keys(F.col("_a"), least)).alias("_g"))
     close = F.abs(F.length("_n") - F.length("_a")) * least <= (1 - least) * 2 * F.greatest(F.length("_n"), F.length("_a"))
     pairs = left.join(right, "_g").where(close).select("_n", "_a", "_v").distinct()
     scored = pairs.withColumn("_s", similarity("_n", "_a")).where(F.col("_s") >= least)

@@ -167,3 +167,16 @@ def test_player_minutes_are_imputed(spark):
     lineups = spark.createDataFrame([(1, None)], "player_id int, minutes int")
     got = {r.player_id: r.score for r in aggregates.player_scores(lineups, events).collect()}
     assert got[1] == pytest.approx(min(100, 50 + 1.5 * (9 + 6 + 12))) and got[2] == pytest.approx(50 - 1.5 * 18)
+
+
+def test_fuzzy_resolution_of_short_names(spark):
+    from difflib import SequenceMatcher
+
+    aliases = ["koln", "lyon", "abcdef", "ab", "a", "roma fc", "xyzxyzxy"]
+    names = ["koeln", "lyxon", "abxcdyef", "ac", "b", "romafc", "rxoma fc", "xyazxybzxy"]
+    got = {r.name: (r.canonical_id, r.confidence) for r in resolve.resolve(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(a, a) for a in aliases], "alias string, canonical_id string")).collect()}
+    want = {}
+    for n in names:
+        score, alias = min((-SequenceMatcher(None, n, a).ratio(), a) for a in aliases)
+        want[n] = (alias, -score) if -score >= resolve.NEAR else (None, None)
+    assert got == want and [got[n][0] for n in names[:3]] == ["koln", "lyon", "abcdef"]
