@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces that a worker remembers, and the longest it remembers; others are encoded anew.
-MEMORY, LONGEST = 400_000, 64
+#: Bytes of pieces, about, that a worker remembers within a partition, and the longest piece it remembers;
+#: others are encoded anew. EACH is what a remembered piece costs beside its bytes.
+MEMORY, LONGEST, EACH = 32 << 20, 64, 240
 #: Pieces that the library encodes in a call.
 BATCH = 8192
 #: A stretch of bytes, again, and its first byte a third time.
@@ -35,7 +37,7 @@ REPEATS = re.compile(rb"((.).*?)\1\2", re.DOTALL)
 #: The split rule that ``boundaries`` follows; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def byte_characters() -> dict[int, str]:
@@ -98,7 +100,13 @@ class Codec:
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.size = np.zeros(max(table.values()) + 1, np.int64)
         self.size[list(table.values())] = [len(t) for t in table]
+        self.longest = max(map(len, table))
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def kind(self, chars: np.ndarray) -> np.ndarray:
         """The classes of code points, by how the library's own splitter joins each to a letter, a digit or a sign."""
@@ -110,24 +118,37 @@ class Codec:
             found = self.kinds[chars]
         return found
 
+    def repeats(self, piece: bytes) -> bool:
+        """Whether a stretch that may lie in a token comes again at once, with its first byte a third time."""
+        if len(piece) <= LONGEST:
+            return bool(REPEATS.search(piece))
+        raw = np.frombuffer(piece, np.uint8)
+        for lag in range(1, min(self.longest, len(raw) // 2 + 1)):
+            apart = np.flatnonzero(raw[lag:] != raw[:-lag])  # between two of these the bytes repeat after ``lag``
+            if np.diff(apart, prepend=-1, append=len(raw) - lag).max() > lag + 1:
+                return True
+        return False
+
     def merge(self, piece: bytes) -> list[int]:
         """Merge neighbours by rank, the leftmost of equal rank first."""
         if piece in self.table:
             return [self.table[piece]]
-        part, left, right = [piece[i : i + 1] for i in range(len(piece))], [*range(-1, len(piece) - 1)], [*range(1, len(piece) + 1)]
-        ready = [(self.table[a + b], i, a, b) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if a + b in self.table]
+        n, rank = len(piece), self.table.get
+        part = [piece[i : i + 1] for i in range(n)]
+        left, right = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        ready = [r * n + i for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapify(ready)
         while ready:
-            _, i, a, b = heappop(ready)
+            r, i = divmod(heappop(ready), n)
             j = right[i]
-            if part[i] != a or j >= len(part) or part[j] != b:
+            if not part[i] or j >= n or rank(part[i] + part[j]) != r:
                 continue  # one of the two has merged since
-            part[i], part[j], right[i] = a + b, b"", right[j]
-            if right[j] < len(part):
+            part[i], part[j], right[i] = part[i] + part[j], b"", right[j]
+            if right[j] < n:
                 left[right[j]] = i
             for k in (left[i], i):
-                if k >= 0 and right[k] < len(part) and (both := part[k] + part[right[k]]) in self.table:
-                    heappush(ready, (self.table[both], k, part[k], part[right[k]]))
+                if k >= 0 and right[k] < n and (r := rank(part[k] + part[right[k]])) is not None:
+                    heappush(ready, r * n + k)
         return [self.table[x] for x in part if x]
 
     def fresh(self, pieces: list[str]) -> dict[str, bytes]:
@@ -146,7 +167,7 @@ class Codec:
             out.update(zip(some, (ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
         for piece in pieces:
             raw = piece.encode()
-            if len(raw) > LONGEST or REPEATS.search(raw):
+            if self.repeats(raw):
                 out[piece] = np.array(self.merge(raw), np.int32).tobytes()
         return out
 
@@ -177,9 +198,13 @@ class Codec:
         found = self.known
         codes = self.fresh([p for p in distinct if p not in found])
         ids = [found[p] if p in found else codes[p] for p in distinct]
-        if len(found) + len(codes) > MEMORY:
-            found.clear()
-        found.update((p, c) for p, c in codes.items() if len(p) <= LONGEST)
+        short = {p: c for p, c in codes.items() if len(p) <= LONGEST}
+        more = sum(EACH + len(p) + len(c) for p, c in short.items())
+        if self.held + more > MEMORY:
+            self.forget()
+        if more <= MEMORY:
+            found.update(short)
+            self.held += more
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
         start = np.cumsum(size) - size
@@ -253,6 +278,7 @@ def encode(df: DataFrame, path: str, pattern: str = PATTERN, text: str = "text",
                     made.append(own.starts(texts, made[0]))
                 columns = part.slice(first, len(texts)).columns[:at]
                 yield pa.RecordBatch.from_arrays([*columns, *made], schema.names)
+        own.forget()
 
     return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{source}`"].alias("_source")).mapInArrow(batches, schema)
 
