@@ -4,7 +4,11 @@ A text is reduced to lower-case letters and single blanks, and compressed with e
 dictionary that leaves the fewest bytes names the language. The score is the margin to the runner-up as a
 share of the runner-up's size; below ``reject`` the operator's own verdict is null.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0. Ties are compressed
+Learned is a bounded sample: of each of at most LANGUAGES languages, the most frequent ones, about TEXTS texts
+chosen by a hash of the key among those that fill at most an eighth of a dictionary, whole ones in the order of
+that hash until the dictionary's DICTIONARY bytes are full.
+
+Defined results: a null text, or one without letters (Unicode category L), is ``und`` with score 0. Ties are compressed
 anew at the highest level, and then go to the language with more labelled texts. Very long texts are compressed whole
 in linear time. With no labelled text at all every text is ``und``. Repeated rows are scored alike; other
 columns pass through, and columns named like an output are replaced.
@@ -21,14 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled texts a language is learned from, about; bytes of a dictionary; compression level.
-TEXTS, DICTIONARY, LEVEL = 400, 1 << 18, 6
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Labelled texts a language is learned from, about; bytes of a dictionary; compression level; languages at most.
+TEXTS, DICTIONARY, LEVEL, LANGUAGES = 400, 1 << 18, 6, 200
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1)
+def not_letters() -> re.Pattern:
+    """Runs of other characters than letters: of ``\\w`` all that is a digit, a number or an underscore too."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W_{numbers}]+")
+
+
 def letters(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
+    return not_letters().sub(" ", text.lower()).strip().encode() if text else b""
 
 
 def chance(key: Column) -> Column:
@@ -36,22 +46,23 @@ def chance(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """A dictionary per language, from about ``texts`` of its rows chosen by a hash of ``key``: a bounded sample."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = rows.groupBy(lang).count().select(F.col(lang), (F.lit(float(texts)) / F.col("count")).alias("_share"))
-    drawn = rows.join(F.broadcast(share), lang).where(chance(F.col(key)) < F.col("_share")).select(lang, F.col(key).alias("_key"), F.col(text).alias("_text"))
-    counts = dict(rows.groupBy(lang).count().collect())
-    out: dict[str, dict[bytes, None]] = {}
-    for row in drawn.toLocalIterator():
-        lines = out.setdefault(row[0], {})
-        lines |= dict.fromkeys(sorted({line for x in row["_text"].split("\n") if (line := letters(x))}, key=len)[-8:])
-    found = {}
-    for name in sorted(out, key=lambda n: (-counts[n], n)):
-        lines = sorted(out[name])
-        each = max(64, size // max(1, len(lines)))
-        found[name] = b" ".join(line[:each] for line in lines)[-size:]
-    return {name: content for name, content in found.items() if content}
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary per language, from about ``texts`` of its rows: at most texts * size / 8 bytes a language reach the driver."""
+    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) <= size // 8))
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
+    if not counts:
+        return {}
+    share = F.element_at(F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, texts / n)))), F.col(lang))
+    drawn = rows.where(chance(F.col(key)) < F.coalesce(share, F.lit(0.0))).select(F.col(lang).alias("_lang"), chance(F.col(key)).alias("_at"), F.col(text).alias("_text"))
+    out: dict[str, list[bytes]] = {name: [] for name in counts}
+    held, met = dict.fromkeys(counts, 0), set()
+    for name, _, whole in drawn.orderBy("_at", "_lang", "_text").toLocalIterator():
+        raw = letters(whole)
+        if raw and raw not in met and held[name] + len(raw) <= size:
+            met.add(raw)
+            out[name].append(raw)
+            held[name] += len(raw) + 1
+    return {name: b" ".join(found) for name, found in out.items() if found}
 
 
 class Judge:
