@@ -21,7 +21,7 @@ from fieldlark.llm.common import stash
 
 #: Labelled rows that the list is learned from, about: a bounded sample.
 ROWS = 20_000
-#: Words of a window, bits that hold a window's place while its hash sorts.
+#: Words of a window, bits that hold a window's place while its hash sorts; longer texts sort hash and place apart.
 WINDOW, PLACE = 5, 24
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "other_share", "dup_line_share", "repeat_share", "line_words")
 BINS = 24
@@ -35,15 +35,15 @@ def words(text: Column) -> Column:
 def repeated_words(words: Column, n: int = WINDOW) -> Column:
     """Words inside windows of ``n`` words that occur twice or more.
 
-    Windows sort by (part of a hash, place) packed in a long; neighbours of equal hash are the candidates, and
-    their words are compared before they count.
+    Windows sort by (part of a hash, place), packed in a long where the place fits; neighbours of equal hash are
+    the candidates, and their words are compared before they count.
     """
     size = F.size(words)
     low = (1 << PLACE) - 1
     window = lambda i: F.slice(words, i, n)
-    packed = F.sort_array(
-        F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.xxhash64(window(i)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-    )
+    places = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
+    packed = F.sort_array(F.transform(places, lambda i: F.xxhash64(window(i)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    apart = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(window(i)).alias("h"), i.alias("i"))))
     same = lambda a, b: F.shiftright(a, PLACE) == F.shiftright(b, PLACE)
     at = lambda xs, i: F.get(xs, i)
 
@@ -51,6 +51,10 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
         near = F.filter(xs, lambda x, i: F.coalesce(same(x, at(xs, i - 1)), F.lit(False)) | F.coalesce(same(x, at(xs, i + 1)), F.lit(False)))
         return F.transform(near, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
 
+    def candidates_apart(xs: Column) -> Column:
+        near = F.filter(xs, lambda x, i: F.coalesce(x["h"] == at(xs, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == at(xs, i + 1)["h"], F.lit(False)))
+        return F.transform(near, lambda x: x["i"])
+
     def confirmed(places: Column) -> Column:
         rows = F.sort_array(F.transform(places, lambda i: F.struct(F.array_join(window(i), " ").alias("w"), i.alias("i"))))
         return F.array_sort(F.transform(_twins(rows), lambda r: r["i"]))
@@ -60,7 +64,8 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
 
     step = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  names a value within an expression
-    found = step(step(packed, candidates), lambda places: F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(step(confirmed(places), covered)))
+    near = F.when(size < (1 << PLACE), step(packed, candidates)).otherwise(step(apart, candidates_apart))
+    found = step(near, lambda places: F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(step(confirmed(places), covered)))
     return F.when(size < n + 1, F.lit(0).cast("long")).otherwise(found)
 
 
