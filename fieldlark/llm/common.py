@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,33 +16,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of this application, which driver and executors share."""
+    """The checkpoint folder of this application, which driver and executors share.
+
+    It is the session's ``spark.checkpoint.dir``; a folder of this machine is made only for a local master.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+#: Tables that ``stash`` has written and nobody has released.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage at a copy that outlives any executor. The copy is removed when the driver ends.
+    Cuts the lineage at a copy that outlives any executor. ``release`` removes the copy, at the latest the
+    driver's end does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
+def release(*tables: DataFrame) -> None:
+    """Remove stashed tables that nothing will read again."""
+    for t in tables:
+        _remove(t._stash)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_WRITTEN):
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    sc = spark and spark.sparkContext
+    if not sc or sc._jsc is None or sc._jsc.sc().isStopped():
         return
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Groups that ``joined_groups`` broadcasts at most, and rows that a group holds at least to be one of them.
+HOT_GROUPS, HOT_ROWS = 250_000, 1000
+
+
+def joined_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` joined with its ``groups``, a stashed table of one row per ``keys`` and n, the group's rows in ``df``.
+
+    Groups of more than HOT_ROWS rows and a HOT_GROUPS-th of all are broadcast: fewer than HOT_GROUPS can be so
+    large. Their rows stay where they are; the others meet in a shuffle, where no group is hot.
+    """
+    total, most = groups.agg(F.sum("n"), F.max("n")).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_GROUPS)
+    if (most or 0) <= least:
+        return df.join(groups, keys)
+    return df.join(F.broadcast(groups.where(F.col("n") > least)), keys).unionByName(df.join(groups.where(F.col("n") <= least), keys))
+
+
+def with_groups(df: DataFrame, keys: list[str], *aggs: Column, where: str = "n > 1") -> tuple[DataFrame, DataFrame]:
+    """(``df`` with n and ``aggs`` of each row's group, the stashed groups), of the groups where ``where`` holds. Null keys have none."""
+    groups = stash(df.groupBy(*keys).agg(F.count("*").alias("n"), *aggs).where(where))
+    return joined_groups(df, groups, keys), groups
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, bucket: str, weight: str | None = None) -> DataFrame:
     """Add the exclusive running sum of ``weight`` (1 if None) within ``keys``, ordered by (bucket, order).
 
@@ -60,20 +112,23 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, bucket:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of the undirected ``edges`` (a long, b long): rows (node, component), the component's smallest node.
 
-    Alternates large-star and small-star steps; each is a grouped minimum and a join, so no node's
-    neighbours are ever gathered, and the rounds grow with the logarithm of the longest path.
-    Raises if ``rounds`` do not suffice. No edges: no rows. Self-loops and repeated edges do no harm.
+    Alternates large-star and small-star steps; each is a grouped minimum joined back, so no node's
+    neighbours are ever gathered, a node of very many is met where they are, and the rounds grow with the
+    logarithm of the longest path. Raises if ``rounds`` do not suffice. No edges: no rows. Self-loops and
+    repeated edges do no harm.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         if _stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large, nodes = with_groups(both, ["u"], F.min("v").alias("m"), where="n > 0")
+        large = stash(large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small, least = with_groups(large, ["u"], F.min("v").alias("m"), where="n > 0")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(now, nodes, large, least)
+        now = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -3,15 +3,18 @@
 Texts with the same words fall together first. Of the rest, each signature is posted under its (coordinate,
 value) pairs. A partner must share ``least`` of the pairs, so a text that shares fewer with anybody is done,
 and otherwise it is posted only under its rarest shared pairs, as many as leave ``least - 1`` out (prefix).
-Long posting lists are not multiplied out: each list's most central text is compared with the whole list, what
-that links is one component, and lists that hold one component only are skipped (skip). The lists left are
-compared in blocks of bounded size: collisions are counted on whole signatures, pairs at or above ``least`` are
-confirmed on the full sets, and only the links that join components come out.
+Long posting lists are not multiplied out: each list's most central text is compared with the whole list, first
+by signature and then by set; what that links is one component, and lists that hold one component only are
+skipped (skip). Of a list that is still open, the rows outside its largest component are compared with all its
+rows, in blocks of bounded size. Where even those rows are many, the texts of the list are posted anew under
+the rarest shingles that a partner must share one of, which texts with a passage in common and nothing else do
+not. Pairs at or above ``least`` are confirmed on the full sets, and only links that join components come out.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; a text with
 fewer words than a shingle is one shingle. Of a component the smallest key stays. Equal texts are one class,
-however many; repeated rows of one key are in its class. Null keys are classes of their own. Only key and text
-are read, so other columns do not matter. ``least`` misses a pair at exactly the threshold with odds of 3e-5.
+however many; repeated rows of one key are judged each by its own text. Rows with a null key are linked with
+nothing. Keys are of any type that has an order. Only key and text are read, so other columns do not matter.
+``least`` misses a pair at exactly the threshold with odds of 3e-5.
 """
 
 from __future__ import annotations
@@ -20,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldlark.llm.common import components, stash
+from fieldlark.llm.common import components, joined_groups, release, stash, with_groups
 from fieldlark.llm.textkernel import SPACED, _powers, mixed, shingles, slices, words
 
 COORDINATES, LEAST = 64, 38
-#: Keys that are broadcast at most (8 bytes each); beyond, the join shuffles.
-KEYS = 4_000_000
-#: Rows, and hashes of their sets, that a block of a posting list holds, about.
-BLOCK_ROWS, BLOCK_HASHES = 2048, 1 << 20
+#: Keys that are broadcast at most; beyond, the join shuffles.
+KEYS = 500_000
+#: Rows, and hashes of their sets, that each side of a block of a posting list holds, about.
+BLOCK_ROWS, BLOCK_HASHES = 512, 1 << 18
 _STEP = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,11 +85,10 @@ def _sign(n: int):
 def _full(n: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first, texts in slices(part.column(1)):
+            for _, texts in slices(part.column(0)):
                 lines, found = zip(*sets(texts, n), strict=True)
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(texts)), pa.array(lines, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "line", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["id", "hashes"])
 
     return batches
 
@@ -94,13 +97,13 @@ def _compare(least: int, share: int):
     def block(group: pa.Table) -> pa.Table:
         """The links of a block that join components, a forest."""
         here = group.column("key")[0].as_py()
-        ids, whole = group.column("id").to_numpy(), group.column("component").to_numpy()
-        side = group.column("side").to_numpy()
+        ids, whole, first = (group.column(c).to_numpy() for c in ("id", "component", "first"))
         prefix = group.column("prefix").to_pylist()
         among = [set(p) for p in prefix]
         full = group.column("hashes").combine_chunks()
         flat, ends = full.flatten().to_numpy(), full.offsets.to_numpy() - full.offsets[0].as_py()
         signature = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        minor = {*ids[first].tolist()}
         parent = {c: c for c in whole.tolist()}
 
         def root(c: int) -> int:
@@ -110,13 +113,12 @@ def _compare(least: int, share: int):
             return c
 
         links = []
-        for i in range(len(ids)):
-            others = np.flatnonzero((whole[i + 1 :] != whole[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))) + i + 1
-            if not len(others):
-                continue
+        all_ = np.flatnonzero(~first)
+        for i in np.flatnonzero(first).tolist():
+            others = all_[whole[all_] != whole[i]]
             others = others[(signature[others] == signature[i]).sum(axis=1) >= least]
             for j in others.tolist():
-                if root(int(whole[i])) == root(int(whole[j])) or next(k for k in prefix[i] if k in among[j]) != here:
+                if root(int(whole[i])) == root(int(whole[j])) or (ids[j] < ids[i] and int(ids[j]) in minor) or next(k for k in prefix[i] if k in among[j]) != here:
                     continue
                 a, b = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
@@ -128,6 +130,40 @@ def _compare(least: int, share: int):
     return block
 
 
+def spread(key: Column, rows: int) -> Column:
+    """A number in as many as the square root of ``rows`` that depends on ``key``."""
+    return F.pmod(F.xxhash64(F.lit("spread"), key), F.lit(max(1, int(rows**0.5)))).cast("int")
+
+
+def both_ends(pairs: DataFrame, values: DataFrame, end: str, name: str) -> DataFrame:
+    """``pairs`` (id, ``end``, bucket) with ``name`` of both as own and other, from ``values`` (id, name).
+
+    Many pairs may have one ``end``: its value is sent once a bucket, not once a pair, and its pairs go to as many tasks.
+    """
+    ends = pairs.select(end, "bucket").distinct().join(values.select(F.col("id").alias(end), F.col(name).alias("other")), end)
+    return pairs.join(values.select("id", F.col(name).alias("own")), "id").join(ends, [end, "bucket"])
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """Of each list that holds several components: its rows (n), its largest component (major), and the others' rows and hashes."""
+    cells = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    held = cells.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max_by(F.struct("component", "n", "size"), F.struct("n", "component")).alias("m"))
+    return held.where(F.col("n") > F.col("m.n")).select("key", "n", "size", F.col("m.component").alias("major"), (F.col("n") - F.col("m.n")).alias("minor"), (F.col("size") - F.col("m.size")).alias("minor_size"))
+
+
+def _blocks(lists: DataFrame, open_: DataFrame, placed: DataFrame, values: DataFrame, least: int, share: int) -> DataFrame:
+    """Links between the rows of open lists: those outside the largest component against all, block by block."""
+    chunks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_HASHES), F.lit(1)).cast("int")
+    open_ = stash(open_.select("key", "n", "major", chunks("minor", "minor_size").alias("few"), chunks("n", "size").alias("all")))
+    met = joined_groups(lists.select("id", "key"), open_, ["key"]).join(placed, "id").join(values, "id")
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    columns = ["id", "component", "prefix", "signature", "hashes", "key"]
+    each = met.select(*columns, own("all").alias("y"), F.explode(upto("few")).alias("x"), F.lit(False).alias("first"))
+    few = met.where(F.col("component") != F.col("major")).select(*columns, own("few").alias("x"), F.explode(upto("all")).alias("y"), F.lit(True).alias("first"))
+    return each.unionByName(few).groupBy("key", "x", "y").applyInArrow(_compare(least, share), "a long, b long")
+
+
 def link_lists(prefixes: DataFrame, signatures: DataFrame, hashes: DataFrame, least: int, share: int) -> DataFrame:
     """Components (node, component) of the ids whose sets are similar, among ids that meet in a posting list.
 
@@ -135,49 +171,115 @@ def link_lists(prefixes: DataFrame, signatures: DataFrame, hashes: DataFrame, le
     ``hashes``: id, hashes (its set, in order).
     """
     lists = prefixes.select("id", "centrality", F.explode("prefix").alias("key"))
-    centres = lists.groupBy("key").agg(F.max_by("id", F.struct("centrality", -F.col("id"))).alias("centre"))
-    pairs = lists.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    both = pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    sized = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"), (F.size("ha") + F.size("hb")).alias("total"))
-    links = stash(sized.where(100 * F.col("both") >= share * (F.col("total") - F.col("both"))).select("a", "b"))
+    central, groups = with_groups(lists, ["key"], F.max_by("id", F.struct("centrality", F.bitwise_not("id"))).alias("centre"))
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    pairs = stash(central.where("id <> centre").select("id", "centre", spread(F.col("id"), rows).alias("bucket")).distinct())
+    alike = F.size(F.filter(F.zip_with("own", "other", lambda x, y: x == y), lambda same: same))
+    near = stash(both_ends(pairs, signatures, "centre", "signature").where(alike >= least).select("id", "centre", "bucket"))
+    sized = both_ends(near, hashes, "centre", "hashes").select("id", "centre", F.size(F.array_intersect("own", "other")).alias("both"), (F.size("own") + F.size("other")).alias("total"))
+    links = stash(sized.where(100 * F.col("both") >= share * (F.col("total") - F.col("both"))).select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    release(groups, pairs, near)
 
     joined = components(links)
-    placed = prefixes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.join(signatures, "id").join(hashes, "id")
-    placed = stash(placed.select("id", "component", "prefix", "signature", "hashes"))
-    lists = placed.select("id", "component", F.size("hashes").alias("size"), F.explode("prefix").alias("key"))
-    open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("size").alias("hashes")).where("lo <> hi")
-    open_ = open_.select("key", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = lists.join(open_, "key").select("id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # A block meets itself (every pair within it) and each other block (pairs across).
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("id", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
-    more = dealt.join(placed, "id").groupBy("key", "lo", "hi").applyInArrow(_compare(least, share), "a long, b long")
-    all_links = stash(links.unionByName(more))
-    return components(all_links)
+    placed = prefixes.select("id", "prefix").join(joined.withColumnRenamed("node", "id"), "id", "left").join(hashes.select("id", F.size("hashes").alias("size")), "id")
+    placed = stash(placed.select("id", "prefix", "size", F.coalesce("component", "id").alias("component")))
+    lists = placed.select("id", "component", "size", F.explode("prefix").alias("key"))
+    open_ = stash(_open(lists))
+    values = signatures.join(hashes, "id")
+    light = _blocks(lists, open_.where(F.col("minor") <= BLOCK_ROWS), placed, values, least, share)
+    more = links.unionByName(light)
+    if not open_.where(F.col("minor") > BLOCK_ROWS).isEmpty():
+        more = more.unionByName(_by_shingles(lists, open_.where(F.col("minor") > BLOCK_ROWS), placed, values, least, share))
+    return components(stash(more))
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80, least: int = LEAST) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row: pairs of sets with 100 * intersection >= share * union are linked.
+def _by_shingles(lists: DataFrame, heavy: DataFrame, placed: DataFrame, values: DataFrame, least: int, share: int) -> DataFrame:
+    """Links among the texts of heavy lists, posted under the shingles of which similar sets must share one.
 
-    ``least`` is the number of coordinates out of COORDINATES that a pair must share to be looked at.
+    Similar sets have ``share`` % of the larger in common, so each is posted under all but that many of its
+    shingles less one, the rarest; those that no other text has find nobody and are left out.
     """
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stash(source.mapInArrow(_sign(n), "id long, line long, n_shingles long, signature array<int>"))
-    usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    lines = stash(usable.groupBy("line").agg(F.min("id").alias("id"), F.min_by("signature", "id").alias("signature")))
+    ids = stash(joined_groups(lists.select("id", "key"), stash(heavy.select("key", "n")), ["key"]).select("id").distinct())
+    few = F.broadcast(ids) if ids.count() <= KEYS else ids
+    posted = values.join(few, "id", "left_semi").select("id", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    shared, _ = with_groups(posted, ["key"])
+    keys = shared.groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    length = F.size("keys") - F.ceil(F.col("size") * (share / 100) - 1e-9).cast("int") + 1
+    again = keys.where(length > 0).select("id", F.transform(F.slice("keys", F.lit(1), length), lambda k: k["key"]).alias("prefix"))
+    again = stash(again.join(placed.drop("prefix"), "id"))
+    lists = again.select("id", "component", "size", F.explode("prefix").alias("key"))
+    return _blocks(lists, _open(lists), again, values, least, share)
+
+
+def _classes(docs: DataFrame, key: str, text: str, n: int, share: int, least: int) -> DataFrame:
+    """(id, line, n_shingles, component, component_id) of every row; ``line`` is a hash of its words."""
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = source.schema["id"].dataType
+    made = T.StructType([T.StructField("id", kind), T.StructField("line", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
+    signed = stash(source.mapInArrow(_sign(n), made))
+    usable = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    lines = stash(signed.where(usable).groupBy(F.col("line").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"), F.min_by("signature", "id").alias("signature")))
     posted = lines.select("id", F.posexplode("signature").alias("i", "v")).select("id", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("key"))
-    frequent = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(frequent, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= least)
+    met, frequent = with_groups(posted, ["key"])
+    shared = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= least)
     first = F.slice("keys", F.lit(1), F.size("keys") - (least - 1))
     prefixes = stash(shared.select("id", F.transform(first, lambda k: k["key"]).alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["n"]).alias("centrality")))
-    ids = prefixes.select("id")
-    ids = F.broadcast(ids) if prefixes.count() <= KEYS else ids
-    hashes = stash(source.join(ids, "id", "left_semi").mapInArrow(_full(n), "id long, line long, hashes array<long>").join(lines.select("id", "line"), ["id", "line"]).select("id", "hashes"))
+    release(frequent)
+    wanted = stash(prefixes.select("id").join(lines.select("id", "doc"), "id"))
+    small = F.broadcast if wanted.count() <= KEYS else (lambda df: df)
+    texts = source.join(small(wanted.select(F.col("doc").alias("id")).distinct()), "id", "left_semi").select("text")
+    hashes = texts.mapInArrow(_full(n), "id long, hashes array<long>").join(small(wanted.select("id")), "id", "left_semi")
+    hashes = stash(hashes.groupBy("id").agg(F.first("hashes").alias("hashes")))
 
     joined = link_lists(prefixes, lines.select("id", "signature"), hashes, least, share)
-    classes = lines.select("line", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("line", F.coalesce("component", "id").alias("component_id"))
-    named = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    out = signed.select("id", "line", "n_shingles").join(classes, "line", "left").select(F.col("id").alias(key), "n_shingles", named.alias("component_id"))
+    linked, _ = with_groups(lines.select("id", "doc").join(joined.withColumnRenamed("node", "id"), "id"), ["component"], F.min("doc").alias("component_id"))
+    named = lines.select("id", "n", "doc").join(linked.select("id", "component", "component_id"), "id", "left")
+    named = stash(named.select(F.col("id").alias("line"), "n", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "doc").alias("component_id")))
+    rows = signed.select("id", "line", "n_shingles")
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("*", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    return joined_groups(rows.where(usable), named, ["line"]).drop("n").unionByName(alone)
+
+
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80, least: int = LEAST) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row: pairs of sets with 100 * intersection >= share * union are linked.
+
+    ``least`` is the number of coordinates out of COORDINATES that a pair must share to be looked at.
+    """
+    out = _classes(docs, key, text, n, share, least).select(F.col("id").alias(key), "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component one row stays, with the smallest key.
+
+    Where rows share that key, the one stays whose words' hash, text and other columns come first. Rows
+    without words and rows with a null key all stay.
+    """
+    found = stash(_classes(docs, key, text, n, share, least))
+    stays = stash(found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "line")).alias("s")).select("s.*"))
+    keys = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.count("component").alias("linked"))
+    gone = keys.where("n = linked").join(stays.select("id").distinct(), "id", "left_anti").select("id")
+    repeated = stash(keys.where("n > 1").select("id").join(gone, "id", "left_anti"))
+    gone = stash(gone)
+    small = lambda df, rows: F.broadcast(df) if rows <= KEYS else df
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(small(gone, gone.count()).withColumnRenamed("id", key), key, "left_anti").select(*names)
+    if many := repeated.count():
+        again = small(repeated, many).withColumnRenamed("id", key)
+        rows = out.join(again, key, "left_semi").select(F.struct(*names).alias("row"))
+        made = T.StructType([*rows.schema.fields, T.StructField("line", T.LongType()), T.StructField("n_shingles", T.LongType())])
+        hashed = rows.select("row", F.col(f"row.`{text}`").alias("text")).mapInArrow(_lines(n), made)
+        own = hashed.select("row", "line", "n_shingles", F.col(f"row.`{key}`").alias("id"))
+        first = own.where("n_shingles > 0").join(stays, ["id", "line"]).groupBy("id", "line").agg(F.min_by("row", F.struct(F.col(f"row.`{text}`"), F.to_json("row"))).alias("row"))
+        out = out.join(again, key, "left_anti").select(*names).unionByName(first.select("row.*")).unionByName(own.where("n_shingles = 0").select("row.*"))
+    return out
+
+
+def _lines(n: int):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, texts in slices(part.column(1)):
+                found = list(sets(texts, n))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(texts)), pa.array([h for h, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())], ["row", "line", "n_shingles"])
+
+    return batches

@@ -3,37 +3,40 @@
 Every document starts in the shard of its key's hash. A group of equal texts is kept as cells (group, shard,
 documents), never as pairs. In a round each cell wants to move to the fullest shard of its group that has room
 or that others leave (to one of as many as the group fills); as many documents go from one shard to another as come back or as the target's quota still
-takes, in a fixed order. Documents without a twin then fill the
+takes, in a fixed order, until no cell moves. Documents without a twin then fill the
 shards up, so that the counts of the shards differ by one at most (law ``rows``).
 
 Defined results: a null text is empty; its size is 8. Groups larger than a shard fill whole shards one after
-another. Repeated keys are rows of their own. No rows: no rows. Other columns are not kept.
+another. Keys are of any type that has an order; repeated keys are rows of their own, and of rows with one key and
+one text any may take any of their slots. No rows: no rows. Other columns are not kept. If cells still move after
+``rounds``, a warning says how many groups are cut.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import ordinal, stash
+from fieldlark.llm.common import joined_groups, ordinal, release, stash
 
 SHARDS = 24
-#: Rows of a bucket that one task orders, about.
-BUCKET = 100_000
 GROUP = ["link", "text_crc32", "size"]
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = 16) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = 60) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = stash(docs.select(F.col(key).cast("long").alias("id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole).alias("link")))
+    rows = stash(docs.select(F.col(key).alias("id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole).alias("link")))
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(1, int(total**0.5))  # each holds as many rows as there are buckets, about
     spread = lambda *c: F.pmod(F.xxhash64(F.lit("bucket"), *c), F.lit(buckets)).cast("int")
+    order = ["id", *GROUP]
 
-    groups = rows.groupBy(*GROUP).agg(F.count("*").alias("members")).where("members > 1")
-    linked = stash(rows.join(groups, GROUP))
+    groups = stash(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1"))
+    linked = stash(joined_groups(rows, groups, GROUP))
     cells = stash(linked.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy(*GROUP, "shard").agg(F.count("*").alias("held")))
     left = set(range(shards))  # shards that documents have left in the last round
     for k in range(rounds):
@@ -57,24 +60,29 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         moves = placed.select(*GROUP, "shard", "target", F.least(F.col("held"), F.greatest(flow - F.col("before"), F.lit(0))).alias("n")).where("n > 0")
         moves = stash(moves)
         changed = cells.unionByName(moves.select(*GROUP, "shard", (-F.col("n")).alias("held"))).unionByName(moves.select(*GROUP, F.col("target").alias("shard"), F.col("n").alias("held")))
-        cells = stash(changed.groupBy(*GROUP, "shard").agg(F.sum("held").alias("held")).where("held > 0"))
+        before, cells = cells, stash(changed.groupBy(*GROUP, "shard").agg(F.sum("held").alias("held")).where("held > 0"))
+        release(before, moves)
+    else:
+        cut = cells.groupBy(*GROUP).count().where("count > 1").count()
+        warnings.warn(f"cells still move after {rounds} rounds; {cut} groups lie in several shards", stacklevel=2)
 
     # The documents of a group in order take its cells' places.
     upto = F.sum("held").over(Window.partitionBy(*GROUP).orderBy("shard"))
-    dealt = cells.withColumn("upto", upto).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cells"))
-    member = ordinal(linked.withColumn("_bucket", spread("id")), GROUP, ["id"], "member", "_bucket")
-    chosen = member.join(dealt, GROUP).select("id", *GROUP, F.get(F.filter("cells", lambda c: F.col("member") < c["upto"]), F.lit(0))["shard"].alias("shard"))
-    seated = stash(ordinal(chosen.withColumn("_bucket", spread("id")), ["shard"], ["id"], "slot", "_bucket"))
+    dealt = cells.withColumn("upto", upto).groupBy(*GROUP).agg(F.max("upto").alias("n"), F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cells"))
+    member = ordinal(linked.drop("n").withColumn("_bucket", spread("id", "link")), GROUP, ["id"], "member", "_bucket")
+    chosen = joined_groups(member, stash(dealt), GROUP).select("id", *GROUP, F.get(F.filter("cells", lambda c: F.col("member") < c["upto"]), F.lit(0))["shard"].alias("shard"))
+    seated = stash(ordinal(chosen.withColumn("_bucket", spread("id", "link")), ["shard"], order, "slot", "_bucket"))
     fits = F.col("slot") < F.get(F.array(*map(F.lit, quota)), F.col("shard"))
     held = dict(seated.where(fits).groupBy("shard").count().collect())  # one row a shard
-    alone = rows.join(groups.select(*GROUP), GROUP, "left_anti").select("id", *GROUP)
-    pool = alone.unionByName(seated.where(~fits).select("id", *GROUP)).withColumn("_all", F.lit(0)).withColumn("_bucket", spread("id"))
+    # A group's first row stands for it where the group is one row, so that no hot group is looked up.
+    single = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1")
+    pool = single.select("id", *GROUP).unionByName(seated.where(~fits).select("id", *GROUP)).withColumn("_all", F.lit(0)).withColumn("_bucket", spread("id", "link"))
     ends, begins, at = [], [], 0
     for s in range(shards):
         begins.append(at - held.get(s, 0))
         at += quota[s] - held.get(s, 0)
         ends.append(at)
-    queued = ordinal(pool, ["_all"], ["id"], "queue", "_bucket")
+    queued = ordinal(stash(pool), ["_all"], order, "queue", "_bucket")
     shard = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("queue")))
     filled = queued.withColumn("shard", shard).withColumn("slot", F.col("queue") - F.get(F.array(*map(F.lit, begins)), F.col("shard")))
     columns = ["id", "size", "text_crc32", "shard", "slot"]

@@ -1,6 +1,6 @@
 """Substring deduplication: paragraph MinHash banding, and verbatim windows for passages inside paragraphs.
 
-A paragraph is a line of at least ``least_words`` words. Equal paragraphs are one; the others are banded on their
+A paragraph is a line of at least ``least_words`` words (five at least, a shingle). Equal paragraphs are one; the others are banded on their
 MinHash signatures, those that meet in a band are verified by exact Jaccard similarity of five-word shingles, and
 the linked ones form components. A passage set into the middle of a line is no paragraph, so windows of WORDS
 words are compared too: each text posts the windows whose hash is least among ROUND neighbours, which two texts
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlark.llm.common import stash
-from fieldlark.llm.near_dedup import KEYS, link_lists, signatures
+from fieldlark.llm.common import joined_groups, release, stash, with_groups
+from fieldlark.llm.near_dedup import KEYS, both_ends, link_lists, signatures, spread
 from fieldlark.llm.textkernel import SPACED, _powers, mixed, shingles, slices, words
 
+#: Words of the shortest line that is a paragraph by default, and of a shingle.
 LEAST_WORDS, SHINGLE = 50, 5
 WORDS, ROUND = 32, 18
 #: Bands of two coordinates: a pair at 0.8 meets in one of eight with odds of 0.9997; of sixteen coordinates it
@@ -65,7 +66,7 @@ def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, value[place].view(np.int64)
 
 
-def paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+def paragraphs(texts: pa.Array, least_words: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(row, first word, words, hash, set of shingles) of each paragraph of a slice."""
     own = words(texts, SPACED)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
@@ -78,55 +79,44 @@ def paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, int, int, np.ndarray
     grams = shingles(own.hash, SHINGLE).view(np.int64)
     up, _ = _powers(int((end - begin).max(initial=0)) + 1)
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-        if b - a >= LEAST_WORDS:
+        if b - a >= max(least_words, SHINGLE):
             found = np.sort(grams[a : b - SHINGLE + 1])
             found = found[np.concatenate([[True], found[1:] != found[:-1]])]
             content = mixed(np.array([(own.hash[a:b] * up[: b - a]).sum() + np.uint64(b - a)], np.uint64)).view(np.int64)
             yield int(row[a]), a - int(own.offset[row[a]]), b - a, int(content[0]), found
 
 
-_UNITS = "id long, place int, n_words int, hash long, signature array<int>"
+def _units(least_words: int):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "place", "n_words", "hash", "signature"]
+        for part in parts:
+            for first, texts in slices(part.column(1)):
+                ids = part.column(0).slice(first, len(texts))
+                own = words(texts, SPACED)
+                posted = [windows(own.hash[a:b]) for a, b in zip(own.offset, own.offset[1:], strict=False)]
+                many = [len(p) for p, _ in posted]
+                n = sum(many)
+                place, value = (np.concatenate(x) for x in zip(*posted, strict=True))
+                rows = pa.array(np.repeat(np.arange(len(texts)), many))
+                yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(place.astype(np.int32)), pa.array(np.full(n, WORDS, np.int32)), pa.array(value), pa.nulls(n, pa.list_(pa.int32()))], names)
+                if found := list(paragraphs(texts, least_words)):
+                    row, place, size, value, held = zip(*found, strict=True)
+                    signed = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * 2 * BANDS, signatures(list(held), 2 * BANDS).ravel())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(value, pa.int64()), signed], names)
+
+    return batches
+
+
+def _sets(least_words: int):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for _, texts in slices(part.column(0)):
+                found = list(paragraphs(texts, least_words))
+                ends = np.cumsum([0, *(len(f[4]) for f in found)], dtype=np.int32)
+                flat = np.concatenate([f[4] for f in found]) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([f[3] for f in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "hashes"])
 
-
-def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for first, texts in slices(part.column(1)):
-            ids = part.column(0).slice(first, len(texts)).to_numpy(zero_copy_only=False)
-            own = words(texts, SPACED)
-            posted = [windows(own.hash[a:b]) for a, b in zip(own.offset, own.offset[1:], strict=False)]
-            many = [len(p) for p, _ in posted]
-            n = sum(many)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, many), pa.int64()),
-                    pa.array(np.concatenate([p for p, _ in posted]).astype(np.int32)),
-                    pa.array(np.full(n, WORDS, np.int32)),
-                    pa.array(np.concatenate([h for _, h in posted])),
-                    pa.nulls(n, pa.list_(pa.int32())),
-                ],
-                ["id", "place", "n_words", "hash", "signature"],
-            )
-            if found := list(paragraphs(texts)):
-                signed = signatures([f[4] for f in found], 2 * BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[f[0]] for f in found], pa.int64()),
-                        pa.array([f[1] for f in found], pa.int32()),
-                        pa.array([f[2] for f in found], pa.int32()),
-                        pa.array([f[3] for f in found], pa.int64()),
-                        pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * 2 * BANDS, signed.ravel()),
-                    ],
-                    ["id", "place", "n_words", "hash", "signature"],
-                )
-
-
-def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for _, texts in slices(part.column(0)):
-            found = list(paragraphs(texts))
-            ends = np.cumsum([0, *(len(f[4]) for f in found)], dtype=np.int32)
-            flat = np.concatenate([f[4] for f in found]) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([f[3] for f in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "hashes"])
+    return batches
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -161,11 +151,9 @@ def _extended(x: np.ndarray, y: np.ndarray, anchors: list[dict], same: bool) ->
         yield p - back, q - back, back + n
 
 
-_ALIKE = "id long, removed boolean, place int, n_words int, first_id long"
-
-
 def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
+        key = part.schema.field(0).type
         for first, texts in slices(part.column(3)):
             for second, others in slices(part.column(4).slice(first, len(texts))):
                 rows = part.slice(first + second, len(others))
@@ -177,30 +165,36 @@ def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for at, there, n in _extended(row(0, i), row(1, j), anchors, id_ == first_id):
                         out += [(id_, True, at, n, first_id), (first_id, False, there, n, first_id)]
                 columns = zip(*out, strict=True) if out else [[]] * 5
-                kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "removed", "place", "n_words", "first_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.bool_(), pa.int32(), pa.int32(), key), strict=True)], ["id", "removed", "place", "n_words", "first_id"])
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """The spans that repeat across texts: (key, first_word, n_words, kind, first_id, removed).
 
     ``kind`` is paragraph or window; ``first_id`` the key of the text that keeps the passage (of a joined span,
-    the smallest such key). Spans that stay, as the first of their kind, have ``removed`` false.
+    the smallest such key). Spans that stay, as the first of their kind, have ``removed`` false. Keys are of
+    any type that has an order.
     """
-    source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
-    units = stash(source.mapInArrow(_units, _UNITS))
-    ranked = lambda df, by: df.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).where("n > 1")
+    source = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
+    kind = source.schema["id"].dataType
+    unit = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.IntegerType()) for c in ("place", "n_words")), T.StructField("hash", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
+    match = T.StructType([T.StructField("id", kind), T.StructField("removed", T.BooleanType()), *(T.StructField(c, T.IntegerType()) for c in ("place", "n_words")), T.StructField("first_id", kind)])
+    units = stash(source.mapInArrow(_units(least_words), unit))
+    first, last = F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")
+    across = "n > 1 AND first.id <> last"
 
     posted = units.where("signature IS NULL").select("id", "place", "n_words", "hash")
-    found = posted.join(ranked(posted, "hash").where("first.id <> last"), "hash")
+    found, groups = with_groups(posted, ["hash"], first, last, where=across)
     found = found.where((F.col("id") != F.col("first.id")) | (F.col("place") == F.col("first.place")) | (F.col("place") >= F.col("first.place") + WORDS))
     found = found.where(F.struct("id", "place") != F.col("first")).groupBy("id", F.col("first.id").alias("first_id"))
-    found = stash(found.agg(F.collect_list(F.struct("place", F.col("first.place").alias("first_place"))).alias("anchors")))
+    found = stash(found.agg(F.collect_set(F.struct("place", F.col("first.place").alias("first_place"))).alias("anchors")))
+    release(groups)
+    rows = found.count()
+    pairs = found.withColumn("bucket", spread(F.col("id"), rows))
     ends = stash(found.select("id").union(found.select("first_id")).distinct())
     ends = F.broadcast(ends) if ends.count() <= KEYS else ends
-    texts = source.join(ends, "id", "left_semi")
-    both = found.join(texts, "id").join(texts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
-    alike = both.select("id", "first_id", "anchors", "text", "first_text").mapInArrow(_alike, _ALIKE)
+    both = both_ends(pairs, source.join(ends, "id", "left_semi"), "first_id", "text")
+    alike = both.select("id", "first_id", "anchors", "own", "other").mapInArrow(_alike, match)
     # One row a word at most, so that a text that keeps a very common passage stays small.
     alike = alike.groupBy("id", "removed", "place").agg(F.max("n_words").alias("n_words"), F.min("first_id").alias("first_id"))
     by = Window.partitionBy("id", "removed").orderBy("place")
@@ -210,19 +204,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     spans = spans.select("id", "first_word", (F.col("_end") - F.col("first_word")).alias("n_words"), F.lit("window").alias("kind"), "first_id", "removed")
 
     lines = units.where("signature IS NOT NULL")
-    distinct = stash(lines.groupBy("hash").agg(F.min("id").alias("doc"), F.min_by("signature", "id").alias("signature")).withColumnRenamed("hash", "id"))
+    distinct = lines.groupBy(F.col("hash").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"), F.min_by("signature", "id").alias("signature"))
+    distinct = stash(distinct)
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("signature", 2 * i), F.get("signature", 2 * i + 1)))
-    banded = distinct.select("id", F.explode(bands).alias("key"))
-    met = banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").groupBy("id")
-    met = met.agg(F.sort_array(F.collect_set(F.struct("n", "key"))).alias("keys")).select("id", F.transform("keys", lambda k: k["key"]).alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["n"]).alias("centrality"))
-    met = stash(met)
+    banded, groups = with_groups(distinct.select("id", F.explode(F.array_distinct(bands)).alias("key")), ["key"])
+    met = banded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    met = stash(met.select("id", F.transform("keys", lambda k: k["key"]).alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["n"]).alias("centrality")))
+    release(groups)
     wanted = met.join(distinct, "id").select(F.col("doc").alias("id")).distinct()
     wanted = F.broadcast(wanted) if met.count() <= KEYS else wanted
-    sets = source.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets, "id long, hashes array<long>").join(met.select("id"), "id", "left_semi")
+    sets = source.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(least_words), "id long, hashes array<long>").join(met.select("id"), "id", "left_semi")
     hashes = stash(sets.groupBy("id").agg(F.first("hashes").alias("hashes")))
     joined = link_lists(met, distinct.select("id", "signature"), hashes, LEAST, share)
-    placed = lines.select("id", "place", "n_words", "hash").join(joined.withColumnRenamed("node", "hash"), "hash", "left").withColumn("class", F.coalesce("component", "hash"))
-    same = placed.join(ranked(placed, "class").where("first.id <> last"), "class")
+    classes = distinct.select("id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    classes = stash(classes.select(F.col("id").alias("hash"), "n", F.coalesce("component", "id").alias("class")))
+    placed = joined_groups(lines.select("id", "place", "n_words", "hash"), classes, ["hash"]).select("id", "place", "n_words", "class")
+    same, _ = with_groups(placed, ["class"], first, last, where=across)
     same = same.select("id", F.col("place").alias("first_word"), "n_words", F.lit("paragraph").alias("kind"), F.col("first.id").alias("first_id"), (F.struct("id", "place") != F.col("first")).alias("removed"))
     return spans.unionByName(same).withColumnRenamed("id", key)
 
