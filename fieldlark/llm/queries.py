@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +14,13 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, so that the other queries do without it
+
     path = public_tokenizers.path(RANKS)
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, offsets="offsets").drop("text")
     back = bpe.decode(coded, path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), digest("offsets").alias("offsets_sha256"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +123,27 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The same scan for DuckDB, from the same tables of sentences and rules."""
+    """The same scan for DuckDB, from the same tables of sentences, rules and patterns."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in license_scan.SENTENCES.items())
-    names = list(dict.fromkeys(name for name, _ in license_scan.RULES))
     match = lambda ids: f"regexp_matches(ids, {quoted('(^| )' + '( [^ ]+)* '.join(ids) + '( |$)')})"
-    each = ", ".join(f"CASE WHEN {' OR '.join(match(ids) for n, ids in license_scan.RULES if n == name)} THEN {quoted(name)} END" for name in names)
+    case = lambda family: "CASE " + " ".join(f"WHEN {match(ids)} THEN {quoted(name)}" for name, ids in family) + " END"
+    *families, last = license_scan.RULES
+    text = "coalesce(text, '')"
+    for pattern, new in license_scan.PREPARED:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    cut = lambda p: f"string_split(regexp_replace({p}, {quoted(license_scan.SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10))"
     return rf"""
 WITH known(s, id) AS (VALUES {known}),
-parts AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents),
-lines AS (SELECT doc_id, k, trim(regexp_replace(replace(lower(p[k]), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM parts)),
-found AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY k) AS ids FROM lines JOIN known USING (s) GROUP BY doc_id),
-named AS (SELECT doc_id, n, ids, concat_ws(',', {each}) AS licenses FROM found)
-SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN named USING (doc_id)
+texts AS (SELECT doc_id, regexp_split_to_array({text}, {quoted(license_scan.BLANK_LINE)}) AS p FROM documents),
+paragraphs AS (SELECT doc_id, k, p[k] AS p FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM texts)),
+ways AS (SELECT doc_id, k, 0 AS way, {cut("p")} AS s FROM paragraphs UNION ALL SELECT doc_id, k, 1, {cut("replace(p, chr(10), ' ')")} FROM paragraphs WHERE contains(p, chr(10))),
+parts AS (SELECT doc_id, k, way, j, trim(regexp_replace(replace(lower(s[j]), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM ways)),
+counted AS (SELECT doc_id, k, way, count(*) AS n, string_agg(id, ' ' ORDER BY j) AS ids FROM parts JOIN known USING (s) GROUP BY doc_id, k, way),
+best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY n DESC, way) = 1),
+found AS (SELECT doc_id, sum(n)::BIGINT AS n, string_agg(ids, ' ' ORDER BY k) AS ids FROM best GROUP BY doc_id),
+named AS (SELECT doc_id, n, ids, concat_ws(',', {", ".join(map(case, families))}) AS first, {case(last)} AS last FROM found)
+SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(CASE WHEN first <> '' THEN first ELSE last END, '') AS licenses FROM documents LEFT JOIN named USING (doc_id)
 """
 
 

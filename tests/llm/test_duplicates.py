@@ -211,3 +211,43 @@ def test_shards_of_few_rows(spark):
     held = _shards(spark, ["same"] * 5)
     assert len(held["same"]) == 5
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def longest_by_force(doc, items, window):
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    w, best = alnum(doc), (0, None)
+    for _, t in items:
+        v = alnum(t)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n >= window or (q == 0 and len(v) < window and n == len(v)):
+                    best = min(best, (n, p), key=lambda x: (-x[0], -1 if x[1] is None else x[1]))
+    return best
+
+
+def test_longest_matches_equal_brute_force(spark):
+    rnd = random.Random(16)
+    say = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    items = [(i, say(rnd.randrange(1, 30))) for i in range(8)]
+    docs = [say(rnd.randrange(40)) for _ in range(60)] + [t for _, t in items]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(docs)], "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK, 40):
+        got = {r.doc_id: (r.longest, r.longest_at) for r in decontaminate.matches(df, bench, window=5, block=block).collect()}
+        assert got == {f"k{i}": longest_by_force(t, items, 5) for i, t in enumerate(docs)}
+
+
+def test_long_and_repeated_items_stay_cheap():
+    import time
+
+    import pyarrow as pa
+
+    long = " ".join(f"w{i % 4999}" for i in range(50_000))
+    began = time.perf_counter()
+    items = decontaminate.Items(list(range(1001)), [long] + ["zz"] * 1000, 13)
+    n_words, hits, found, longest, at = decontaminate.shard(pa.array([f"x {long} y", "zz " * 3000], pa.large_string()), items)
+    assert [len(h) for h in hits] == [50_000, 3000] and found[0] == ["0"] and len(found[1]) == 1000
+    assert longest == [50_000, 1] and at == [1, 0] and time.perf_counter() - began < 20

@@ -94,7 +94,8 @@ def test_languages_on_held_out_rows(spark):
         ("Hi.\nReleased under the MIT License.", "mit_ref", "MIT"),
         ("Licensed under the Apache Licence, Version 2.0. You may obtain a copy of the License at", "apache2_ref apache2_copy", "Apache-2.0"),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "fsf_free gpl_terms", "GPL"),
-        ("all rights reserved\nReleased under the MIT license", "reserved mit_ref", "MIT,Proprietary"),
+        ("all rights reserved\nReleased under the MIT license", "reserved mit_ref", "MIT"),
+        ("All rights reserved.", "reserved", "Proprietary"),
         ("Unlicensed under the moon.", "", ""),
         (None, "", ""),
         ("", "", ""),
@@ -111,5 +112,158 @@ def test_licence_sentences_need_no_anchor(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: (r.sentence_ids, r.n_known) for r in license_scan.scan(df).collect()}
     assert got == {0: ("reserved", 1), 1: ("reserved", 1), 2: ("reserved", 1), 3: ("fsf_free", 1), 4: ("", 0)}
-    own = license_scan.scan(df, sentences={"made by": "made", "hand": "hand"}, rules=(("Hand", ("made", "hand")),))
+    own = license_scan.scan(df, sentences={"made by": "made", "hand": "hand"}, rules=((("Hand", ("made", "hand")),),))
     assert {r.doc_id: r.licenses for r in own.collect()} == {0: "", 1: "", 2: "", 3: "", 4: "Hand"}
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2020, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+"""
+GPL3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Copyright 2020 Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
+def test_whole_licence_texts(spark):
+    gpl2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    texts = {
+        "MIT": MIT,
+        "BSD-2-Clause": BSD2 + WARRANTY,
+        "BSD-3-Clause": BSD2 + NAMES + WARRANTY,
+        "Apache-2.0": APACHE,
+        "GPL-3.0": GPL3,
+        "GPL-2.0": gpl2,
+        "AGPL-3.0": GPL3.replace("GNU General", "GNU Affero General"),
+        "LGPL-2.1": LGPL,
+        "MPL-2.0": MPL,
+        "ISC": ISC,
+        "Unlicense": UNLICENSE,
+        "Zlib": ZLIB,
+        "MIT,Apache-2.0": "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main() {}",
+        "CC0-1.0": "x = 1\n# SPDX-License-Identifier: CC0-1.0\n",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    }
+    mixed = MIT.replace("\n", "\r\n")
+    rows = [(k, t) for k, t in texts.items()] + [("MIT", mixed), ("MIT", f"{'other words. ' * 100_000}\n\n{MIT}"), ("MIT", MIT)]
+    df = spark.createDataFrame(rows, "want string, text string")
+    assert [(r.want, r.licenses) for r in license_scan.scan(df).where("want <> licenses").collect()] == []
+    assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_sequences_of_hash_and_place_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PLACE", 4)
+    test_statistics_equal_brute_force(spark)
+
+
+def test_only_letters_make_a_language(spark):
+    df = spark.createDataFrame([(1, "\u00b2\u00bd \u2167 12_"), (2, "\u00e9"), (3, "\u6f22\u5b57")], "doc_id long, text string")
+    model = langid.learn(spark.createDataFrame([(1, "words of a kind", "xx"), (2, "andere worte", "yy")], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+    assert langid.identify(df.limit(0), model).count() == 0
+    near = langid.identify(df, model, reject=1.1).collect()
+    assert all(r.lang_accepted is None for r in near)
+
+
+def test_toxicity_of_odd_labels_and_tables(spark):
+    rows = toxic_rows(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    more = labels.union(labels.limit(20)).union(spark.createDataFrame([(1, None), (None, 1), (9999, 1)], labels.schema))
+    model = toxicity.learn(df.select("doc_id", "text"), more)
+    assert toxicity.score(df.limit(0), model).count() == 0
+    scores = [r.score for r in toxicity.score(df.union(df), model).collect()]
+    assert len(scores) == 400 and all(0 <= s <= 1 for s in scores)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers as P
 import pyarrow as pa
@@ -78,7 +79,7 @@ def test_chats_read_back_and_validate(spark):
         want = sorted((t if t is not None else -1, role or "", text or "") for c, t, role, text in CHATS if c == conv)
         assert [tuple(b) for b in r.back] == [w[1:] for w in want]
         assert "".join(s.text for s in r.segments) == r.formatted
-        assert all(s.loss is False or True for s in r.segments)
+        assert [(s.text, s.loss) for s in r.segments if s.loss] == [(re.sub(r"<(\\*)\|", r"<\\\1|", w[2]), True) for w in want if w[1] == "assistant"]
     assert (rows[1].valid, rows[1].error_at) == (True, None)
     assert (rows[2].valid, rows[2].error_at) == (False, 1) and (rows[3].valid, rows[3].error_at) == (False, 0)
     assert (rows[4].valid, rows[4].error_at) == (False, 2)
