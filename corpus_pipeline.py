@@ -6,19 +6,15 @@ next one's docs. All but the last return the columns of docs, whatever they are
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.llm import bpe, decontaminate, near_dedup, quality, substring_dedup
-from fieldlark.llm.common import stash, table
-
-#: Keys that are broadcast at most (8 bytes each); beyond, the join shuffles.
-KEYS = 4_000_000
+from fieldlark.llm.common import release, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the learned list rejects go."""
+    """Documents that fail the base rules (null and empty ones do) or that the learned list rejects go."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["text"].alias("text"))
     kept = quality.statistics(whole).where(~F.col("base_failed") & quality.verdict(rules))
@@ -26,35 +22,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the smallest doc_id, once."""
-    found = stash(near_dedup.cluster(docs.select("doc_id", "text"), n=5))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(_small(gone), "doc_id", "left_anti")
-    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        again = _small(repeated)
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*(f"`{c}`" for c in docs.columns))
-
+    """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the smallest doc_id, once.
 
-def _small(keys: DataFrame) -> DataFrame:
-    keys = stash(keys)
-    return F.broadcast(keys) if keys.count() <= KEYS else keys
+    Documents without words, and those with a null doc_id, all stay; rows that share a doc_id go only with a
+    document that they equal nearly. No documents: none.
+    """
+    return near_dedup.survivors(docs, n=5)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs and passages stay in the first document that has them."""
+    """Repeated paragraphs and passages stay in the first document that has them.
+
+    Null texts stay null, and documents with a null doc_id stay as they are.
+    """
     spans = substring_dedup.repeats(docs.select("doc_id", "text"))
     return substring_dedup.remove(docs, spans)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is in benchmark windows go."""
+    """Documents of which a twentieth or more is in benchmark windows go; null and empty ones have no words and stay."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each document."""
+    """(doc_id, n_tokens, ids) of each document; a null text has no tokens."""
+    import public_tokenizers  # here, so that the other stages do without it
+
     coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -71,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
