@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.functions.odds import clv, decision, fair_odds, kelly, quarter_kelly, ticket_decision, unit_result
+from fieldlark.functions.odds import clv, decision, fair_odds, kelly, no_vig, quarter_kelly, ticket_decision, unit_result
 from fieldlark.functions.scalars import clamp
+from fieldlark.operators import history
 from fieldlark.operators.dedupe import keep_last, top_in_group
+from fieldlark.operators.joins import books
 
 #: The fixed tickets: name -> (risk, legs as market:selection); fixed values.
 TICKETS = {
@@ -39,10 +41,13 @@ def value_selections(prices: DataFrame, probabilities: DataFrame, trust: float,
 
 
 def tickets(selections: DataFrame, match: str, trust: float) -> DataFrame:
-    """The fixed tickets of each match whose legs are all priced: combined odds, adjusted probability, edge, decision."""
+    """The fixed tickets of each match whose legs are all priced: combined odds, adjusted probability, edge, decision.
+
+    Of several rows for one leg the likeliest counts, then the one with the best price.
+    """
     leg = F.concat_ws(":", "market", "selection")
     wanted = sorted({x for _, legs in TICKETS.values() for x in legs})
-    at = selections.withColumn("_leg", leg).where(F.col("_leg").isin(*wanted)).groupBy(match).agg(*(F.max_by(F.struct("p", "odds"), F.when(F.col("_leg") == x, F.lit(1))).alias(f"_{i}") for i, x in enumerate(wanted)))
+    at = selections.withColumn("_leg", leg).where(F.col("_leg").isin(*wanted)).groupBy(match).agg(*(F.max(F.when(F.col("_leg") == x, F.struct("p", "odds"))).alias(f"_{i}") for i, x in enumerate(wanted)))
     rows = []
     for name, (risk, legs) in TICKETS.items():
         each = [F.col(f"_{wanted.index(x)}") for x in legs]
@@ -80,33 +85,27 @@ LEG_TAGS = {
 }
 
 
-#: How legs beyond the five probabilities follow from them: leg -> (share of each input, floor, ceiling); fixed values.
-LEG_SHARES = {
-    "football.team_goals:home_over_0.5": ({"home": 0.55, "over15": 0.55}, None, 0.95),
-    "football.team_goals:away_over_0.5": ({"away": 0.55, "over15": 0.45}, None, 0.95),
-    "football.team_goals:home_over_1.5": ({"home": 0.45, "over25": 0.35}, 0.05, None),
-    "football.team_goals:away_over_1.5": ({"away": 0.45, "over25": 0.25}, 0.04, None),
-}
-OVER15, OVER35, CORNERS, CARDS = (0.18, 0.96), (-0.22, 0.04), (0.40, 0.16), 0.50
-
-
 def derived_legs(home: Column, draw: Column, away: Column, over25: Column, btts: Column) -> Column:
-    """Array of (leg, market, selection, p, category, tags): nineteen legs from the five probabilities."""
-    over15, over35 = F.least(over25 + OVER15[0], F.lit(OVER15[1])), F.greatest(over25 + OVER35[0], F.lit(OVER35[1]))
-    given = {"home": home, "away": away, "over15": over15, "over25": over25}
+    """Array of (leg, market, selection, p, category, tags): nineteen legs from the five probabilities.
+
+    The shares, floors and ceilings of the legs that no probability gives are fixed values.
+    """
+    over15, over35 = F.least(over25 + 0.18, F.lit(0.96)), F.greatest(over25 - 0.22, F.lit(0.04))
     p = {
         "football.1x2": {"home": home, "draw": draw, "away": away},
         "football.double_chance": {"1X": home + draw, "12": home + away, "X2": draw + away},
         "football.total_goals": {"over_1.5": over15, "over_2.5": over25, "under_2.5": 1 - over25, "over_3.5": over35, "under_3.5": 1 - over35},
         "football.btts": {"yes": btts, "no": 1 - btts},
-        "football.total_corners": {"over_8.5": 0.5 + clamp((over25 - 0.5) * CORNERS[0], -CORNERS[1], CORNERS[1])},
-        "football.total_cards": {"over_3.5": F.lit(CARDS)},
+        "football.team_goals": {
+            "home_over_0.5": F.least(0.55 * home + 0.55 * over15, F.lit(0.95)),
+            "away_over_0.5": F.least(0.55 * away + 0.45 * over15, F.lit(0.95)),
+            "home_over_1.5": F.greatest(0.45 * home + 0.35 * over25, F.lit(0.05)),
+            "away_over_1.5": F.greatest(0.45 * away + 0.25 * over25, F.lit(0.04)),
+        },
+        "football.total_corners": {"over_8.5": 0.5 + clamp((over25 - 0.5) * 0.40, -0.16, 0.16)},
+        "football.total_cards": {"over_3.5": F.lit(0.50)},
     }
     known = {f"{market}:{selection}": x for market, each in p.items() for selection, x in each.items()}
-    for name, (shares, floor, ceiling) in LEG_SHARES.items():
-        x = sum((share * given[k] for k, share in shares.items()), F.lit(0.0))
-        x = F.greatest(x, F.lit(floor)) if floor is not None else x
-        known[name] = F.least(x, F.lit(ceiling)) if ceiling is not None else x
 
     def leg(i: int, name: str) -> Column:
         market, selection = name.split(":")
@@ -161,7 +160,7 @@ def ledger(selections: DataFrame, closing: DataFrame, keys: list[str], order: st
 
 def offline_evaluation(rows: DataFrame) -> DataFrame:
     """Settled rows with their unit result, the rest with why they are skipped."""
-    skip = F.when(F.col("settlement_status") != "settled", F.concat(F.lit("status:"), F.coalesce("settlement_status", F.lit("missing")))).when(F.col("odds").isNull() | (F.col("odds") <= 1), "bad_price")
+    skip = F.when(~F.coalesce(F.col("settlement_status") == "settled", F.lit(False)), F.concat(F.lit("status:"), F.coalesce("settlement_status", F.lit("missing")))).when(F.col("odds").isNull() | (F.col("odds") <= 1), "bad_price")
     return rows.withColumn("skip_reason", skip).withColumn("unit_result", F.when(F.col("skip_reason").isNull(), unit_result(F.col("settlement_result"), F.col("odds"))))
 
 
@@ -169,3 +168,25 @@ def implied_share(df: DataFrame, odds: str, group: list[str]) -> DataFrame:
     """Add the no-vig probability of each leg in its group."""
     each = F.when(F.col(odds) > 1, 1 / F.col(odds))
     return df.withColumn("no_vig", each / F.sum(each).over(Window.partitionBy(*group)))
+
+
+def walk_forward_bets(matches: DataFrame, odds: DataFrame, key: str, day: str, order: list[str], classes: list[str], placed: str, closing: str, min_train: int = 60, min_edge: float = 0.03, per_match: int = 1) -> DataFrame:
+    """Paper bets on a running prior: its probability beside the no-vig share of the placed prices, settled, with the closing value.
+
+    matches: ``key``, ``day`` and label; odds: ``key``, selection, book, price. The prior of a match is the
+    Laplace-smoothed shares of the labels before it; matches with fewer than ``min_train`` before them only train.
+    """
+    numbered = history.row_number_in(history.global_prior(matches, day, order, "label", classes), day, order)
+    prior = numbered.where(F.col("row_index") >= min_train).select(key, F.col("label").alias("result_selection"), F.inline(F.array(*(F.struct(F.lit(k).alias("selection"), F.col(f"p_{k}").alias("p")) for k in classes))))
+    priced = books(odds, [key], "selection", "book", "price", placed, closing)
+    fair = priced.withColumn("implied_probability", no_vig(F.col("placed_odds"), key))
+    return paper_bets(prior.join(fair, [key, "selection"]), key, min_edge, per_match)
+
+
+def value_report(prices: DataFrame, probabilities: DataFrame, match: str, trust: float) -> DataFrame:
+    """Selections and tickets of each match in one table: (match, kind, name, p, odds, edge, decision)."""
+    found = value_selections(prices, probabilities, trust, [match, "market", "selection"])
+    columns = [match, "kind", "name", "p", "odds", "edge", "decision"]
+    single = found.withColumns({"kind": F.lit("selection"), "name": F.concat_ws(":", "market", "selection")}).select(columns)
+    built = tickets(found, match, trust).withColumns({"kind": F.lit("ticket"), "name": F.col("ticket"), "p": F.col("adjusted")}).select(columns)
+    return single.unionByName(built)

@@ -40,23 +40,16 @@ def rolling_strict(df: DataFrame, keys: list[str], day: Column, values: list[str
 def rolling_filtered(df: DataFrame, keys: list[str], order: list[str], counted: Column, values: list[str], n: int = 10) -> DataFrame:
     """As ``rolling``, but only rows where ``counted`` holds enter the history; all rows get features.
 
-    The running count of such rows numbers them, and sums up to a number come from the row that has it, so the
-    last ``n`` are a difference of two prefix sums: no list of a key's rows is ever gathered.
+    Rows that do not count sort before those that do, with their values hidden, so that a frame of ``n`` rows
+    holds the last counted ones; what a counted row sees is then carried to the rows after it. Both windows have
+    the same keys: one shuffle, and a null key is a key.
     """
-    past = before(keys, order)
     inside = F.coalesce(counted, F.lit(False))
-    made = {"_c": F.coalesce(F.sum(inside.cast("long")).over(past), F.lit(0))}
-    for v in values:
-        made[f"_s_{v}"] = F.coalesce(F.sum(F.when(inside, F.col(v))).over(past), F.lit(0.0))
-        made[f"_n_{v}"] = F.coalesce(F.sum((inside & F.col(v).isNotNull()).cast("long")).over(past), F.lit(0))
-    rows = df.withColumns(made)
-    sums = [f"_{k}_{v}" for v in values for k in ("s", "n")]
-    # Sums before the n-th last counted row: those of the counted row that has c - n counted rows before it.
-    earlier = rows.where(inside).select(*keys, F.col("_c").alias("_from"), *(F.col(c).alias(f"_e{c}") for c in sums))
-    out = rows.withColumn("_from", F.col("_c") - n).join(earlier, [*keys, "_from"], "left")
-    minus = lambda c: F.col(c) - F.coalesce(F.col(f"_e{c}"), F.lit(0))
-    means = [F.try_divide(minus(f"_s_{v}"), minus(f"_n_{v}")).alias(f"{v}_avg") for v in values]
-    return out.select(*df.columns, F.least("_c", F.lit(n)).alias("games"), *means)
+    own = Window.partitionBy(*keys).orderBy("_in", *order).rowsBetween(1 - n, 0)
+    seen = F.struct(F.count(F.when(F.col("_in"), F.lit(1))).over(own).alias("games"), *(F.avg(F.when(F.col("_in"), F.col(v))).over(own).alias(f"{v}_avg") for v in values))
+    rows = df.withColumn("_in", inside).withColumn("_seen", F.when(F.col("_in"), seen))
+    last = rows.withColumn("_last", F.last("_seen", ignorenulls=True).over(before(keys, order)))
+    return last.select(*df.columns, F.coalesce("_last.games", F.lit(0).cast("long")).alias("games"), *(F.col(f"_last.{v}_avg").alias(f"{v}_avg") for v in values))
 
 
 def expanding(df: DataFrame, keys: list[str], order: list[str], values: list[str], digits: int = 4, ready: int = 3) -> DataFrame:
@@ -67,7 +60,7 @@ def expanding(df: DataFrame, keys: list[str], order: list[str], values: list[str
 
 
 def global_prior(df: DataFrame, day: str, order: list[str], label: str, classes: list[str], start: int = 1) -> DataFrame:
-    """Laplace-smoothed class shares over all earlier rows of the whole table, in (day, order).
+    """Laplace-smoothed class shares over all earlier rows of the whole table, in (day, order), a null day first.
 
     Counts by day are small and get running sums; each day adds its own prefix. No task sorts the whole table.
     """
@@ -76,18 +69,18 @@ def global_prior(df: DataFrame, day: str, order: list[str], label: str, classes:
     days = per_day.select(day, *(F.coalesce(F.sum(f"_d{i}").over(running), F.lit(0)).alias(f"_b{i}") for i in range(len(classes))))
     frame = before([day], order)
     own = [F.coalesce(F.count_if(F.col(label) == c).over(frame), F.lit(0)) for c in classes]
-    rows = df.withColumns({f"_o{i}": c for i, c in enumerate(own)}).join(days, day)
+    rows = df.withColumns({f"_o{i}": c for i, c in enumerate(own)}).join(days.withColumnRenamed(day, "_day"), F.col(day).eqNullSafe(F.col("_day")))
     counts = [F.col(f"_o{i}") + F.col(f"_b{i}") + start for i in range(len(classes))]
     total = sum(counts[1:], counts[0])
     return rows.select(*df.columns, *((c / total).alias(f"p_{name}") for c, name in zip(counts, classes, strict=True)))
 
 
 def row_number_in(df: DataFrame, day: str, order: list[str], name: str = "row_index") -> DataFrame:
-    """The row's place in the whole table by (day, order), from 0, with the two levels of ``global_prior``."""
+    """The row's place in the whole table by (day, order), a null day first, from 0, with the two levels of ``global_prior``."""
     per_day = df.groupBy(day).count()
     days = per_day.select(day, F.coalesce(F.sum("count").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy(day).orderBy(*order)) - 1
-    return df.withColumn("_own", own).join(days, day).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
+    return df.withColumn("_own", own).join(days.withColumnRenamed(day, "_day"), F.col(day).eqNullSafe(F.col("_day"))).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
 def eval_size(total: Column, fraction: float, min_eval: int, min_train: int) -> Column:

@@ -78,8 +78,10 @@ def stacked(**parts: DataFrame) -> DataFrame:
     return out
 
 
-def combinations(legs: DataFrame, n: int, index: str = "leg") -> DataFrame:
-    """Each set of ``n`` legs of a fixed small list once, as leg_1 .. leg_n structs in order of ``index``."""
+def combinations(legs: DataFrame, n: int, index: str = "leg", most: int = 200) -> DataFrame:
+    """Each set of ``n`` legs of a fixed small list once, as leg_1 .. leg_n structs in order of ``index``; refuses more than ``most`` legs."""
+    if legs.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} legs to combine")
     rows = legs.select(F.struct(*legs.columns).alias("leg_1"))
     for k in range(2, n + 1):
         other = F.broadcast(legs.select(F.struct(*legs.columns).alias(f"leg_{k}")))

@@ -30,8 +30,8 @@ def score_grid(home: Column, away: Column, rho: Column | None = None, goals: int
     return F.transform(cells, lambda c: F.struct(c["h"].alias("h"), c["a"].alias("a"), p(c).alias("p")))
 
 
-def grid_probabilities(df: DataFrame, home: str, away: str, rho: str | None = None, goals: int = GOALS) -> DataFrame:
-    """Add p_home, p_draw, p_away, p_over25, p_btts and the likeliest score (the first in row order), from a normalised grid.
+def grid_probabilities(df: DataFrame, home: str, away: str, rho: str | None = None, goals: int = GOALS, normalised: bool = True) -> DataFrame:
+    """Add p_home, p_draw, p_away, p_over25, p_btts and the likeliest score (the first in row order), from a grid whose sum is 1 if ``normalised``.
 
     The grid is an array in the row: no join and no shuffle.
     """
@@ -40,7 +40,7 @@ def grid_probabilities(df: DataFrame, home: str, away: str, rho: str | None = No
     best = F.get(F.filter("_grid", lambda c: c["p"] == F.array_max(F.transform("_grid", lambda x: x["p"]))), F.lit(0))
     made = df.select(*df.columns, F.explode(F.array(cells)).alias("_grid"))
     share = {"p_home": lambda c: c["h"] > c["a"], "p_draw": lambda c: c["h"] == c["a"], "p_away": lambda c: c["h"] < c["a"], "p_over25": lambda c: c["h"] + c["a"] > 2, "p_btts": lambda c: (c["h"] > 0) & (c["a"] > 0)}
-    made = made.withColumn("_total", total(lambda c: F.lit(True)))
+    made = made.withColumn("_total", total(lambda c: F.lit(True)) if normalised else F.lit(1.0))
     return made.select(*df.columns, *((total(keep) / F.col("_total")).alias(n) for n, keep in share.items()), F.concat_ws("-", best["h"], best["a"]).alias("likely_score"))
 
 
@@ -81,40 +81,20 @@ def shrunk(p: list[Column], alpha: float, prior: list[Column]) -> list[Column]:
     return [x / total for x in mixed]
 
 
-#: The gold heuristic's weights, bases and defaults; fixed values.
-GOLD = {
-    "home": 0.18,
-    "signal": {"goals_for_avg_diff": 0.42, "goals_against_avg_diff": -0.30, "points_avg_diff": 0.16},
-    "rest": (0.015, 14.0),
-    "event": {"xg_for_avg_diff": 0.25, "xg_against_avg_diff": -0.18, "shots_for_avg_diff": 0.015},
-    "draw": (-0.12, -0.28, 0.08),
-    "rates": {"home_gf": 1.20, "away_gf": 1.05, "home_ga": 1.10, "away_ga": 1.20},
-    "total": (0.5, 5.5),
-    "over25": (-0.22, 0.55, 2.50, 0.52),
-    "btts": (-0.18, 0.45, 2.35, 0.50),
-    "btts_strength": -0.18,
-    "full_history": 10.0,
-}
-
-
 def gold_heuristic(f: dict[str, Column]) -> dict[str, Column]:
-    """Outcome, over and both-score probabilities from gold features, by fixed weights, less sure with fewer prior matches."""
+    """Outcome, over and both-score probabilities from gold features, less sure with fewer prior matches.
+
+    The weights, bases and defaults are fixed values.
+    """
     at = lambda name, default=0.0: F.coalesce(f[name], F.lit(default)) if name in f else F.lit(default)
-    weighed = lambda key: sum((w * at(name) for name, w in GOLD[key].items()), F.lit(0.0))
-    sure = clamp(F.least(at("home_prior_matches"), at("away_prior_matches")) / GOLD["full_history"], 0.0, 1.0)
-    rest, most = GOLD["rest"]
-    event = F.when(f.get("has_event_data", F.lit(False)), weighed("event")).otherwise(0.0)
-    strength = GOLD["home"] + sure * (weighed("signal") + rest * clamp(at("rest_days_diff"), -most, most) + event)
-    base, apart, unsure = GOLD["draw"]
-    home, draw, away = softmax(strength, base + apart * F.abs(strength) + unsure * (1 - sure), -strength)
-    rates = {name: at(name, default) for name, default in GOLD["rates"].items()}
-    goals = clamp(sum(rates.values(), F.lit(0.0)) / 2, *GOLD["total"])
-
-    def of_goals(key: str, more: Column) -> Column:
-        start, slope, line, prior = GOLD[key]
-        return sure * sigmoid(start + slope * (goals - line) + more) + (1 - sure) * prior
-
-    over, both = of_goals("over25", F.lit(0.0)), of_goals("btts", GOLD["btts_strength"] * F.abs(strength))
+    sure = clamp(F.least(at("home_prior_matches"), at("away_prior_matches")) / 10.0, 0.0, 1.0)
+    signal = 0.42 * at("goals_for_avg_diff") - 0.30 * at("goals_against_avg_diff") + 0.16 * at("points_avg_diff") + 0.015 * clamp(at("rest_days_diff"), -14.0, 14.0)
+    event = 0.25 * at("xg_for_avg_diff") - 0.18 * at("xg_against_avg_diff") + 0.015 * at("shots_for_avg_diff")
+    strength = 0.18 + sure * (signal + F.when(f.get("has_event_data", F.lit(False)), event).otherwise(0.0))
+    home, draw, away = softmax(strength, -0.12 - 0.28 * F.abs(strength) + 0.08 * (1 - sure), -strength)
+    goals = clamp((at("home_gf", 1.20) + at("away_gf", 1.05) + at("home_ga", 1.10) + at("away_ga", 1.20)) / 2, 0.5, 5.5)
+    over = sure * sigmoid(-0.22 + 0.55 * (goals - 2.50)) + (1 - sure) * 0.52
+    both = sure * sigmoid(-0.18 + 0.45 * (goals - 2.35) - 0.18 * F.abs(strength)) + (1 - sure) * 0.50
     return {"p_home": home, "p_draw": draw, "p_away": away, "p_over25": over, "p_btts": both}
 
 

@@ -72,14 +72,13 @@ def expanding_history(spark, d):
     return history.expanding(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["value"], digits=7).select("event_id", "value_mean", "history_ready")
 
 
-_KINDS = ("purchase", "view", "click")
-_PRIOR = """p AS (SELECT event_id, event_type, ts, """ + ", ".join(f"(1 + count(*) FILTER (event_type = '{k}') OVER w) / (3 + count(*) OVER w)::DOUBLE AS p_{k}" for k in _KINDS) + """
-  FROM events WHERE event_type IN ('purchase', 'view', 'click') WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_KINDS = ("purchase", "view", "click", "signup", "error")
+_PRIOR = """p AS (SELECT event_id, event_type, ts, """ + ", ".join(f"(1 + count(*) FILTER (event_type = '{k}') OVER w) / (5 + count(*) OVER w)::DOUBLE AS p_{k}" for k in _KINDS) + """
+  FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def _prior(spark, d):
-    rows = read(spark, d, "events").where(F.col("event_type").isin(*_KINDS)).withColumn("day", F.to_date("ts"))
-    return history.global_prior(rows, "day", ["ts", "event_id"], "event_type", list(_KINDS))
+    return history.global_prior(read(spark, d, "events").withColumn("day", F.to_date("ts")), "day", ["ts", "event_id"], "event_type", list(_KINDS))
 
 
 @query(f"WITH {_PRIOR} SELECT event_id, " + ", ".join(f"round(p_{k}, 9) AS p_{k}" for k in _KINDS) + " FROM p")
@@ -87,10 +86,12 @@ def laplace_prior(spark, d):
     return _prior(spark, d).select("event_id", *(F.round(f"p_{k}", 9).alias(f"p_{k}") for k in _KINDS))
 
 
-@query(f"""WITH {_PRIOR}, q AS (SELECT *, CASE event_type WHEN 'purchase' THEN p_purchase WHEN 'view' THEN p_view ELSE p_click END AS p FROM p)
+_TOP = "CASE " + " ".join(f"WHEN p_{k} >= greatest({', '.join(f'p_{o}' for o in _KINDS[i:])}) THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+
+
+@query(f"""WITH {_PRIOR}, q AS (SELECT *, CASE event_type {" ".join(f"WHEN '{k}' THEN p_{k}" for k in _KINDS)} END AS p FROM p)
 SELECT date_trunc('month', ts)::DATE AS month, count(*) AS rows, round(avg(-ln(greatest(p, 1e-12))), 6) AS log_loss,
-  round(avg((p_purchase - (event_type = 'purchase')::INT) ** 2 + (p_view - (event_type = 'view')::INT) ** 2 + (p_click - (event_type = 'click')::INT) ** 2), 6) AS brier,
-  round(avg((event_type = CASE WHEN p_purchase >= p_view AND p_purchase >= p_click THEN 'purchase' WHEN p_view >= p_click THEN 'view' ELSE 'click' END)::INT), 6) AS accuracy
+  round(avg({" + ".join(f"(p_{k} - (event_type = '{k}')::INT) ** 2" for k in _KINDS)}), 6) AS brier, round(avg((event_type = {_TOP})::INT), 6) AS accuracy
 FROM q GROUP BY 1""")
 def prior_evaluation(spark, d):
     p = {k: F.col(f"p_{k}") for k in _KINDS}
@@ -727,16 +728,19 @@ def fallback_names(spark, d):
     return joins.with_fallback(named.select("o_orderkey", F.col("n_name").alias("raw")), joins.small(known), "raw").select("o_orderkey", "raw", "resolved")
 
 
-@query("""
-WITH p AS (SELECT l_orderkey, l_linenumber % 2 AS m, l_extendedprice / 1e5 AS p, 1 + l_quantity / 20 AS odds FROM lineitem),
-t AS (SELECT l_orderkey, max(p) FILTER (m = 1) * max(p) FILTER (m = 0) AS p, max(odds) FILTER (m = 1) * max(odds) FILTER (m = 0) AS odds FROM p JOIN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber % 2 = 1) = 1 AND count(*) FILTER (l_linenumber % 2 = 0) = 1) USING (l_orderkey) GROUP BY 1),
-a AS (SELECT *, least(greatest(p * 0.92, 1e-6), 1 - 1e-6) AS adjusted FROM t)
-SELECT l_orderkey, 'Safe Builder' AS ticket, round(odds, 6) AS odds, round(adjusted, 6) AS adjusted, round(adjusted * odds - 1, 6) AS edge FROM a
-""")
+_LEGS = ("football.double_chance:1X", "football.total_goals:under_3.5", "football.1x2:home", "football.total_goals:over_2.5", "football.btts:yes")
+_TICKETS = (("Safe Builder", 0.08, (0, 1)), ("Balanced Builder", 0.22, (2, 3)), ("Aggressive Builder", 0.38, (2, 3, 4)))
+
+
+def _ticket_sql(name: str, risk: float, legs: tuple[int, ...]) -> str:
+    p, odds = (" * ".join(f"{x}{i}" for i in legs) for x in "po")
+    return f"SELECT l_orderkey, '{name}' AS ticket, {odds} AS odds, least(greatest({p} * (1 - {risk}), 1e-6), 1 - 1e-6) AS adjusted FROM t WHERE {odds} IS NOT NULL"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, (l_linenumber - 1) % 5 AS m, l_extendedprice / 1e5 AS p, 1 + l_quantity / 20 AS o FROM lineitem),
+t AS (SELECT l_orderkey, {", ".join(f"max(p) FILTER (m = {i}) AS p{i}, arg_max(o, (p, o)) FILTER (m = {i}) AS o{i}" for i in range(5))} FROM l GROUP BY 1), a AS ({" UNION ALL ".join(_ticket_sql(*x) for x in _TICKETS)})
+SELECT l_orderkey, ticket, round(odds, 6) AS odds, round(adjusted, 6) AS adjusted, round(adjusted * odds - 1, 6) AS edge FROM a""")
 def fixed_tickets(spark, d):
-    c = F.col
-    rows = read(spark, d, "lineitem")
-    odd = c("l_linenumber") % 2 == 1
-    whole = rows.groupBy("l_orderkey").agg(F.count_if(odd).alias("a"), F.count_if(~odd).alias("b")).where("a = 1 AND b = 1").select("l_orderkey")
-    legs = rows.join(whole, "l_orderkey", "left_semi").select("l_orderkey", F.when(odd, "football.double_chance").otherwise("football.total_goals").alias("market"), F.when(odd, "1X").otherwise("under_3.5").alias("selection"), (c("l_extendedprice") / 1e5).alias("p"), (1 + c("l_quantity") / 20).alias("odds"))
+    leg = F.get(F.array(*map(F.lit, _LEGS)), (F.col("l_linenumber") - 1) % 5)
+    legs = read(spark, d, "lineitem").select("l_orderkey", F.substring_index(leg, ":", 1).alias("market"), F.substring_index(leg, ":", -1).alias("selection"), (F.col("l_extendedprice") / 1e5).alias("p"), (1 + F.col("l_quantity") / 20).alias("odds"))
     return bets.tickets(legs, "l_orderkey", 0.8).select("l_orderkey", "ticket", r6("odds").alias("odds"), r6("adjusted").alias("adjusted"), r6("edge").alias("edge"))

@@ -31,9 +31,13 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
-    """(market_id, selection, odds, bookmaker) of a price file; a malformed price is an error."""
-    schema = T.StructType([T.StructField("market_id", T.StringType()), T.StructField("selection", T.StringType()), T.StructField("odds", T.DoubleType()), T.StructField("bookmaker", T.StringType())])
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """(market_id, selection, odds, bookmaker) of a price file: rows with fewer cells are left out, a malformed price is an error."""
+    names = ["market_id", "selection", "odds", "bookmaker", "_wrong"]  # the last holds a line whose cells are not four
+    options = {"header": True, "columnNameOfCorruptRecord": "_wrong", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    cells = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).options(**options).csv(path)
+    whole = cells.where(F.col("_wrong").isNull() | F.col("bookmaker").isNotNull())
+    bad = F.raise_error(F.concat(F.lit("malformed price: "), F.coalesce("odds", F.lit("")))).cast("double")
+    return whole.select("market_id", "selection", F.coalesce(F.col("odds").try_cast("double"), bad).alias("odds"), F.coalesce("bookmaker", F.lit("")).alias("bookmaker"))
 
 
 def optional(df: DataFrame, *names: str) -> Column:

@@ -95,3 +95,13 @@ def test_streamed_scores_see_only_the_past(spark, tmp_path):
     stream = spark.readStream.schema("k string, observed_at timestamp").parquet(str(tmp_path / "in"))
     snapshots.score(stream, lambda: known, ["k"], lambda df: df.withColumn("p", F.col("x") / 10), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     assert [(r.observed_at.hour, r.p) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("observed_at").collect()] == [(1, None), (3, 0.7)]
+
+
+def test_prices_with_short_and_bad_rows(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "p.csv").write_text("market_id,selection,odds,bookmaker\nm,home,1.5,b\nm,away\n\nm,draw,3.25,\n")
+    assert [tuple(r) for r in readers.prices(spark, str(tmp_path / "p.csv")).collect()] == [("m", "home", 1.5, "b"), ("m", "draw", 3.25, "")]
+    (tmp_path / "q.csv").write_text("market_id,selection,odds,bookmaker\nm,home,high,b\n")
+    with pytest.raises(Exception, match="malformed price"):
+        readers.prices(spark, str(tmp_path / "q.csv")).collect()

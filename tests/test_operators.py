@@ -180,3 +180,41 @@ def test_fuzzy_resolution_of_short_names(spark):
         score, alias = min((-SequenceMatcher(None, n, a).ratio(), a) for a in aliases)
         want[n] = (alias, -score) if -score >= resolve.NEAR else (None, None)
     assert got == want and [got[n][0] for n in names[:3]] == ["koln", "lyon", "abcdef"]
+
+
+def test_filtered_history_of_null_keys_and_values(spark):
+    rows = [(None, 1, 1.0, True), (None, 2, 2.0, True), (None, 3, None, True), (None, 4, 9.0, False), (1, 1, 5.0, False), (1, 2, 7.0, None)]
+    df = spark.createDataFrame(rows, "k int, at int, v double, counted boolean")
+    got = {(r.k, r.at): (r.games, r.v_avg) for r in history.rolling_filtered(df, ["k"], ["at"], F.col("counted"), ["v"], 2).collect()}
+    assert got == {(None, 1): (0, None), (None, 2): (1, 1.0), (None, 3): (2, 1.5), (None, 4): (2, 2.0), (1, 1): (0, None), (1, 2): (0, None)}
+
+
+def test_rows_without_a_day_come_first(spark):
+    df = spark.createDataFrame([(None, 1, "a"), ("2024-01-01", 2, "b"), ("2024-01-02", 3, "a")], "day string, id int, label string").withColumn("day", F.to_date("day"))
+    assert [r.row_index for r in history.row_number_in(df, "day", ["id"]).orderBy("id").collect()] == [0, 1, 2]
+    p = {r.id: (r.p_a, r.p_b) for r in history.global_prior(df, "day", ["id"], "label", ["a", "b"]).collect()}
+    assert p == {1: (0.5, 0.5), 2: (2 / 3, 1 / 3), 3: (0.5, 0.5)}
+
+
+def test_too_many_legs_are_refused(spark):
+    import pytest
+
+    from fieldlark.operators import joins
+
+    with pytest.raises(ValueError, match="more than 3 legs"):
+        joins.combinations(spark.range(4).withColumnRenamed("id", "leg"), 2, most=3)
+
+
+def test_import_findings_on_odd_rows(spark):
+    from fieldlark.operators import imports
+
+    fixtures = spark.createDataFrame([(1, 10, "final"), (1, 12, None)], "fixture_id int, kickoff int, result_status string")
+    odds = spark.createDataFrame([(1, "h", 13, True, 2.0), (2, "h", 1, False, None), (None, "h", 1, False, float("nan"))], "fixture_id int, selection string, captured_at int, closing boolean, odds double")
+    settled = spark.createDataFrame([(1, "h", 11, "win"), (1, "a", 12, None)], "fixture_id int, selection string, label_time int, result string")
+    names = spark.createDataFrame([("", "x", 0.9, None), ("n", None, 0.5, "needs_review")], "raw_name string, canonical_id string, confidence double, review_status string")
+    got = sorted((r.rule, r.key) for r in imports.findings(fixtures, odds, settled, names).collect())
+    assert got == sorted([
+        ("duplicate_fixture_id", "1"), ("non_final_fixture", "1"), ("odds_after_kickoff", "1"), ("odds_missing_fixture", "2"), ("invalid_decimal_odds", "2"), ("odds_missing_fixture", ""), ("invalid_decimal_odds", ""),
+        ("label_before_kickoff", "1"), ("invalid_settlement_result", "1"), ("empty_identity_field", ""), ("empty_identity_field", "n"),
+    ])
+    assert imports.findings(fixtures.limit(0), odds.limit(0), settled.limit(0), names.limit(0)).count() == 0
