@@ -109,6 +109,10 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, bucket:
     return df.withColumn("_inner", inner).join(offsets, [*keys, bucket]).withColumn(name, (F.col("_inner") + F.col("_offset")).cast("long")).drop("_inner", "_offset")
 
 
+#: Edges that one task can meet: up to so many in all, ``components`` joins without looking for hot nodes.
+EDGES = 1_000_000
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of the undirected ``edges`` (a long, b long): rows (node, component), the component's smallest node.
 
@@ -118,20 +122,32 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     repeated edges do no harm.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = now.count() <= EDGES  # the steps never add edges
     for _ in range(rounds):
         if _stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, nodes = with_groups(both, ["u"], F.min("v").alias("m"), where="n > 0")
-        large = stash(large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        small, least = with_groups(large, ["u"], F.min("v").alias("m"), where="n > 0")
+        large, done = _with_least(both, few)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = large if few else stash(large)
+        small, more = _with_least(large, few)
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(now, nodes, large, least)
+        after = stash(small.unionByName(least).distinct())
+        release(now, *done, *more, *([] if few else [large]))
         now = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _with_least(edges: DataFrame, few: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(``edges`` with m, the least v of each u, tables to release)."""
+    least = F.min("v").alias("m")
+    if few:
+        return edges.join(edges.groupBy("u").agg(least), "u"), []
+    out, groups = with_groups(edges, ["u"], least, where="n > 0")
+    return out, [groups]
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one edge, to a v that is no u: each component is a star about its smallest node."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))

@@ -251,3 +251,24 @@ def test_long_and_repeated_items_stay_cheap():
     n_words, hits, found, longest, at = decontaminate.shard(pa.array([f"x {long} y", "zz " * 3000], pa.large_string()), items)
     assert [len(h) for h in hits] == [50_000, 3000] and found[0] == ["0"] and len(found[1]) == 1000
     assert longest == [50_000, 1] and at == [1, 0] and time.perf_counter() - began < 20
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    from fieldlark.llm import common
+
+    monkeypatch.setattr(common, "EDGES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    test_components_and_ordinals(spark)
+
+
+def test_texts_with_a_passage_in_common_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    say = speaker(21)
+    passage = say(120)
+    texts = [f"{passage} {say(45)}" for _ in range(30)]
+    near = texts[3].split(" ")
+    near[-1] = "other"
+    texts += [" ".join(near), texts[5].upper()]
+    df = spark.createDataFrame([(f"k{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(df, n=4).collect()}
+    assert got == {f"k{i:02}": {30: "k03", 31: "k05"}.get(i, f"k{i:02}") for i in range(32)}
