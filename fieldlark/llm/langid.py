@@ -30,15 +30,21 @@ TEXTS, DICTIONARY, LEVEL, LANGUAGES = 400, 1 << 18, 6, 200
 UNKNOWN = "und"
 
 
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def not_letters() -> re.Pattern:
-    """Runs of other characters than letters: of ``\\w`` all that is a digit, a number or an underscore too."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W_{numbers}]+")
+def numbers() -> frozenset[str]:
+    """What ``\\w`` takes for a letter and is a number, such as superscripts."""
+    return frozenset(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha())
 
 
 def letters(text: str | None) -> bytes:
-    return not_letters().sub(" ", text.lower()).strip().encode() if text else b""
+    if not text:
+        return b""
+    if not text.isascii() and not numbers().isdisjoint(text):
+        text = text.translate(dict.fromkeys(map(ord, numbers().intersection(text)), " "))
+    return NOT_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
 def chance(key: Column) -> Column:
