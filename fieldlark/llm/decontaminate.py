@@ -32,7 +32,7 @@ from fieldlark.llm.textkernel import ALPHANUMERIC, _powers, mixed, slices, words
 WINDOW = 13
 #: Bytes of test text that one pass searches for.
 BLOCK = 4 << 20
-SHARD = 4 << 20
+SHARD = 1 << 20
 
 
 class Prefixes:
