@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-_SPLIT = 1 << 20
+_SPLIT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
