@@ -37,7 +37,7 @@ REPEATS = re.compile(rb"((.).*?)\1\2", re.DOTALL)
 #: The split rule that ``boundaries`` follows; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def byte_characters() -> dict[int, str]:
