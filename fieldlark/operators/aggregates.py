@@ -47,12 +47,16 @@ def readiness(df: DataFrame, checks: dict[str, tuple[Column, int]]) -> DataFrame
     return counts.withColumn("warnings", F.array_join(short, "; ")).withColumn("ready", F.size(short) == 0)
 
 
-def event_summary(events: DataFrame, match: str, side: Column, kind: Column, minute: Column, xg: Column) -> DataFrame:
-    """Shots, goals, expected goals, cards and half goals by match and side, and the goal minutes in order."""
+def event_summary(events: DataFrame, match: str, side: Column, kind: Column, minute: Column, xg: Column, raw: Column | None = None) -> DataFrame:
+    """Shots, goals, expected goals, cards, corners and half goals by match and side, and the goal minutes in order.
+
+    Corners are the events whose ``raw`` text names one; without it there are none.
+    """
     goal = kind == "goal"
+    corner = F.coalesce(F.contains(raw, F.lit("Corner")), F.lit(False)) if raw is not None else F.lit(False)
     return events.groupBy(match, side.alias("side")).agg(
         F.count_if(kind.isin("shot", "goal")).alias("shots"), F.count_if(goal).alias("goals"), F.sum(F.coalesce(xg, F.lit(0.0))).alias("xg"),
-        F.count_if(kind == "card").alias("cards"), F.count_if(goal & (minute <= 45)).alias("first_half_goals"), F.count_if(goal & (minute > 45)).alias("second_half_goals"),
+        F.count_if(kind == "card").alias("cards"), F.count_if(corner).alias("corners"), F.count_if(goal & (minute <= 45)).alias("first_half_goals"), F.count_if(goal & (minute > 45)).alias("second_half_goals"),
         F.array_join(F.sort_array(F.collect_list(F.when(goal, minute))), ",").alias("goal_minutes"),
     )
 
@@ -104,6 +108,23 @@ def team_strength(matches: DataFrame, team: str = "team", scored: str = "gf", co
     return teams.crossJoin(F.broadcast(mean))  # one row
 
 
+#: The mean of a match where no row tells: corners, shots and yellow cards of both sides; fixed values.
+USUAL = {"corners": 9.5, "shots": 24.0, "yellows": 4.0}
+
+
+def team_means(matches: DataFrame, team: str = "team", values: dict[str, float] = USUAL) -> DataFrame:
+    """By team the rows that tell each value, its sums for and against, and beside them the mean of a match over all.
+
+    ``matches`` is team-long with <value>_for and <value>_against; a row counts for a value where both are known.
+    """
+    told = {v: F.col(f"{v}_for").isNotNull() & F.col(f"{v}_against").isNotNull() for v in values}
+    total = lambda v, side: F.coalesce(F.sum(F.when(told[v], F.col(f"{v}_{side}"))), F.lit(0))
+    teams = matches.groupBy(team).agg(*(x for v in values for x in (F.count_if(told[v]).alias(f"{v}_matches"), total(v, "for").alias(f"{v}_for"), total(v, "against").alias(f"{v}_against"))))
+    mean = {v: rate(total(v, "for") + total(v, "against"), F.count_if(told[v])) for v in values}
+    means = matches.agg(*(F.when(m > 0, m).otherwise(values[v]).alias(f"avg_{v}") for v, m in mean.items()))
+    return teams.crossJoin(F.broadcast(means))  # one row
+
+
 def identities(df: DataFrame, name: Column, source: str, raw: str) -> DataFrame:
     """Candidates by normalised name: sources and spellings, distinct and in order."""
     sets = df.groupBy(name.alias("name")).agg(F.sort_array(F.collect_set(source)).alias("_s"), F.sort_array(F.collect_set(raw)).alias("_v"))

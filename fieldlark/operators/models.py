@@ -204,3 +204,48 @@ def balance(df: DataFrame, label: str) -> DataFrame:
     total = counts.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k"))
     weights = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row a class
     return df.join(F.broadcast(weights), label)
+
+
+def fit_hybrid(train: DataFrame, features: list[str], targets: list[str], day: str, order: list[str], c: float = 0.7) -> dict[str, tuple]:
+    """For each target (a column of classes 0, 1, ...): (fitted pipeline, base rates, share of the base rates).
+
+    The pipeline is fitted on the first four fifths of the rows and the share chosen on the rest, by log loss; then
+    the pipeline is fitted on all. A target with too few rows, or one class in the first part, takes the usual share.
+    Rows with a null target are left out of that target. A target of a single class raises.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from fieldlark.operators import history, walkforward
+
+    out = {}
+    for target in targets:
+        rows = history.row_number_in(train.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("int")), day, order)
+        counts = dict(rows.groupBy(target).count().collect())  # one row a class
+        total = sum(counts.values())
+        if len(counts) < 2:
+            raise ValueError(f"{target} has a single class")
+        base = [counts.get(k, 0) / total for k in range(max(counts) + 1)]
+        fit = lambda part, n: hybrid_pipeline(features, target, c, n).fit(balance(part, target))  # noqa: B023, E731
+        share, split = walkforward.USUAL_SHARE, max(20, int(total * 0.8))
+        first = rows.where(F.col("row_index") < split)
+        if total >= 2 * walkforward.LEAST_CHOICE and total - split >= walkforward.LEAST_CHOICE and first.select(target).distinct().count() == len(counts):
+            scored = fit(first, split).transform(rows.where(F.col("row_index") >= split)).withColumn("_p", vector_to_array("probability"))
+            p = {str(k): F.get("_p", F.lit(k)) for k in range(len(base))}
+            losses = walkforward.share_losses(scored, [], p, {str(k): F.lit(b) for k, b in enumerate(base)}, F.col(target).cast("string"))
+            share = walkforward.chosen_share(losses, []).first()["share"]
+        out[target] = (fit(rows, total), base, share)
+    return out
+
+
+def hybrid_probabilities(df: DataFrame, fitted: dict[str, tuple]) -> DataFrame:
+    """Add p_<target>, an array of the classes' probabilities, of each target of ``fit_hybrid``."""
+    from pyspark.ml.functions import vector_to_array
+
+    from fieldlark.operators import walkforward
+
+    names = df.columns
+    for target, (model, base, share) in fitted.items():
+        p = F.zip_with(vector_to_array("probability"), F.array(*map(F.lit, base)), lambda x, b: walkforward.shrunk(x, b, share))  # noqa: B023
+        names = [*names, f"p_{target}"]
+        df = model.transform(df).withColumn(f"p_{target}", p).select(*names)
+    return df

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AUTO, NEAR = 0.95, 0.84
+#: Confidence of an exact name, and of one whose context is another's; fixed values.
+EXACT, OTHER_CONTEXT = 0.99, 0.88
 
 
 @F.pandas_udf(T.DoubleType())
@@ -50,7 +52,7 @@ def resolve(names: DataFrame, aliases: DataFrame, name: str = "name", alias: str
     """
     distinct = names.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
     known = aliases.select(F.col(alias).alias("_a"), F.col(value).alias("_v")).distinct()
-    exact = distinct.join(known, F.col("_n") == F.col("_a")).groupBy("_n").agg(F.min("_v").alias("_v")).select("_n", "_v", F.lit(0.99).alias("confidence"))
+    exact = distinct.join(known, F.col("_n") == F.col("_a")).groupBy("_n").agg(F.min("_v").alias("_v")).select("_n", "_v", F.lit(EXACT).alias("confidence"))
     rest = distinct.join(exact, "_n", "left_anti")
     left = rest.select("_n", F.explode(_keys(F.col("_n"), least)).alias("_g"))
     right = known.select("_a", "_v", F.explode(_keys(F.col("_a"), least)).alias("_g"))
@@ -62,6 +64,28 @@ def resolve(names: DataFrame, aliases: DataFrame, name: str = "name", alias: str
     return names.join(best.withColumnRenamed("_n", name), name, "left").withColumnRenamed("_v", value).withColumn("auto", F.coalesce(F.col("confidence") >= AUTO, F.lit(False)))
 
 
+def resolve_in_context(names: DataFrame, aliases: DataFrame, context: list[str], name: str = "name", alias: str = "alias", value: str = "canonical_id", least: float = NEAR) -> DataFrame:
+    """``resolve`` for names that several entities share, told apart by the ``context`` columns of both sides.
+
+    An alias whose context is null or empty fits any; an exact name whose context fits none has confidence 0.88
+    and so is not ``auto``. Of several that fit, or of several where none fits, the smallest value is taken.
+    """
+    distinct = names.select(F.col(name).alias("_n"), *context).where("_n IS NOT NULL").distinct()
+    known = aliases.select(F.col(alias).alias("_n"), F.col(value).alias("_v"), *(F.col(x).alias(f"_{x}") for x in context)).distinct()
+    fits = F.lit(True)
+    for x in context:
+        fits &= (F.coalesce(F.col(f"_{x}"), F.lit("")) == "") | F.coalesce(F.col(f"_{x}") == F.col(x), F.lit(False))
+    exact = distinct.join(known, "_n").groupBy("_n", *context).agg(F.min(F.when(fits, F.col("_v"))).alias("_fit"), F.min("_v").alias("_any"))
+    chosen = exact.select(F.col("_n").alias("_e"), *(F.col(x).alias(f"_{x}") for x in context), F.coalesce("_fit", "_any").alias("_exact"), F.when(F.col("_fit").isNotNull(), EXACT).otherwise(OTHER_CONTEXT).alias("_sure"))
+    same = F.col(name) == F.col("_e")
+    for x in context:
+        same &= F.col(x).eqNullSafe(F.col(f"_{x}"))
+    out = resolve(names, aliases, name, alias, value, least).join(chosen, same, "left")
+    sure = F.coalesce("_sure", "confidence")
+    made = {value: F.coalesce("_exact", value), "confidence": sure, "auto": F.coalesce(sure >= AUTO, F.lit(False))}
+    return out.withColumns(made).drop("_e", "_exact", "_sure", *(f"_{x}" for x in context))
+
+
 def identity_refs(**roles: DataFrame) -> DataFrame:
     """References (kind, provider, key) of several roles, each once, with the first role that has it."""
     out = None

@@ -106,3 +106,32 @@ def top_factors(factors: dict[str, tuple[Column, float]], n: int = 3) -> Column:
 def by_model(rows: DataFrame, models_: list[str]) -> DataFrame:
     """Each row once a model."""
     return rows.withColumn("model", F.explode(F.array(*map(F.lit, models_))))
+
+
+#: Shares of the base rates that are tried, the share where rows are too few, and the least rows to choose on; fixed values.
+SHARES, USUAL_SHARE, LEAST_CHOICE = tuple(k / 20 for k in range(11)), 0.2, 25
+
+
+def shrunk(p: Column, base: Column, share: float) -> Column:
+    """A probability drawn towards the base rate."""
+    return (1 - share) * p + share * base
+
+
+def share_losses(rows: DataFrame, keys: list[str], p: dict[str, Column], base: dict[str, Column], label: Column) -> DataFrame:
+    """(keys, share, rows, log_loss) for each of SHARES, of classes with probabilities ``p`` and base rates ``base``.
+
+    All shares are one aggregate: no pass over the rows is repeated. Rows whose label is no class do not count.
+    """
+    hit, prior = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k in p:
+        hit, prior = F.when(label == k, p[k]).otherwise(hit), F.when(label == k, base[k]).otherwise(prior)
+    known = rows.select(*keys, hit.alias("_p"), prior.alias("_b")).where("_p IS NOT NULL")
+    loss = lambda share: F.avg(-F.ln(F.greatest(shrunk(F.col("_p"), F.col("_b"), share), F.lit(1e-12))))
+    each = known.groupBy(*keys).agg(F.count("*").alias("rows"), F.array(*(F.struct(F.lit(s).alias("share"), loss(s).alias("log_loss")) for s in SHARES)).alias("_s"))
+    return each.select(*keys, "rows", F.inline("_s"))
+
+
+def chosen_share(losses: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each group the share with the least loss, the smallest of equal ones; USUAL_SHARE where rows are too few."""
+    best = losses.groupBy(*keys).agg(F.first("rows").alias("rows"), F.min(F.struct("log_loss", "share")).alias("_m"))
+    return best.select(*keys, "rows", F.when(F.col("rows") >= LEAST_CHOICE, F.col("_m.share")).otherwise(USUAL_SHARE).alias("share"), F.col("_m.log_loss").alias("log_loss"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlark.functions import text
-from fieldlark.operators import bets, history, imports, metrics, models, resolve, rules, walkforward
+from fieldlark.operators import aggregates, bets, history, imports, metrics, models, resolve, rules, walkforward
 from fieldlark.plans import markets
 from fieldlark.plans.queries import _FROM_GRID, _GRID, _P, _rates, query, r6, read
 from fieldlark.streaming import snapshots
@@ -402,3 +402,110 @@ SELECT r.i::INT AS bin, coalesce(rows, 0) AS rows, round(confidence, 6) AS confi
 def calibration_with_empty_bins(spark, d):
     out = metrics.calibration(read(spark, d, "events").withColumn("p", (c("value") % 40) / 100), c("p"), c("event_id") % 3 == 0, 5, "null")
     return out.select("bin", "rows", r6("confidence").alias("confidence"), r6("accuracy").alias("accuracy"))
+
+
+_KIND = "CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'view' THEN 'card' ELSE 'other' END"
+
+
+@query(f"""
+SELECT user_id, event_id % 2 AS side, count(*) FILTER (k IN ('shot', 'goal')) AS shots, count(*) FILTER (k = 'goal') AS goals, round(sum(coalesce(value, 0)), 4) AS xg, count(*) FILTER (k = 'card') AS cards,
+  count(*) FILTER (raw LIKE '%Corner%') AS corners, count(*) FILTER (k = 'goal' AND t <= 45) AS first_half_goals, count(*) FILTER (k = 'goal' AND t > 45) AS second_half_goals, string_agg(t, ',' ORDER BY t) FILTER (k = 'goal') AS goal_minutes
+FROM (SELECT *, {_KIND} AS k, minute(ts) AS t, CASE event_id % 5 WHEN 0 THEN '{{"t": "Corner"}}' WHEN 1 THEN '{{"t": "Pass"}}' END AS raw FROM events) GROUP BY 1, 2
+""")
+def event_totals(spark, d):
+    kind = F.when(c("event_type") == "purchase", "goal").when(c("event_type") == "click", "shot").when(c("event_type") == "view", "card").otherwise("other")
+    raw = F.when(c("event_id") % 5 == 0, '{"t": "Corner"}').when(c("event_id") % 5 == 1, '{"t": "Pass"}')
+    out = aggregates.event_summary(read(spark, d, "events"), "user_id", c("event_id") % 2, kind, F.minute("ts"), c("value"), raw)
+    return out.withColumns({"xg": F.round("xg", 4), "goal_minutes": F.nullif("goal_minutes", F.lit(""))})
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS team, nullif(l_linenumber % 4, 3) AS cf, nullif(l_orderkey % 6, 5) AS ca, l_partkey % 9 AS sf, l_orderkey % 7 AS sa FROM lineitem),
+m AS (SELECT avg(cf + ca) AS c, avg(sf + sa) AS s FROM s)
+SELECT team, count(cf + ca) AS corners_matches, coalesce(sum(cf) FILTER (ca IS NOT NULL), 0)::BIGINT AS corners_for, coalesce(sum(ca) FILTER (cf IS NOT NULL), 0)::BIGINT AS corners_against,
+  count(*) AS shots_matches, sum(sf)::BIGINT AS shots_for, sum(sa)::BIGINT AS shots_against, 0::BIGINT AS yellows_matches, 0::BIGINT AS yellows_for, 0::BIGINT AS yellows_against,
+  round((SELECT c FROM m), 6) AS avg_corners, round((SELECT s FROM m), 6) AS avg_shots, 4.0::DOUBLE AS avg_yellows FROM s GROUP BY team
+""")
+def team_means(spark, d):
+    k, line = c("l_orderkey"), c("l_linenumber")
+    none = F.lit(None).cast("long")
+    rows = read(spark, d, "lineitem").select(
+        c("l_suppkey").alias("team"), F.nullif((line % 4).cast("long"), F.lit(3)).alias("corners_for"), F.nullif(k % 6, F.lit(5)).alias("corners_against"),
+        (c("l_partkey") % 9).alias("shots_for"), (k % 7).alias("shots_against"), none.alias("yellows_for"), none.alias("yellows_against"),
+    )
+    return aggregates.team_means(rows)
+
+
+_SHARES = """x AS (SELECT o_orderpriority AS competition, CASE o_orderstatus WHEN 'F' THEN 0.2 + (o_custkey % 7) * 0.1 WHEN 'O' THEN 0.75 - (o_custkey % 7) * 0.1 WHEN 'P' THEN 0.05 END AS p,
+  CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O' THEN 0.3 WHEN 'P' THEN 0.2 END AS b FROM orders),
+l AS (SELECT competition, i / 20.0 AS share, count(*) AS rows, avg(-ln(greatest((1 - i / 20.0) * p + i / 20.0 * b, 1e-12))) AS loss FROM x, range(11) t(i) WHERE p IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _share_losses(spark, d):
+    step = (c("o_custkey") % 7) * 0.1
+    p = {"F": 0.2 + step, "O": 0.75 - step, "P": F.lit(0.05)}
+    rows = read(spark, d, "orders").withColumnRenamed("o_orderpriority", "competition")
+    return walkforward.share_losses(rows, ["competition"], p, {k: F.lit(b) for k, b in {"F": 0.5, "O": 0.3, "P": 0.2}.items()}, c("o_orderstatus"))
+
+
+@query(f"WITH {_SHARES} SELECT competition, rows, share::DOUBLE AS share, round(loss, 6) AS log_loss FROM l")
+def base_share_losses(spark, d):
+    return _share_losses(spark, d).withColumn("log_loss", r6("log_loss"))
+
+
+@query(f"WITH {_SHARES} SELECT competition, rows, CASE WHEN rows >= 25 THEN share ELSE 0.2 END::DOUBLE AS share, round(loss, 6) AS log_loss FROM l QUALIFY row_number() OVER (PARTITION BY competition ORDER BY loss, share) = 1")
+def base_share_choice(spark, d):
+    return walkforward.chosen_share(_share_losses(spark, d), ["competition"]).withColumn("log_loss", r6("log_loss"))
+
+
+@query("""
+WITH a AS (SELECT c_mktsegment AS alias, 'id-' || c_custkey % 9 AS v, nullif((c_nationkey % 6)::VARCHAR, '5') AS team, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE 'x' END AS country FROM customer WHERE c_custkey % 50 = 1),
+n AS (SELECT c_custkey, c_mktsegment AS name, nullif((c_nationkey % 9)::VARCHAR, '8') AS team, CASE WHEN c_custkey % 3 = 0 THEN 'x' END AS country FROM customer),
+p AS (SELECT c_custkey, min(v) FILTER ((coalesce(a.team, '') = '' OR a.team = n.team) AND (a.country = '' OR a.country = coalesce(n.country, ''))) AS fit, min(v) AS other FROM n JOIN a ON alias = name GROUP BY 1)
+SELECT c_custkey, coalesce(fit, other) AS canonical_id, CASE WHEN fit IS NOT NULL THEN 0.99 ELSE 0.88 END AS confidence, fit IS NOT NULL AS auto FROM p
+""")
+def aliases_in_context(spark, d):
+    customers = read(spark, d, "customer")
+    nation, key = c("c_nationkey"), c("c_custkey")
+    known = customers.where(key % 50 == 1).select(
+        c("c_mktsegment").alias("alias"), F.concat(F.lit("id-"), key % 9).alias("canonical_id"), F.nullif((nation % 6).cast("string"), F.lit("5")).alias("team"), F.when(nation % 2 == 0, "").otherwise("x").alias("country")
+    )
+    names = customers.select("c_custkey", c("c_mktsegment").alias("name"), F.nullif((nation % 9).cast("string"), F.lit("8")).alias("team"), F.when(key % 3 == 0, "x").alias("country"))
+    return resolve.resolve_in_context(names, known, ["team", "country"]).where("canonical_id IS NOT NULL").select("c_custkey", "canonical_id", "confidence", "auto")
+
+
+_SCOPED = "SELECT n_name AS name, n_regionkey AS region_group, CASE n_nationkey % 4 WHEN 0 THEN 'core_train' WHEN 1 THEN 'expanded_train' WHEN 2 THEN 'reference_only' END AS default_scope FROM nation"
+
+
+def _leagues(spark, d):
+    k = c("n_nationkey") % 4
+    scope = F.when(k == 0, "core_train").when(k == 1, "expanded_train").when(k == 2, "reference_only")
+    return read(spark, d, "nation").select(c("n_name").alias("name"), c("n_regionkey").alias("region_group"), scope.alias("default_scope"))
+
+
+@query(f"SELECT *, coalesce(default_scope IN ('core_train', 'expanded_train'), false) AS train_separately, coalesce(default_scope IN ('core_train', 'expanded_train'), false) AS calibrate_separately, coalesce(default_scope = 'reference_only', false) AS reference_only FROM ({_SCOPED})")
+def league_universe(spark, d):
+    return markets.league_universe(_leagues(spark, d))
+
+
+@query(f"SELECT region_group, count(*) AS total, count(*) FILTER (default_scope = 'core_train') AS core_train, count(*) FILTER (default_scope LIKE '%train') AS trainable, count(*) FILTER (default_scope IS NULL OR default_scope NOT LIKE '%train') AS other FROM ({_SCOPED}) GROUP BY 1")
+def league_counts(spark, d):
+    return markets.universe_counts(_leagues(spark, d))
+
+
+@query("""
+SELECT 'local' AS source_id, o_orderpriority AS competition_id, year(o_orderdate)::DOUBLE AS season, o_orderkey::VARCHAR AS source_event_id, '' AS kickoff_utc, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_custkey::VARCHAR END AS home_name, '' AS away_name,
+  CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 5 WHEN 1 THEN NULL ELSE o_orderkey % 5 END::DOUBLE AS home_score, NULL::DOUBLE AS away_score FROM orders
+""")
+def imported_rows(spark, d):
+    k, cust = c("o_orderkey"), c("o_custkey")
+    raw = read(spark, d, "orders").select(
+        F.lit("local").alias("source"), F.lit(" ").alias("competition"), c("o_orderpriority").alias("league"), F.year("o_orderdate").alias("year"), k.alias("id"), cust.alias("home_team"), F.when(k % 3 == 0, c("o_orderstatus")).otherwise("").alias("home"),
+        F.when(k % 4 == 0, (cust % 5).cast("string")).when(k % 4 == 1, "n/a").otherwise("").alias("home_score"), (k % 5).alias("home_goals"), F.lit("none").alias("away_score"),
+    )
+    return markets.imported(raw)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'P'")
+def wanted_rows(spark, d):
+    return markets.only(read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), o_orderstatus="P", o_orderpriority="all", o_orderkey=None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.operators import resolve
@@ -105,3 +105,56 @@ def classified(rows: DataFrame, kind: str = "source_kind") -> DataFrame:
     of = F.coalesce(*(F.when(F.col(kind) == k, F.lit(name)) for k, name in ROW_CLASSES.items()))
     unknown = of.isNull()
     return rows.withColumns({"row_class": F.coalesce(of, F.lit("unknown")), "classification_status": F.when(unknown, "review_required").otherwise("classified"), "review_reason": F.when(unknown, F.concat(F.lit("unknown source kind: "), F.coalesce(kind, F.lit(""))))})
+
+
+#: Scopes of competitions whose rows are trained on; fixed values.
+TRAINED_SCOPES, REFERENCE_SCOPE = ("core_train", "expanded_train"), "reference_only"
+
+
+def league_universe(leagues: DataFrame, scope: str = "default_scope") -> DataFrame:
+    """Competitions with what their scope allows: an own model and calibration, or reference only."""
+    trained = F.coalesce(F.col(scope).isin(*TRAINED_SCOPES), F.lit(False))
+    return leagues.withColumns({"train_separately": trained, "calibrate_separately": trained, "reference_only": F.coalesce(F.col(scope) == REFERENCE_SCOPE, F.lit(False))})
+
+
+def universe_counts(leagues: DataFrame, group: str = "region_group", scope: str = "default_scope") -> DataFrame:
+    """Competitions by group: all, core, trained and the rest."""
+    trained = F.coalesce(F.col(scope).isin(*TRAINED_SCOPES), F.lit(False))
+    return leagues.groupBy(group).agg(F.count("*").alias("total"), F.count_if(F.col(scope) == TRAINED_SCOPES[0]).alias("core_train"), F.count_if(trained).alias("trainable"), F.count_if(~trained).alias("other"))
+
+
+#: Names that imported rows give a column, the first that is filled counts; fixed values.
+ROW_ALIASES = {
+    "source_id": ("source_id", "source"),
+    "competition_id": ("competition_id", "competition", "league"),
+    "season": ("season", "year"),
+    "source_event_id": ("source_event_id", "event_id", "id"),
+    "kickoff_utc": ("kickoff_utc", "date", "kickoff"),
+    "home_name": ("home_name", "home", "home_team"),
+    "away_name": ("away_name", "away", "away_team"),
+    "home_score": ("home_score", "home_goals"),
+    "away_score": ("away_score", "away_goals"),
+}
+
+
+def imported(rows: DataFrame, aliases: dict[str, tuple[str, ...]] = ROW_ALIASES) -> DataFrame:
+    """Rows with the columns of ``aliases``, each from the first of its names that is there and not empty; other columns are left out.
+
+    Scores and seasons are numbers, null where they are none; other columns are strings, empty where unknown.
+    """
+    have = {c.lower(): c for c in rows.columns}
+
+    def first(names: tuple[str, ...]) -> Column:
+        found = [F.nullif(F.trim(F.col(f"`{have[n]}`").cast("string")), F.lit("")) for n in names if n in have]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    number = lambda name: name == "season" or name.endswith("_score")
+    return rows.select(*((first(names).try_cast("double") if number(k) else F.coalesce(first(names), F.lit(""))).alias(k) for k, names in aliases.items()))
+
+
+def only(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns equal what is wanted; ``all`` and None want anything."""
+    for column, value in wanted.items():
+        if value not in (None, "all"):
+            rows = rows.where(F.col(column) == value)
+    return rows

@@ -49,7 +49,10 @@ def test_pack_verifies_until_it_is_changed(spark, tmp_path):
     path = str(tmp_path / "pack")
     for fmt in ("json", "parquet"):
         manifest = writers.write_pack(path, {"a": spark.range(5), "b": spark.range(3)}, fmt)
-        assert {r.table_name for r in manifest.collect()} == {"a", "b"}
+        rows = manifest.collect()
+        assert {r.table_name for r in rows} == {"a", "b"} and sum(r.rows for r in rows) == 8
+        assert sum(r.raw_bytes for r in rows) == 8 * len('{"id":0}\n') and all(r.ratio == round(r.bytes / r.raw_bytes, 4) for r in rows if r.rows)
+        assert {r.codec for r in rows} == {writers.CODECS[fmt]} and all("long" in r.schema for r in rows)
         assert {r.status for r in writers.verify_pack(spark, path).collect()} == {"ok"}
     victim = next((tmp_path / "pack/tables/b").glob("part-*"))
     victim.with_name(f".{victim.name}.crc").unlink()
@@ -59,6 +62,15 @@ def test_pack_verifies_until_it_is_changed(spark, tmp_path):
     assert "missing" in {r.status for r in writers.verify_pack(spark, path).collect()}
 
 
+def test_pack_with_other_rows_than_its_manifest_says(spark, tmp_path):
+    path = str(tmp_path / "pack")
+    rows = writers.write_pack(path, {"a": spark.range(5).coalesce(1), "none": spark.range(0)}).collect()
+    assert {r.status for r in writers.verify_pack(spark, path).collect()} == {"ok"}
+    for change, status in (({"rows": 6}, "rows_differ"), ({"codec": "zip"}, "codec_unknown")):
+        spark.createDataFrame([r.asDict() | change for r in rows if r.table_name == "a"], "table_name string, file string, sha256 string, codec string, rows long").write.mode("overwrite").json(f"{path}/manifest")
+        assert {r.status for r in writers.verify_pack(spark, path).collect()} == {status}
+
+
 def test_run_archive_replaces_a_run(spark, tmp_path):
     path = str(tmp_path / "runs")
     writers.archive(spark.range(3), path, "r1", "2024-01-01")

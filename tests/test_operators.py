@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.operators import aggregates, bets, dedupe, history, joins, metrics, models, ratings, resolve, rules
+from fieldlark.operators import aggregates, bets, dedupe, history, joins, metrics, models, ratings, resolve, rules, walkforward
 
 
 def team_rows(n=300, seed=3):
@@ -218,3 +218,34 @@ def test_import_findings_on_odd_rows(spark):
         ("label_before_kickoff", "1"), ("invalid_settlement_result", "1"), ("empty_identity_field", ""), ("empty_identity_field", "n"),
     ])
     assert imports.findings(fixtures.limit(0), odds.limit(0), settled.limit(0), names.limit(0)).count() == 0
+
+
+def test_aliases_in_context(spark):
+    known = spark.createDataFrame([("j silva", "p1", "t1", None), ("j silva", "p2", "t2", "br"), ("k", "p3", "", ""), ("k", "p0", "t9", None), ("k", "p3", "", "")], "alias string, canonical_id string, team string, country string")
+    names = [(1, "j silva", "t1", None), (2, "j silva", "t2", "br"), (3, "j silva", "t2", "pt"), (4, "j silva", None, None), (5, "k", None, None), (6, "j silvaa", "t1", None), (7, None, "t1", None), (8, "zz", None, None), (1, "j silva", "t1", None)]
+    got = resolve.resolve_in_context(spark.createDataFrame(names, "id int, name string, team string, country string"), known, ["team", "country"]).collect()
+    assert len(got) == 9 and [r.confidence for r in got if r.id == 6] == [pytest.approx(14 / 15)]
+    assert {r.id: (r.canonical_id, r.confidence, r.auto) for r in got if r.id != 6} == {
+        1: ("p1", 0.99, True), 2: ("p2", 0.99, True), 3: ("p1", 0.88, False), 4: ("p1", 0.88, False), 5: ("p3", 0.99, True), 7: (None, None, False), 8: (None, None, False),
+    }
+
+
+def test_hybrid_chooses_its_share_by_loss(spark):
+    rows = [(i, i // 4, float(i % 7) if i % 5 else None, float(i % 3), (i * i) % 3, int(i % 7 > 3)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, day int, x double, z double, outcome int, over int").coalesce(2)
+    fitted = models.fit_hybrid(df, ["x", "z"], ["outcome", "over"], "day", ["id"])
+    out = models.hybrid_probabilities(df, fitted).collect()
+    assert len(out) == 160 and all(abs(sum(r.p_outcome) - 1) < 1e-9 and len(r.p_over) == 2 for r in out)
+    assert fitted["over"][1] == pytest.approx([sum(1 - r[5] for r in rows) / 160, sum(r[5] for r in rows) / 160])
+    assert 0 <= fitted["outcome"][2] <= 0.5 and sum((r.p_over[1] > 0.5) == (r.over == 1) for r in out) > 120
+    few = models.fit_hybrid(df.where("id < 40"), ["x", "z"], ["over"], "day", ["id"])
+    assert few["over"][2] == 0.2
+    with pytest.raises(ValueError):
+        models.fit_hybrid(df.where("over = 1"), ["x"], ["over"], "day", ["id"])
+
+
+def test_shares_without_rows_and_with_ties(spark):
+    rows = spark.createDataFrame([("a", "h", 0.5)] * 30 + [("b", "h", 0.9), ("b", "?", 0.1)], "k string, label string, p double")
+    losses = walkforward.share_losses(rows, ["k"], {"h": F.col("p")}, {"h": F.lit(0.5)}, F.col("label"))
+    assert {r.k: (r.rows, r.share) for r in walkforward.chosen_share(losses, ["k"]).collect()} == {"a": (30, 0.0), "b": (1, 0.2)}
+    assert walkforward.share_losses(rows.limit(0), ["k"], {"h": F.col("p")}, {"h": F.lit(0.5)}, F.col("label")).count() == 0
