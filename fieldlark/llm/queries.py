@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.llm import bpe, chat, decontaminate, langid, license_scan, near_dedup, quality, sharding, substring_dedup, toxicity
+from fieldlark.llm import bpe, chat, decontaminate, divergence, langid, license_scan, near_dedup, quality, sharding, substring_dedup, toxicity, url_filter, whitening
 from fieldlark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -147,9 +147,62 @@ SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, coa
 """
 
 
+#: Rules of the url filter, (host, path, verdict); fixed values.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    words = spark.createDataFrame([(w,) for w in url_filter.WORDS], "word string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.build(rules, words))
+
+
+def _url_sql() -> str:
+    """The same rules and words for DuckDB, the longest rule first."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(h, p, v)}'" for h, p, v in longest) + " END"
+    words = ", ".join(f"'{w}'" for w in url_filter.WORDS)
+    upper = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), {upper}), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS ruled, list_filter(regexp_extract_all(host, '[a-z0-9]+'), lambda w: w IN ({words}))[1] AS word FROM u)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN word END AS word FROM r
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+terms AS (SELECT row, lang, source, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counted AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::BIGINT AS p FROM cells JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n)::BIGINT AS n FROM p GROUP BY ALL),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::BIGINT AS q FROM whole JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS s FROM p a JOIN p b USING (lang, term) GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+found AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op6_sharding, op7_decontamination, op8_near_dedup, op9_license_scan, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_toxicity, op4_quality_rules, op5_language_id, op6_sharding, op7_decontamination, op8_near_dedup, op9_license_scan, op10_substring_dedup, op11_url_filter, op12_source_divergence, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_license_scan": _license_sql()}
+    return {"op2_chat_format": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_license_scan": _license_sql(), "op11_url_filter": _url_sql(), "op12_source_divergence": OP12_SQL}
