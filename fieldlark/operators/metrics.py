@@ -29,12 +29,12 @@ def of_label(p: dict[str, Column], label: Column) -> Column:
     return out
 
 
-def multiclass(df: DataFrame, p: dict[str, Column], label: Column, keys: list[str], floor: float = 1e-12, ties: tuple[str, ...] = CLASSES) -> DataFrame:
-    """Rows, accuracy, log loss and Brier score (summed over the classes) by ``keys``."""
+def multiclass(df: DataFrame, p: dict[str, Column], label: Column, keys: list[str], floor: float = 1e-12, ties: tuple[str, ...] = CLASSES, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows, accuracy, log loss and Brier score (summed over the classes) by ``keys``, and ``more`` aggregates in the same pass."""
     squares = [(x - (label == c).cast("double")) * (x - (label == c).cast("double")) for c, x in p.items()]
     return df.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.round(F.avg((pick(p, ties) == label).cast("double")), 6).alias("accuracy"),
-        F.round(F.avg(-F.ln(F.greatest(of_label(p, label), F.lit(floor)))), 6).alias("log_loss"), F.round(F.avg(sum(squares[1:], squares[0])), 6).alias("brier"),
+        F.round(F.avg(-F.ln(F.greatest(of_label(p, label), F.lit(floor)))), 6).alias("log_loss"), F.round(F.avg(sum(squares[1:], squares[0])), 6).alias("brier"), *more,
     )
 
 

@@ -1,4 +1,4 @@
-"""Score models: Poisson grids, Dixon-Coles, heuristics, linear artifacts, and their fitting."""
+"""Score models: Poisson grids, heuristics, linear artifacts, and their fitting."""
 
 from __future__ import annotations
 
@@ -52,6 +52,13 @@ def multiplicative_rates(df: DataFrame, avg: Column, h: tuple[Column, Column, Co
     return df.withColumns({"lambda_home": rate(h, a), "lambda_away": rate(a, h)})
 
 
+def average_rates(df: DataFrame, avg: Column, h: tuple[Column, Column, Column], a: tuple[Column, Column, Column]) -> DataFrame:
+    """Add lambda_home and lambda_away from (matches, for, against) of each side: the mean of own goals for and the other's against, 0.1 at least."""
+    mean = lambda x, n: F.when(n > 0, x / n).otherwise(avg)
+    rate = lambda own, other: F.greatest((mean(own[1], own[0]) + mean(other[2], other[0])) / 2, F.lit(0.10))
+    return df.withColumns({"lambda_home": rate(h, a), "lambda_away": rate(a, h)})
+
+
 def expected_total(home_for: Column, away_against: Column, away_for: Column, home_against: Column, default: Column, low: float, high: float) -> Column:
     """Expected corners, shots or cards of both sides; each missing mean is half the overall one."""
     each = [F.coalesce(c, default / 2) for c in (home_for, away_against, away_for, home_against)]
@@ -125,46 +132,6 @@ def blended(implied: Column, ways: Column) -> Column:
     return clamp(0.7 * implied + 0.3 / ways, 0.01, 0.99)
 
 
-def fit_dixon_coles(rows: list[tuple[str, str, int, int, float]], l2: float = 0.01, decay: float = 0.0, steps: int = 600) -> dict:
-    """Attack, defence, home advantage and rho of (home, away, goals, goals, age) rows: weighted likelihood, projected gradient.
-
-    Model fitting on one competition's results, a small table; strengths are centred.
-    """
-    teams = sorted({t for r in rows for t in r[:2]})
-    at = {t: i for i, t in enumerate(teams)}
-    h, a = (np.array([at[r[k]] for r in rows]) for k in (0, 1))
-    x, y, age = (np.array([r[k] for r in rows], float) for k in (2, 3, 4))
-    w = np.exp(-decay * age)
-    n = len(teams)
-    attack, defence, base, home, rho = np.zeros(n), np.zeros(n), np.log(max(0.1, (x.mean() + y.mean()) / 2)), 0.1, 0.0
-    rate = 0.5 / max(1.0, w.sum())
-    low = [(x == i) & (y == j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
-    for _ in range(steps):
-        lh, la = np.exp(np.clip(base + home + attack[h] - defence[a], -3, 2)), np.exp(np.clip(base + attack[a] - defence[h], -3, 2))
-        tau = np.select(low, [1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, np.full(len(x), 1 - rho)], 1.0).clip(1e-6)
-        gh = w * (x - lh + np.select(low[:3], [-lh * la * rho, lh * rho, 0 * lh], 0.0) / tau)
-        ga = w * (y - la + np.select(low[:3], [-lh * la * rho, 0 * la, la * rho], 0.0) / tau)
-        gr = (w * np.select(low, [-lh * la, lh, la, -np.ones(len(x))], 0.0) / tau).sum()
-        d_attack = np.bincount(h, gh, n) + np.bincount(a, ga, n) - 2 * l2 * attack
-        d_defence = -np.bincount(a, gh, n) - np.bincount(h, ga, n) - 2 * l2 * defence
-        count = np.bincount(h, w, n) + np.bincount(a, w, n)
-        attack, defence = attack + 0.5 * d_attack / count.clip(1), defence + 0.5 * d_defence / count.clip(1)
-        attack, defence = attack - attack.mean(), defence - defence.mean()
-        base, home = base + rate * (gh.sum() + ga.sum()) / 2, float(np.clip(home + rate * gh.sum(), -1, 1))
-        rho = float(np.clip(rho + 0.2 * rate * gr, -0.2, 0.2))
-    return {"teams": teams, "attack": attack.tolist(), "defence": defence.tolist(), "base": float(base), "home": home, "rho": rho}
-
-
-def dixon_coles_rates(df: DataFrame, params: DataFrame, fitted: dict, home: str = "home", away: str = "away", neutral: Column | None = None) -> DataFrame:
-    """Add lambda_home, lambda_away and rho; ``params`` is (team, attack, defence), an unknown team has strength 0."""
-    side = lambda name: params.select(F.col("team").alias(name), F.col("attack").alias(f"_{name}_a"), F.col("defence").alias(f"_{name}_d"))
-    out = df.join(side(home), home, "left").join(side(away), away, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    advantage = F.when(neutral, 0.0).otherwise(fitted["home"]) if neutral is not None else F.lit(fitted["home"])
-    rates = {"lambda_home": F.exp(fitted["base"] + advantage + zero(f"_{home}_a") - zero(f"_{away}_d")), "lambda_away": F.exp(fitted["base"] + zero(f"_{away}_a") - zero(f"_{home}_d")), "rho": F.lit(fitted["rho"])}
-    return out.withColumns(rates).drop(*(f"_{n}_{k}" for n in (home, away) for k in "ad"))
-
-
 def train_softmax(df: DataFrame, features: list[str], label: str, classes: list[str], l2: float = 1e-3, max_iter: int = 100) -> dict:
     """A softmax artifact fitted by Spark's logistic regression on z-scored features, its weights for raw features."""
     from pyspark.ml.classification import LogisticRegression

@@ -8,72 +8,120 @@ from pyspark.sql import functions as F
 from fieldlark.operators import history, metrics, models
 
 
+#: Folds whose sums one task carries on at most.
+WIDTH = 4096
+
+
+def played(matches: DataFrame) -> DataFrame:
+    """Matches with both scores: the others neither train nor test a model."""
+    return matches.where("home_goals IS NOT NULL AND away_goals IS NOT NULL")
+
+
 def folds(matches: DataFrame, day: str, order: list[str], min_train: int, every: int) -> DataFrame:
-    """Add row_index and ``fold``: which refit a match is scored by; -1 for the first ``min_train``, which only train."""
-    rows = history.row_number_in(matches, day, order)
+    """Played matches with row_index and ``fold``: which refit a match is scored by; -1 for the first ``min_train``, which only train."""
+    rows = history.row_number_in(played(matches), day, order)
     return rows.withColumn("fold", F.coalesce(history.refit_fold(F.col("row_index"), min_train, every), F.lit(-1)))
 
 
 def trained(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """(keys, fold, ``sums``) of all rows of earlier folds: what a model fitted before the fold knows.
 
-    A model of sums needs no pass a fold: sums by key and fold are small and get running totals. One row a fold
-    and key is summed in a key's task, so ``every`` should grow with the table.
+    A model of sums needs no pass a fold: sums by key and fold get running totals. These have two levels, sums of WIDTH
+    folds and those within, so that neither a key of very many folds nor the whole table is one task. Null keys have rows too.
     """
-    each = rows.groupBy(*keys, "fold").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    past = Window.partitionBy(*keys).orderBy("fold").rangeBetween(Window.unboundedPreceding, -1)
-    return each.select(*keys, "fold", *(F.coalesce(F.sum(n).over(past), F.lit(0)).alias(n) for n in sums))
+    each = rows.groupBy(*keys, "fold").agg(*(F.sum(c).alias(n) for n, c in sums.items())).withColumn("_block", F.floor(F.col("fold") / WIDTH))
+    blocks = each.groupBy(*keys, "_block").agg(*(F.sum(n).alias(n) for n in sums))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = blocks.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_k"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_before") for n in sums))
+    same = F.col("_block") == F.col("_k")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    past = Window.partitionBy(*keys, "_block").orderBy("fold").rangeBetween(Window.unboundedPreceding, -1)
+    own = each.withColumns({n: F.coalesce(F.sum(n).over(past), F.lit(0)) for n in sums})
+    return own.join(so_far, same).select(*keys, "fold", *((F.col(n) + F.col(f"_{n}_before")).alias(n) for n in sums))
 
 
-def poisson(matches: DataFrame, day: str, order: list[str], min_train: int, every: int = 1) -> DataFrame:
-    """Score rates and probabilities of each match after the first ``min_train``, from the team sums of earlier folds.
+def _known(matches: DataFrame, day: str, order: list[str], min_train: int, every: int) -> tuple[DataFrame, Column, tuple[Column, ...], tuple[Column, ...]]:
+    """(tested rows beside what is known before their fold, mean goals of a side, (matches, for, against) of home and of away).
 
-    ``matches``: home, away, home_goals, away_goals and the columns of ``order``, which must be the match's key.
     The mean is 1.25 goals where nothing is known, and 0.5 at least.
     """
     rows = folds(matches, day, order, min_train, every)
     c = F.col
-    long = history.team_long(rows, [c("home"), c("home_goals"), c("away_goals")], [c("away"), c("away_goals"), c("home_goals")], ["team", "gf", "ga"], [*order, "fold"])
+    long = history.team_long(rows, [c("home"), c("home_goals"), c("away_goals")], [c("away"), c("away_goals"), c("home_goals")], ["team", "gf", "ga"], ["fold"])
     teams = trained(long, ["team"], {"n": F.lit(1), "gf": c("gf"), "ga": c("ga")})
     side = lambda s: teams.select(c("team").alias(s), "fold", *(c(x).alias(f"_{s}_{x}") for x in ("n", "gf", "ga")))
-    overall = trained(rows.withColumn("_all", F.lit(0)), ["_all"], {"_goals": c("home_goals") + c("away_goals"), "_n": F.lit(2)}).drop("_all")
+    overall = trained(rows, [], {"_goals": c("home_goals") + c("away_goals"), "_n": F.lit(2)})
     tested = rows.where("fold >= 0").join(side("home"), ["home", "fold"], "left").join(side("away"), ["away", "fold"], "left").join(overall, "fold", "left")
     mean = F.when(c("_n") > 0, F.greatest(c("_goals") / c("_n"), F.lit(0.5))).otherwise(F.lit(1.25))
     of = lambda s: tuple(c(f"_{s}_{x}").cast("double") for x in ("n", "gf", "ga"))
-    rated = models.multiplicative_rates(tested, mean, of("home"), of("away"))
-    kept = [*matches.columns, "row_index", "fold", "lambda_home", "lambda_away"]
-    return models.grid_probabilities(rated.select(*kept), "lambda_home", "lambda_away")
+    return tested, mean, of("home"), of("away")
+
+
+def poisson_rates(matches: DataFrame, day: str, order: list[str], min_train: int, every: int = 1) -> DataFrame:
+    """Score rates of each played match after the first ``min_train``, attack times the root of the other's defence, from the team sums of earlier folds.
+
+    ``matches``: home, away, home_goals, away_goals and the columns of ``order``, which must be the match's key.
+    """
+    rated = models.multiplicative_rates(*_known(matches, day, order, min_train, every))
+    return rated.select(*matches.columns, "row_index", "fold", "lambda_home", "lambda_away")
+
+
+def average_rates(matches: DataFrame, day: str, order: list[str], min_train: int, every: int = 1) -> DataFrame:
+    """As ``poisson_rates``, each rate being halfway between the own mean for and the other's mean against; a team without a match has the overall mean.
+
+    With ``every`` 1, each match is scored by all played ones before it.
+    """
+    rated = models.average_rates(*_known(matches, day, order, min_train, every))
+    return rated.select(*matches.columns, "row_index", "fold", "lambda_home", "lambda_away")
+
+
+def poisson(matches: DataFrame, day: str, order: list[str], min_train: int, every: int = 1) -> DataFrame:
+    """``poisson_rates`` with the probabilities of their score grid."""
+    return models.grid_probabilities(poisson_rates(matches, day, order, min_train, every), "lambda_home", "lambda_away")
+
+
+def team_averages(matches: DataFrame, day: str, order: list[str], min_train: int, every: int = 1) -> DataFrame:
+    """``average_rates`` with the probabilities of their score grid; ``scored`` breaks its ties by AVERAGES."""
+    return models.grid_probabilities(average_rates(matches, day, order, min_train, every), "lambda_home", "lambda_away")
+
+
+#: The order in which ties of the team averages are broken; a fixed value.
+AVERAGES = ("home", "away", "draw")
 
 
 def outcome(home_goals: Column, away_goals: Column) -> Column:
-    return F.when(home_goals > away_goals, "home").when(home_goals < away_goals, "away").otherwise("draw")
+    """home, away or draw; null for a match without both scores."""
+    return F.when(home_goals > away_goals, "home").when(home_goals < away_goals, "away").when(home_goals == away_goals, "draw")
+
 
+def scored(predicted: DataFrame, keys: list[str], ties: tuple[str, ...] = ("home", "draw", "away")) -> DataFrame:
+    """Rows, accuracy, log loss and Brier score of result probabilities, and accuracy on 2.5 goals and on both scoring, by ``keys``.
 
-def scored(predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, accuracy, log loss and Brier score of result probabilities, and accuracy on 2.5 goals and on both scoring, by ``keys``."""
+    Matches without both scores do not count.
+    """
     c = F.col
     goals = c("home_goals") + c("away_goals")
     p = {"home": c("p_home"), "draw": c("p_draw"), "away": c("p_away")}
-    rows = predicted.withColumns({"_actual": outcome(c("home_goals"), c("away_goals")), "_over": (c("p_over25") >= 0.5) == (goals >= 3), "_both": (c("p_btts") >= 0.5) == ((c("home_goals") > 0) & (c("away_goals") > 0))})
-    whole = metrics.multiclass(rows, p, c("_actual"), keys, ties=("home", "draw", "away"))
+    rows = played(predicted).withColumns({"_actual": outcome(c("home_goals"), c("away_goals")), "_over": (c("p_over25") >= 0.5) == (goals >= 3), "_both": (c("p_btts") >= 0.5) == ((c("home_goals") > 0) & (c("away_goals") > 0))})
     right = lambda x: F.round(F.avg(c(x).cast("double")), 6)
-    more = rows.groupBy(*keys).agg(right("_over").alias("over25_accuracy"), right("_both").alias("btts_accuracy"))
-    return whole.join(more, keys)
+    return metrics.multiclass(rows, p, c("_actual"), keys, ties=ties, more=(right("_over").alias("over25_accuracy"), right("_both").alias("btts_accuracy")))
 
 
 def form(matches: DataFrame, keys: list[str], day: str, order: list[str], last: int = 5, role: int = 8, rest: int = 7, tired: int = 3) -> DataFrame:
     """Differences between home and away before each match: form, home and away strength, rest, congestion.
 
-    Form is the share of wins in a team's ``last`` matches, strength that in its ``role`` last ones at home or
-    away, half where there are none; rest is the days since the last match, ``rest`` where there is none.
+    Form is the share of wins in a team's ``last`` played matches, strength that in its ``role`` last ones at home or
+    away, half where there are none; rest is the days since the last played match, ``rest`` where there is none. Matches without
+    both scores get features and are nobody's history.
     """
     c = F.col
     won = lambda a, b: (c(a) > c(b)).cast("int")
     long = history.team_long(matches, [c("home"), won("home_goals", "away_goals")], [c("away"), won("away_goals", "home_goals")], ["team", "won"], [*keys, *order, day])
-    teams = [*keys, "team"]
-    days = F.datediff(day, F.lag(day).over(Window.partitionBy(*teams).orderBy(day, *order)))
-    share = lambda by, n: F.coalesce(F.avg("won").over(history.before(by, [day, *order], n)), F.lit(0.5))
-    seen = long.withColumns({"form": share(teams, last), "strength": share([*teams, "side"], role), "rest": F.coalesce(days, F.lit(rest))})
+    teams, by, inside = [*keys, "team"], [day, *order], c("won").isNotNull()
+    share = lambda df, by_, n, name: history.rolling_filtered(df, by_, by, inside, ["won"], n).withColumn(name, F.coalesce("won_avg", F.lit(0.5))).drop("games", "won_avg")
+    before = F.last(F.when(inside, c(day)), ignorenulls=True).over(history.before(teams, by))
+    seen = share(share(long, teams, last, "form"), [*teams, "side"], role, "strength").withColumn("rest", F.coalesce(F.datediff(day, before), F.lit(rest)))
     both = seen.groupBy(*keys, *order).agg(*(F.max(F.when(c("side") == s, c(x))).alias(f"{s}_{x}") for s in ("home", "away") for x in ("form", "strength", "rest")))
     apart = lambda x: c(f"home_{x}") - c(f"away_{x}")
     tired_ = lambda s: (c(f"{s}_rest") <= tired).cast("int")

@@ -1,11 +1,13 @@
 import datetime as dt
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.operators import aggregates, bets, dedupe, history, joins, metrics, models, ratings, resolve, rules, walkforward
+from fieldlark.operators import aggregates, bets, dedupe, dixon_coles, history, joins, metrics, models, ratings, resolve, rules, walkforward
 
 
 def team_rows(n=300, seed=3):
@@ -89,17 +91,110 @@ def test_poisson_grid(spark):
     assert r.p_home + r.p_draw + r.p_away == pytest.approx(1) and r.likely_score == "1-0"
 
 
-def test_dixon_coles_fit_finds_the_stronger_team(spark):
-    rnd = random.Random(1)
+def dense_dixon_coles(rows, xi, l2):
+    """The optimum by Newton steps on numeric derivatives, from the matches themselves."""
+    teams = sorted({t for r in rows for t in r[2:4]})
+    n, last = len(teams), max(r[1] for r in rows)
+    h, a = (np.array([teams.index(r[k]) for r in rows]) for k in (2, 3))
+    x, y = (np.array([r[k] for r in rows], float) for k in (4, 5))
+    w = np.exp(-xi * np.array([(last - r[1]).days for r in rows]))
+
+    def loss(p):
+        at, de, (base, own, rho) = p[:n] - p[:n].mean(), p[n : 2 * n] - p[n : 2 * n].mean(), p[2 * n :]
+        l, m = np.exp(base + own + at[h] + de[a]), np.exp(base + at[a] + de[h])
+        tau = np.select([(x == i) & (y == j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))], [1 - l * m * rho, 1 + l * rho, 1 + m * rho, 1 - rho + 0 * l], 1.0)
+        return -(w * (x * np.log(l) - l + y * np.log(m) - m + np.log(tau))).sum() + l2 * ((at**2).sum() + (de**2).sum() + own**2 + rho**2)
+
+    eye, p = np.eye(2 * n + 3), np.zeros(2 * n + 3)
+    slope = lambda q: np.array([(loss(q + 1e-5 * e) - loss(q - 1e-5 * e)) / 2e-5 for e in eye])
+    for _ in range(8):
+        curve = np.array([(slope(p + 1e-4 * e) - slope(p - 1e-4 * e)) / 2e-4 for e in eye])
+        p = p - np.linalg.lstsq(curve, slope(p), rcond=1e-9)[0]
+    return {t: (p[i] - p[:n].mean(), p[n + i] - p[n : 2 * n].mean()) for i, t in enumerate(teams)}, p[2 * n :]
+
+
+def dixon_coles_matches(n, teams="abcdef", seed=1):
+    rnd = random.Random(seed)
     goals = lambda m: sum(rnd.random() < m / 20 for _ in range(20))
-    rows = [(h, a, goals(2.2 if h == "s" else 1.2), goals(2.0 if a == "s" else 1.0), 0.0) for h, a in itertools.permutations(["s", "x", "y"], 2) for _ in range(40)]
-    fitted = models.fit_dixon_coles(rows)
-    strength = dict(zip(fitted["teams"], fitted["attack"], strict=True))
-    assert strength["s"] > max(strength["x"], strength["y"]) + 0.2 and abs(sum(fitted["attack"])) < 1e-6
-    params = spark.createDataFrame(list(zip(fitted["teams"], fitted["attack"], fitted["defence"], strict=True)), "team string, attack double, defence double")
-    out = models.dixon_coles_rates(spark.createDataFrame([("s", "x"), ("new", "x")], "home string, away string"), params, fitted).collect()
-    by = {r.home: r.lambda_home for r in out}
-    assert by["s"] > by["new"]
+    out = []
+    for i in range(n):
+        h, a = rnd.sample(teams, 2)
+        out.append((i, dt.date(2020, 1, 1) + dt.timedelta(days=i // 2), h, a, goals(2.4 if h == "a" else 1.5), goals(1.8 if a == "a" else 1.1)))
+    return out
+
+
+MATCHES = "id int, day date, home string, away string, home_goals int, away_goals int"
+
+
+def test_dixon_coles_fits_equal_dense_optima_of_each_fold(spark):
+    rows = dixon_coles_matches(600)
+    odd = [(900, dt.date(2020, 1, 5), "a", "b", None, 3), (901, None, "a", "c", 2, 1), (902, dt.date(2020, 1, 6), None, "c", 9, 0)]  # no score; no day, and no team, which have an index alone
+    df = spark.createDataFrame(rows + odd, MATCHES)
+    folds = walkforward.folds(df, "day", ["id"], 322, 200)
+    fitted = dixon_coles.fit(dixon_coles.pair_sums(folds, "day", 0.004), 0.05).toPandas()
+    order = sorted(rows + odd[1:], key=lambda r: (r[1] or dt.date(1, 1, 1), r[0]))
+    assert sorted(set(fitted.fold)) == [0, 1] and fitted.settled.all()
+    for fold, part in fitted.groupby("fold"):
+        train = [r for r in order[: 322 + 200 * fold] if r[1] and r[2]]
+        strengths, own = dense_dixon_coles(train, 0.004, 0.05)
+        assert {t: (a, d) for t, a, d in part[["team", "attack", "defence"]].itertuples(index=False)} == {t: pytest.approx(v, abs=1e-4) for t, v in strengths.items()}
+        assert part[["base", "home_advantage"]].iloc[0].tolist() == pytest.approx(own[:2], abs=1e-4)
+        assert part.rho.iloc[0] == pytest.approx(np.clip(own[2], -0.1, 0.1), abs=1e-4) or abs(own[2]) > 0.1
+    assert dixon_coles.fit(dixon_coles.pair_sums(folds.limit(0), "day", 0.004)).count() == 0
+
+
+def test_dixon_coles_walk_forward_uses_earlier_matches_only(spark):
+    rows = dixon_coles_matches(80)
+    df = spark.createDataFrame(rows, MATCHES)
+    run = lambda df: {r.id: r for r in dixon_coles.walk_forward(df, "day", ["id"], 50, 15).collect()}
+    got, later = run(df), run(df.withColumn("home_goals", F.when(F.col("id") >= 65, 9).otherwise(F.col("home_goals"))))
+    assert sorted(got) == list(range(50, 80)) and all(got[i].lambda_home == pytest.approx(later[i].lambda_home) for i in range(50, 80))
+    assert got[51].p_home + got[51].p_draw + got[51].p_away == pytest.approx(1)
+    fitted = dixon_coles.checkpointed(dixon_coles.fit(dixon_coles.pair_sums(walkforward.folds(df, "day", ["id"], 50, 15), "day", 0.001)))
+    two = spark.createDataFrame([(0, "a", "b"), (0, "new", "b"), (7, "a", "b")], "fold int, home string, away string")
+    by = {(r.fold, r.home): r for r in dixon_coles.rates(two, fitted).collect()}
+    assert by[0, "a"].lambda_home > by[0, "new"].lambda_home and by[7, "a"].lambda_home is None
+    neutral = {r.home: r.lambda_home for r in dixon_coles.rates(two.where("fold = 0"), fitted, F.lit(True)).collect()}
+    assert by[0, "a"].lambda_home == pytest.approx(neutral["a"] * math.exp(fitted.where("fold = 0").first().home_advantage))
+
+
+def test_walk_forward_leaves_out_unplayed_matches(spark):
+    rnd = random.Random(5)
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=i // 3), *rnd.sample("abcd", 2), None if i % 3 == 1 else rnd.randrange(4), rnd.randrange(3) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, MATCHES)
+    known = [r for r in rows if r[4] is not None and r[5] is not None]
+    for every in (1, 4):
+        got = {r.id: r for r in walkforward.team_averages(df, "day", ["id"], 8, every).collect()}
+        assert sorted(got) == [r[0] for r in known[8:]]
+        for k, (i, _, home, away, *_) in enumerate(known[8:], 8):
+            past = known[: k - (k - 8) % every]
+            sides = [(h, x, y) for _, _, h, a, x, y in past] + [(a, y, x) for _, _, h, a, x, y in past]
+            mean = max(sum(x for _, x, _ in sides) / len(sides), 0.5)
+            of = lambda t, j: float(np.mean(v)) if (v := [s[j] for s in sides if s[0] == t]) else mean  # noqa: B023, E731
+            assert (got[i].lambda_home, got[i].lambda_away) == pytest.approx((max((of(home, 1) + of(away, 2)) / 2, 0.1), max((of(away, 1) + of(home, 2)) / 2, 0.1)))
+    assert walkforward.scored(spark.createDataFrame([(0, None, 1, 0.5, 0.3, 0.2, 0.5, 0.5)], "fold int, home_goals int, away_goals int, p_home double, p_draw double, p_away double, p_over25 double, p_btts double"), ["fold"]).count() == 0
+    plan = walkforward.average_rates(df, "day", ["id"], 8)._jdf.queryExecution().toString()
+    assert "Window" in plan
+
+
+def test_running_sums_by_fold_have_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(walkforward, "WIDTH", 3)
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(-1, 20), rnd.randrange(5)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "team string, fold int, g int")
+    got = {(r.team, r.fold): (r.g, r.n) for r in walkforward.trained(df, ["team"], {"g": F.col("g"), "n": F.lit(1)}).collect()}
+    assert got == {(t, f): (sum(g for u, k, g in rows if u == t and k < f), sum(u == t and k < f for u, k, _ in rows)) for t, f, _ in rows}
+    assert {r.fold: r.g for r in walkforward.trained(df, [], {"g": F.col("g")}).collect()} == {f: sum(g for _, k, g in rows if k < f) for _, f, _ in rows}
+
+
+def test_form_counts_played_matches(spark):
+    rows = [(i, dt.date(2020, 1, 1 + 2 * i), "x", f"o{i}", None if i in (2, 5) else 2, 1 if i % 2 else 3) for i in range(10)]
+    out = {r.id: r for r in walkforward.form(spark.createDataFrame(rows, MATCHES), [], "day", ["id"], last=2).collect()}
+    won = [None if r[4] is None else int(r[4] > r[5]) for r in rows]
+    for i in range(10):
+        past = [w for w in won[:i] if w is not None][-2:]
+        assert out[i].form_diff == pytest.approx((sum(past) / len(past) if past else 0.5) - 0.5)
+    assert out[6].rest_diff == pytest.approx((4 - 7) / 7, abs=1e-6)  # since match 4, as match 5 was not played
 
 
 def test_softmax_artifact_scores_as_trained(spark):
