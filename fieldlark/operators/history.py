@@ -75,6 +75,17 @@ def global_prior(df: DataFrame, day: str, order: list[str], label: str, classes:
     return rows.select(*df.columns, *((c / total).alias(f"p_{name}") for c, name in zip(counts, classes, strict=True)))
 
 
+def running_totals(df: DataFrame, day: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add the sums of each of ``sums`` over all earlier rows of the whole table, in (day, order), a null day first, with the two levels of ``global_prior``; 0 where nothing precedes."""
+    valued = df.withColumns({f"_v{i}": x for i, x in enumerate(sums.values())})
+    per_day = valued.groupBy(day).agg(*(F.sum(f"_v{i}").alias(f"_d{i}") for i in range(len(sums))))
+    running = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = per_day.select(F.col(day).alias("_day"), *(F.coalesce(F.sum(f"_d{i}").over(running), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))))
+    own = valued.withColumns({f"_o{i}": F.coalesce(F.sum(f"_v{i}").over(before([day], order)), F.lit(0)) for i in range(len(sums))})
+    rows = own.join(days, F.col(day).eqNullSafe(F.col("_day")))
+    return rows.select(*df.columns, *((F.col(f"_o{i}") + F.col(f"_b{i}")).alias(n) for i, n in enumerate(sums)))
+
+
 def row_number_in(df: DataFrame, day: str, order: list[str], name: str = "row_index") -> DataFrame:
     """The row's place in the whole table by (day, order), a null day first, from 0, with the two levels of ``global_prior``."""
     per_day = df.groupBy(day).count()

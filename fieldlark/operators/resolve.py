@@ -26,39 +26,71 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """Distinct n-grams of a text, the blocking keys; a shorter text is its own key."""
-    return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))))
+def grams(text: Column, n: int) -> Column:
+    """The n-grams of a text, each with how many equal ones precede it, so that those of two texts are met one to one."""
+    each = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    numbered = F.transform(each, lambda g, i: F.concat(g, F.lit("\u0000"), F.size(F.filter(F.slice(each, F.lit(1), i), lambda h: h == g))))
+    return F.when(F.length(text) >= n, numbered).otherwise(F.array().cast("array<string>"))
 
 
-def _keys(text: Column, least: float) -> Column:
-    """Blocking keys: trigrams, and for texts short enough to lack a common one bigrams, then letters.
+def _shared(n: int, total: Column, least: float) -> Column:
+    """n-grams that two texts of ``total`` letters have in common at least if their ratio is ``least`` or more; may be negative.
 
-    Two texts without a common n-gram match in blocks of n - 1 letters at most, and between two blocks one text has
-    an unmatched letter. So their total length is at most 1 / (least * (1 + 1 / (2 * (n - 1))) - 1).
+    An unmatched letter of the one text breaks up to n of its n-grams, one of the other up to n - 1.
     """
-    keys = grams(text)
-    for n in (3, 2):
-        rest = least * (1 + 1 / (2 * (n - 1))) - 1
-        shorter = grams(text, n - 1)
-        keys = F.concat(keys, shorter if rest <= 0 else F.when(F.length(text) <= 1 / rest + 1e-6, shorter).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(keys)
+    return F.ceil(total * ((2 * n - 1) * least / 2 - (n - 1)) - (n - 1) - 1e-9)
+
+
+def _posted(names: DataFrame, least: float) -> DataFrame:
+    """(text, key): the bigrams and, of short texts, the letters that a text of ratio ``least`` or more must share one of: the rarest.
+
+    A text shares at least ``_shared`` grams with any partner, so it is posted under all but so many less one; frequent grams
+    bring nobody together. Where bigrams bound nothing, texts so short that this holds are posted by letters.
+    """
+    size = F.length("text")
+    total = size + F.ceil(size * (least / (2 - least)) - 1e-9)  # with the shortest partner
+    two, one = _shared(2, total, least), _shared(1, total, least)
+    spread = lambda n, bound, where: names.where(where).select("text", F.lit(n).alias("n"), bound.alias("bound"), F.explode(grams(F.col("text"), n)).alias("gram"))
+    both = spread(2, two, two >= 1).unionByName(spread(1, one, two < 1))
+    if 1.5 * least > 1:  # a longer text may have a partner so short that bigrams do not bound the pair
+        most = 2 / (1.5 * least - 1)
+        both = both.unionByName(spread(1, one, (two >= 1) & (total <= most)))
+    counts = both.groupBy("n", "gram").agg(F.count("*").alias("_many"))
+    ranked = both.join(counts, ["n", "gram"]).groupBy("text", "n").agg(F.first("bound").alias("bound"), F.sort_array(F.collect_list(F.struct("_many", "gram"))).alias("grams"))
+    prefix = F.slice("grams", F.lit(1), (F.size("grams") - F.col("bound") + 1).cast("int"))
+    return ranked.where(F.size("grams") >= F.col("bound")).select("text", F.explode(F.transform(prefix, lambda g: F.concat("n", g["gram"]))).alias("key"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float = NEAR) -> DataFrame:
+    """(a, b, similarity) of the different texts of two tables (text) whose ratio is ``least`` or more.
+
+    A prefix-filtered join: candidates share one of their rarest grams, lengths that can reach the ratio, and as many grams in all as
+    it takes; only then the ratio is computed. All such pairs are found. Null and empty texts are similar to nothing.
+    """
+    own = [df.select("text").where("text <> ''").distinct() for df in (left, right)]
+    # One order of grams for both sides: counts over both.
+    posted = _posted(own[0].unionByName(own[1]).distinct(), least)
+    side = lambda df, name: posted.join(df, "text", "left_semi").select(F.col("text").alias(name), "key")
+    close = F.least(F.length("a"), F.length("b")) * (2 - least) >= F.greatest(F.length("a"), F.length("b")) * least - 1e-9
+    met = side(own[0], "a").join(side(own[1], "b"), "key").where(close).select("a", "b").distinct()
+    common = F.size(F.array_intersect(grams(F.col("a"), 2), grams(F.col("b"), 2)))
+    letters = F.size(F.array_intersect(grams(F.col("a"), 1), grams(F.col("b"), 1)))
+    total = F.length("a") + F.length("b")
+    near = met.where((common >= _shared(2, total, least)) & (letters >= _shared(1, total, least)))
+    return near.withColumn("similarity", similarity("a", "b")).where(F.col("similarity") >= least)
 
 
 def resolve(names: DataFrame, aliases: DataFrame, name: str = "name", alias: str = "alias", value: str = "canonical_id", least: float = NEAR) -> DataFrame:
     """The best alias of each distinct name: exact 0.99, else the most similar at ``least`` or more; ``auto`` at 0.95 or more.
 
-    Candidates share a blocking key, which a pair at the threshold always does, short names too. Ties go to the smallest value.
+    Names are compared by ``similar_pairs``, which finds all. Ties go to the smallest value.
     """
     distinct = names.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
     known = aliases.select(F.col(alias).alias("_a"), F.col(value).alias("_v")).distinct()
     exact = distinct.join(known, F.col("_n") == F.col("_a")).groupBy("_n").agg(F.min("_v").alias("_v")).select("_n", "_v", F.lit(EXACT).alias("confidence"))
     rest = distinct.join(exact, "_n", "left_anti")
-    left = rest.select("_n", F.explode(_keys(F.col("_n"), least)).alias("_g"))
-    right = known.select("_a", "_v", F.explode(_keys(F.col("_a"), least)).alias("_g"))
-    close = F.abs(F.length("_n") - F.length("_a")) * least <= (1 - least) * 2 * F.greatest(F.length("_n"), F.length("_a"))
-    pairs = left.join(right, "_g").where(close).select("_n", "_a", "_v").distinct()
-    scored = pairs.withColumn("_s", similarity("_n", "_a")).where(F.col("_s") >= least)
+    pairs = similar_pairs(rest.select(F.col("_n").alias("text")), known.select(F.col("_a").alias("text")), least)
+    scored = pairs.withColumnsRenamed({"a": "_n", "b": "_a", "similarity": "_s"}).join(known, "_a")
     fuzzy = scored.groupBy("_n").agg(F.max("_s").alias("confidence"), F.min_by("_v", F.struct(-F.col("_s"), F.col("_v"))).alias("_v"))
     best = exact.unionByName(fuzzy.select("_n", "_v", "confidence"))
     return names.join(best.withColumnRenamed("_n", name), name, "left").withColumnRenamed("_v", value).withColumn("auto", F.coalesce(F.col("confidence") >= AUTO, F.lit(False)))

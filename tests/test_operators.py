@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.operators import aggregates, bets, dedupe, dixon_coles, history, joins, metrics, models, ratings, resolve, rules, walkforward
+from fieldlark.operators import aggregates, bets, dedupe, dixon_coles, history, hybrid, joins, metrics, models, ratings, refits, resolve, rules, walkforward
 
 
 def team_rows(n=300, seed=3):
@@ -344,3 +344,101 @@ def test_shares_without_rows_and_with_ties(spark):
     losses = walkforward.share_losses(rows, ["k"], {"h": F.col("p")}, {"h": F.lit(0.5)}, F.col("label"))
     assert {r.k: (r.rows, r.share) for r in walkforward.chosen_share(losses, ["k"]).collect()} == {"a": (30, 0.0), "b": (1, 0.2)}
     assert walkforward.share_losses(rows.limit(0), ["k"], {"h": F.col("p")}, {"h": F.lit(0.5)}, F.col("label")).count() == 0
+
+
+def softmax_rows(n=240, seed=8):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        x, z = rnd.gauss(3, 2), rnd.gauss(0, 1)
+        y = rnd.choices("HDA", [np.exp(0.5 * (x - 3)), 1.0, np.exp(-z)])[0]
+        out.append((i, -1 if i < 100 else (i - 100) // 50, x, z, 4.0, y))
+    return out
+
+
+def sequential_softmax(rows, l2):
+    """One fold's optimum by plain gradient descent to the end, on scaled features."""
+    x = np.array([r[2:5] for r in rows])
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0, ddof=1) > 1e-6, x.std(axis=0, ddof=1), 1)
+    z, y = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.array([[r[5] == k for k in "HDA"] for r in rows], float)
+    w = np.zeros((4, 3))
+    for _ in range(8000):
+        p = np.exp(z @ w)
+        p /= p.sum(axis=1, keepdims=True)
+        w -= 0.5 * (z.T @ (p - y) / len(x) + l2 * np.vstack([w[:3], np.zeros((1, 3))]))
+    return lambda v: (e := np.exp(np.append((np.array(v) - mean) / scale, 1) @ w)) / e.sum()
+
+
+def test_softmax_refits_equal_sequential_ones(spark):
+    rows = softmax_rows()
+    odd = [(900, -1, None, 1.0, 4.0, "H"), (901, -1, float("nan"), 1.0, 4.0, "H"), (902, -1, 1.0, 1.0, 4.0, "?"), (903, -1, 1.0, 1.0, 4.0, None)]
+    df = spark.createDataFrame(rows + odd, "id int, fold int, x double, z double, flat double, y string")
+    names = ["x", "z", "flat"]
+    fitted = refits.fit(df.repartition(3), names, "y", list("HDA"), 0.03)
+    got = fitted.toPandas().set_index("fold")
+    assert list(got.index) == [0, 1, 2] and got.settled.all() and got.rows.tolist() == [100, 150, 200]
+    out = {r.id: r for r in refits.probabilities(df, fitted, names, list("HDA")).collect()}
+    assert sorted(out) == list(range(100, 240))
+    for fold in range(3):
+        one = sequential_softmax([r for r in rows if r[1] < fold], 0.03)
+        assert all((out[r[0]].p_H, out[r[0]].p_D, out[r[0]].p_A) == pytest.approx(tuple(one(r[2:5])), abs=1e-6) for r in rows if r[1] == fold)
+    train = [r for r in rows if r[1] < 1]
+    assert out[150].prior_H == pytest.approx((1 + sum(r[5] == "H" for r in train)) / (3 + len(train)))
+    shown = {r.fold: r for r in refits.report(refits.probabilities(df, fitted, names, list("HDA")), "y", list("HDA"), ["fold"]).collect()}
+    assert all(r.aligned for r in shown.values()) and shown[2].other_rows == 40
+    assert shown[2].other_log_loss == pytest.approx(np.mean([-np.log(out[r[0]][f"p_{r[5]}"]) for r in rows if r[1] == 2]), abs=1e-6)
+    assert refits.fit(df.limit(0), names, "y", list("HDA")).count() == 0
+    none = refits.fit(df.where("fold >= 0"), names, "y", list("HDA")).where("fold = 0").first()
+    assert none.rows == 0 and none.intercept == [0.0] * 3 and none.prior == pytest.approx([1 / 3] * 3)
+
+
+def test_hybrid_features_know_earlier_matches_only(spark):
+    rnd = random.Random(9)
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=i // 2), *rnd.sample(["a", "b", "c"], 2), rnd.choice([None, 0, 1, 2, 3]), rnd.randrange(3), float(rnd.randrange(9)), None if i % 4 else 5.0) for i in range(40)]
+    schema = MATCHES + ", home_shots double, away_shots double"
+    ranks = spark.createDataFrame([("a", 3), ("b", 9)], "team string, rank int")
+    make = lambda rows: {r.id: r for r in hybrid.features(spark.createDataFrame(rows, schema), "day", ["id"], 3, ranks).collect()}
+    got = make(rows)
+    for k, (i, day, home, away, x, y, *_) in enumerate(rows):
+        past = [r for r in rows[:k] if r[4] is not None]
+        mean = max(1.0, sum(r[4] + r[5] for r in past) / (2 * len(past))) if past else 1.25
+        view = lambda t: [(r[1], *((r[4], r[5], r[6], r[7]) if r[2] == t else (r[5], r[4], r[7], r[6]))) for r in past if t in r[2:4]][-3:]  # noqa: B023, E731
+        avg = lambda t, j, other=None: float(np.mean(v)) if (v := [m[j] for m in view(t) if m[j] is not None]) else other  # noqa: B023, E731
+        r = got[i]
+        assert r.lambda_home == pytest.approx(max(0.15, (avg(home, 1, mean) + avg(away, 2, mean)) / 2)) and r.games_home == len(view(home))
+        sf = avg(home, 3), avg(away, 3)
+        assert r.shots_for_diff == (None if None in sf else pytest.approx(sf[0] - sf[1])) and r.sot_for_diff is None
+        assert r.rank_diff == {"a": 3, "b": 9}.get(away, 70) - {"a": 3, "b": 9}.get(home, 70)
+        rest = [(day - v[-1][0]).days if (v := view(t)) else None for t in (home, away)]
+        assert r.rest_days_diff == (None if None in rest else rest[0] - rest[1])
+        assert r.outcome == (None if x is None else "H" if x > y else "A" if x < y else "D") and r.p_home + r.p_draw + r.p_away == pytest.approx(1)
+    changed = make(rows[:30] + [(*r[:4], 9, 9, 9.0, 9.0) for r in rows[30:]])
+    assert all(changed[i][f] == got[i][f] for i in range(31) for f in ("lambda_home", "lambda_away", "shots_for_diff"))
+
+
+@pytest.mark.parametrize("least", [0.84, 0.6, 0.95])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(10)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(1, 24))).strip() or "x" for _ in range(60)]
+
+    def noisy(text):
+        t = list(text)
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.randrange(len(t) + 1)
+            kind = rnd.randrange(3)
+            t[at : at + (kind > 0)] = [rnd.choice("abcde ")] if kind < 2 else []
+        return "".join(t)
+
+    names = list({noisy(rnd.choice(base)) for _ in range(700)})
+    one = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r.a, r.b): r.similarity for r in resolve.similar_pairs(one([*names, None, ""]), one([*base, base[0], None, ""]), least).collect()}
+    want = {}
+    for b in set(base):
+        m = SequenceMatcher(None, "", b)
+        for a in names:
+            m.set_seq1(a)
+            if a and b and m.real_quick_ratio() >= least and m.quick_ratio() >= least and (s := m.ratio()) >= least:
+                want[a, b] = s
+    assert got == pytest.approx(want) and len(want) > 100
