@@ -6,11 +6,16 @@ next one's docs. All but the last return the columns of docs, whatever they are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.llm import bpe, decontaminate, near_dedup, quality, substring_dedup
-from fieldlark.llm.common import release, stash, table
+from fieldlark.llm.common import release, release_paths, stash, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +57,28 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
+#: Tables that the stage before has left, which its result read from.
+_LEFT: set[str] = set()
+
+
+def _after_the_last(stage: Stage) -> Stage:
+    """``stage``, which releases what the stage before has left: as a stage begins, the result of the one before has been written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_paths(_LEFT)
+        before = written()
+        out = stage(spark, docs, sf_dir)
+        _LEFT.clear()
+        _LEFT.update(written() - before)
+        return out
+
+    return run
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("substring_dedup", substrings),
-    ("decontamination", decontamination),
-    ("byte_bpe", byte_bpe),
+    (name, _after_the_last(stage))
+    for name, stage in (("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("decontamination", decontamination), ("byte_bpe", byte_bpe))
 ]
 #: The stages learn, hash and tokenise, which SQL cannot express.
 ORACLE_SQL = None

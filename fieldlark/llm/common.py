@@ -50,6 +50,16 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
+def written() -> set[str]:
+    """The paths of stashed tables that nobody has released."""
+    return set(_WRITTEN)
+
+
+def release_paths(paths: set[str]) -> None:
+    for path in paths & set(_WRITTEN):
+        _remove(path)
+
+
 def release(*tables: DataFrame) -> None:
     """Remove stashed tables that nothing will read again."""
     for t in tables:

@@ -33,8 +33,8 @@ from fieldlark.llm.textkernel import SPACED, _powers, mixed, shingles, slices, w
 COORDINATES, LEAST = 64, 38
 #: Keys that are broadcast at most; beyond, the join shuffles.
 KEYS = 500_000
-#: Rows, and hashes of their sets, that each side of a block of a posting list holds, about.
-BLOCK_ROWS, BLOCK_HASHES = 512, 1 << 18
+#: Rows, and hashes of their sets, that each side of a block of a posting list holds, about; rows of a block of signatures alone.
+BLOCK_ROWS, BLOCK_HASHES, BLOCK_SIGNED = 512, 1 << 18, 2048
 _STEP = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -93,17 +93,46 @@ def _full(n: int):
     return batches
 
 
+class _Block:
+    """The rows of a block: ``first`` ones, which are compared with the ``others``; ``prefix``, the lists each is in."""
+
+    def __init__(self, group: pa.Table):
+        self.here = group.column("key")[0].as_py()
+        self.ids, self.whole, first = (group.column(c).to_numpy() for c in ("id", "component", "first"))
+        self.prefix = group.column("prefix").to_pylist()
+        self.among = [set(p) for p in self.prefix]
+        self.signature = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.first, self.others = np.flatnonzero(first).tolist(), np.flatnonzero(~first)
+
+    def alike(self, i: int, least: int) -> Iterator[int]:
+        """Rows of other components that share ``least`` coordinates with row ``i`` and first meet it in this list."""
+        others = self.others[self.whole[self.others] != self.whole[i]]
+        others = others[(self.signature[others] == self.signature[i]).sum(axis=1) >= least]
+        return (j for j in others.tolist() if next(k for k in self.prefix[i] if k in self.among[j]) == self.here)
+
+
+def _likely(least: int):
+    def block(group: pa.Table) -> pa.Table:
+        """The rows of a block whose signature is close to another's."""
+        rows = _Block(group)
+        found: set[int] = set()
+        for i in rows.first:
+            if near := list(rows.alike(i, least)):
+                found.update([i, *near])
+        ids = rows.ids[sorted(found)]
+        return pa.table({"id": pa.array(ids), "key": pa.array(np.full(len(ids), rows.here, np.int64))})
+
+    return block
+
+
 def _compare(least: int, share: int):
     def block(group: pa.Table) -> pa.Table:
         """The links of a block that join components, a forest."""
-        here = group.column("key")[0].as_py()
-        ids, whole, first = (group.column(c).to_numpy() for c in ("id", "component", "first"))
-        prefix = group.column("prefix").to_pylist()
-        among = [set(p) for p in prefix]
+        rows = _Block(group)
+        ids, whole = rows.ids, rows.whole
         full = group.column("hashes").combine_chunks()
         flat, ends = full.flatten().to_numpy(), full.offsets.to_numpy() - full.offsets[0].as_py()
-        signature = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        minor = {*ids[first].tolist()}
+        minor = {*ids[rows.first].tolist()}
         parent = {c: c for c in whole.tolist()}
 
         def root(c: int) -> int:
@@ -113,12 +142,9 @@ def _compare(least: int, share: int):
             return c
 
         links = []
-        all_ = np.flatnonzero(~first)
-        for i in np.flatnonzero(first).tolist():
-            others = all_[whole[all_] != whole[i]]
-            others = others[(signature[others] == signature[i]).sum(axis=1) >= least]
-            for j in others.tolist():
-                if root(int(whole[i])) == root(int(whole[j])) or (ids[j] < ids[i] and int(ids[j]) in minor) or next(k for k in prefix[i] if k in among[j]) != here:
+        for i in rows.first:
+            for j in rows.alike(i, least):
+                if root(int(whole[i])) == root(int(whole[j])) or (ids[j] < ids[i] and int(ids[j]) in minor):
                     continue
                 a, b = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
@@ -151,17 +177,30 @@ def _open(lists: DataFrame) -> DataFrame:
     return held.where(F.col("n") > F.col("m.n")).select("key", "n", "size", F.col("m.component").alias("major"), (F.col("n") - F.col("m.n")).alias("minor"), (F.col("size") - F.col("m.size")).alias("minor_size"))
 
 
-def _blocks(lists: DataFrame, open_: DataFrame, placed: DataFrame, values: DataFrame, least: int, share: int) -> DataFrame:
-    """Links between the rows of open lists: those outside the largest component against all, block by block."""
-    chunks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_HASHES), F.lit(1)).cast("int")
+def _paired(lists: DataFrame, open_: DataFrame, placed: DataFrame, values: DataFrame, rows: int, size: int | None):
+    """The blocks (key, x, y) of open lists, with ``values`` of each row: the rows outside the largest component against all."""
+    chunks = lambda n, of: F.greatest(F.ceil(F.col(n) / rows), *([F.ceil(F.col(of) / size)] if size else []), F.lit(1)).cast("int")
     open_ = stash(open_.select("key", "n", "major", chunks("minor", "minor_size").alias("few"), chunks("n", "size").alias("all")))
     met = joined_groups(lists.select("id", "key"), open_, ["key"]).join(placed, "id").join(values, "id")
     own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
     upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
-    columns = ["id", "component", "prefix", "signature", "hashes", "key"]
+    columns = ["id", "component", "prefix", *values.columns[1:], "key"]
     each = met.select(*columns, own("all").alias("y"), F.explode(upto("few")).alias("x"), F.lit(False).alias("first"))
     few = met.where(F.col("component") != F.col("major")).select(*columns, own("few").alias("x"), F.explode(upto("all")).alias("y"), F.lit(True).alias("first"))
-    return each.unionByName(few).groupBy("key", "x", "y").applyInArrow(_compare(least, share), "a long, b long")
+    return each.unionByName(few).groupBy("key", "x", "y"), open_
+
+
+def _blocks(lists: DataFrame, open_: DataFrame, placed: DataFrame, signatures: DataFrame, hashes: DataFrame, least: int, share: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(links between the rows of open lists that join components, tables to release after).
+
+    Signatures alone are compared first; then the rows that are close to another's go into blocks of their own, with their sets.
+    """
+    signed, held = _paired(lists, open_, placed, signatures, BLOCK_SIGNED, None)
+    likely = stash(signed.applyInArrow(_likely(least), "id long, key long").distinct())
+    release(held)
+    again = likely.join(placed.select("id", "component", "size"), "id")
+    full, held = _paired(again, _open(again), placed, signatures.join(hashes, "id"), BLOCK_ROWS, BLOCK_HASHES)
+    return full.applyInArrow(_compare(least, share), "a long, b long"), [likely, held]
 
 
 def link_lists(prefixes: DataFrame, signatures: DataFrame, hashes: DataFrame, least: int, share: int) -> DataFrame:
@@ -185,30 +224,37 @@ def link_lists(prefixes: DataFrame, signatures: DataFrame, hashes: DataFrame, le
     placed = stash(placed.select("id", "prefix", "size", F.coalesce("component", "id").alias("component")))
     lists = placed.select("id", "component", "size", F.explode("prefix").alias("key"))
     open_ = stash(_open(lists))
-    values = signatures.join(hashes, "id")
-    light = _blocks(lists, open_.where(F.col("minor") <= BLOCK_ROWS), placed, values, least, share)
-    more = links.unionByName(light)
+    more, held = _blocks(lists, open_.where(F.col("minor") <= BLOCK_ROWS), placed, signatures, hashes, least, share)
+    more = links.unionByName(more)
     if not open_.where(F.col("minor") > BLOCK_ROWS).isEmpty():
-        more = more.unionByName(_by_shingles(lists, open_.where(F.col("minor") > BLOCK_ROWS), placed, values, least, share))
-    return components(stash(more))
+        rest, also = _by_shingles(lists, open_.where(F.col("minor") > BLOCK_ROWS), placed, signatures, hashes, least, share)
+        more, held = more.unionByName(rest), held + also
+    more = stash(more)
+    release(links, placed, open_, *held)
+    out = components(more)
+    release(more)
+    return out
 
 
-def _by_shingles(lists: DataFrame, heavy: DataFrame, placed: DataFrame, values: DataFrame, least: int, share: int) -> DataFrame:
-    """Links among the texts of heavy lists, posted under the shingles of which similar sets must share one.
+def _by_shingles(lists: DataFrame, heavy: DataFrame, placed: DataFrame, signatures: DataFrame, hashes: DataFrame, least: int, share: int) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``_blocks``: links among the texts of heavy lists, posted under the shingles of which similar sets must share one.
 
     Similar sets have ``share`` % of the larger in common, so each is posted under all but that many of its
     shingles less one, the rarest; those that no other text has find nobody and are left out.
     """
-    ids = stash(joined_groups(lists.select("id", "key"), stash(heavy.select("key", "n")), ["key"]).select("id").distinct())
+    heavy = stash(heavy.select("key", "n"))
+    ids = stash(joined_groups(lists.select("id", "key"), heavy, ["key"]).select("id").distinct())
     few = F.broadcast(ids) if ids.count() <= KEYS else ids
-    posted = values.join(few, "id", "left_semi").select("id", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
-    shared, _ = with_groups(posted, ["key"])
+    posted = hashes.join(few, "id", "left_semi").select("id", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    shared, groups = with_groups(posted, ["key"])
     keys = shared.groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     length = F.size("keys") - F.ceil(F.col("size") * (share / 100) - 1e-9).cast("int") + 1
     again = keys.where(length > 0).select("id", F.transform(F.slice("keys", F.lit(1), length), lambda k: k["key"]).alias("prefix"))
     again = stash(again.join(placed.drop("prefix"), "id"))
     lists = again.select("id", "component", "size", F.explode("prefix").alias("key"))
-    return _blocks(lists, _open(lists), again, values, least, share)
+    release(heavy, ids, groups)
+    links, held = _blocks(lists, _open(lists), again, signatures, hashes, least, share)
+    return links, [again, *held]
 
 
 def _classes(docs: DataFrame, key: str, text: str, n: int, share: int, least: int) -> DataFrame:
@@ -217,8 +263,10 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, share: int, least: in
     kind = source.schema["id"].dataType
     made = T.StructType([T.StructField("id", kind), T.StructField("line", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
     signed = stash(source.mapInArrow(_sign(n), made))
+    rows = stash(signed.select("id", "line", "n_shingles"))
     usable = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     lines = stash(signed.where(usable).groupBy(F.col("line").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"), F.min_by("signature", "id").alias("signature")))
+    release(signed)
     posted = lines.select("id", F.posexplode("signature").alias("i", "v")).select("id", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("key"))
     met, frequent = with_groups(posted, ["key"])
     shared = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= least)
@@ -232,10 +280,11 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, share: int, least: in
     hashes = stash(hashes.groupBy("id").agg(F.first("hashes").alias("hashes")))
 
     joined = link_lists(prefixes, lines.select("id", "signature"), hashes, least, share)
-    linked, _ = with_groups(lines.select("id", "doc").join(joined.withColumnRenamed("node", "id"), "id"), ["component"], F.min("doc").alias("component_id"))
+    release(prefixes, wanted, hashes)
+    linked, groups = with_groups(lines.select("id", "doc").join(joined.withColumnRenamed("node", "id"), "id"), ["component"], F.min("doc").alias("component_id"))
     named = lines.select("id", "n", "doc").join(linked.select("id", "component", "component_id"), "id", "left")
     named = stash(named.select(F.col("id").alias("line"), "n", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "doc").alias("component_id")))
-    rows = signed.select("id", "line", "n_shingles")
+    release(lines, groups)
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("*", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
     return joined_groups(rows.where(usable), named, ["line"]).drop("n").unionByName(alone)
 
