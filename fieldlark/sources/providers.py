@@ -83,13 +83,3 @@ def open_matches(spark: SparkSession, folder: str) -> DataFrame:
     df = spark.read.schema(MATCH).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).json(folder, multiLine=True).where("match_id IS NOT NULL")
     c = F.col
     return df.select("match_id", "match_date", c("competition.competition_id").alias("competition_id"), c("season.season_id").alias("season_id"), c("home_team.home_team_name").alias("home_team"), c("away_team.away_team_name").alias("away_team"), c("home_score").alias("home_goals"), c("away_score").alias("away_goals"))
-
-
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value, sha256) of the lines that are not blank, numbered from 1 within their file.
-
-    Lines are numbered by where they begin, which needs a file in one piece: the path is read without splitting.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("_l"))
-    rows = whole.select("file", F.posexplode("_l").alias("_i", "value")).where(F.trim("value") != "")
-    return rows.select("file", (F.col("_i") + 1).alias("line"), "value", F.sha2("value", 256).alias("sha256"))

@@ -14,8 +14,11 @@ RESULT_BOOKS = ("B365", "BW", "IW", "PS", "WH", "VC", "Max", "Avg", "B365C", "BW
 TOTAL_BOOKS = ("B365", "P", "Max", "Avg", "B365C", "PC", "MaxC", "AvgC")
 
 
-def csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file with a header, all columns text: quotes doubled, cells trimmed, rows without any cell left out."""
+def csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, all columns text: quotes doubled, cells trimmed, rows without any cell left out.
+
+    With ``multi_line``, cells may hold line breaks; such a file is read by one task.
+    """
     options = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "encoding": "UTF-8"}
     df = spark.read.options(**options).csv(path)
     clean = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))

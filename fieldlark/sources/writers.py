@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 
 #: The codec of each pack format; fixed values.
 CODECS = {"json": "jsonl.gzip", "parquet": "parquet.zstd"}
+#: Rows of a data file at most, so that each can be hashed in one piece, and of a Parquet row group.
+FILE_ROWS, GROUP_ROWS = 1_000_000, 100_000
 
 
-def write_pack(path: str, tables: dict[str, DataFrame], fmt: str = "json") -> DataFrame:
+def write_pack(path: str, tables: dict[str, DataFrame], fmt: str = "json", file_rows_: int = FILE_ROWS) -> DataFrame:
     """Write each table (JSON lines with gzip, or Parquet with zstd) and a manifest of its files; return the manifest.
 
     A file has its rows, bytes, hash and codec, its bytes as JSON lines (raw_bytes), the share of these that it
-    takes (ratio), and its table's schema. A file without rows, or with none but null ones, has 0 raw bytes and no ratio.
+    takes (ratio), and its table's schema. Files have ``file_rows_`` rows at most. A file without rows, or with none but null ones, has 0 raw bytes and no ratio.
     """
     spark = next(iter(tables.values())).sparkSession
     parts = None
     for name, df in tables.items():
         folder = f"{path}/tables/{name}"
         if fmt == "json":
-            df.select(*sorted(df.columns)).write.mode("overwrite").option("compression", "gzip").json(folder)
+            df.select(*sorted(df.columns)).write.mode("overwrite").option("maxRecordsPerFile", file_rows_).option("compression", "gzip").json(folder)
         else:
-            df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(folder)
+            options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.block.row.count.limit": str(GROUP_ROWS), "maxRecordsPerFile": file_rows_}
+            df.write.mode("overwrite").options(**options).parquet(folder)
         about = {"table_name": F.lit(name), "codec": F.lit(CODECS[fmt]), "schema": F.lit(df.schema.json())}
         part = files(spark, folder).join(file_rows(spark, folder, CODECS[fmt]), "file", "left").fillna(0, ["rows", "raw_bytes"]).withColumns(about)
         parts = part if parts is None else parts.unionByName(part)

@@ -1,14 +1,11 @@
-"""Append-only point-in-time snapshots, and the streaming forms of the batch operators."""
+"""Append-only point-in-time snapshots, scoring and counting of streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fieldlark.operators.dedupe import keep_last
@@ -51,39 +48,6 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.where("feature_observed_at <= prediction_time AND prediction_time < settled_at AND settled_at <= label_created_at")
 
 
-RATED = T.StructType([T.StructField("competition", T.StringType()), T.StructField("match_id", T.LongType()), T.StructField("home_rating", T.DoubleType()), T.StructField("away_rating", T.DoubleType())])
-
-
-class EloProcessor(StatefulProcessor):
-    """Ratings of a competition's teams, kept as a map state: team to rating."""
-
-    def __init__(self, k: float = 18.0):
-        self.k = k
-
-    def init(self, handle) -> None:
-        self.ratings = handle.getMapState("ratings", T.StructType([T.StructField("team", T.StringType())]), T.StructType([T.StructField("rating", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from fieldlark.operators.ratings import START, Elo
-
-        for part in rows:
-            part = part.sort_values(["day", "match_id"])
-            teams = pd.unique(pd.concat([part["home"], part["away"]]))
-            own = Elo(self.k, {t: self.ratings.getValue((t,))[0] if self.ratings.containsKey((t,)) else START for t in teams})
-            done = [own.play(*r)[:2] for r in part[["home", "away", "home_goals", "away_goals"]].itertuples(index=False)]
-            for team, rating in own.ratings.items():
-                self.ratings.updateValue((team,), (float(rating),))
-            yield pd.DataFrame({"competition": key[0], "match_id": part["match_id"], "home_rating": [h for h, _ in done], "away_rating": [a for _, a in done]})
-
-    def close(self) -> None:
-        pass
-
-
-def streamed_elo(stream: DataFrame, k: float = 18.0) -> DataFrame:
-    """Ratings before each match as matches arrive; needs the RocksDB state store."""
-    return stream.groupBy("competition").transformWithStateInPandas(EloProcessor(k), outputStructType=RATED, outputMode="Append", timeMode="None")
-
-
 def source_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
     """Runs with their end, or open ones."""
     return started.join(finished, "run_id", "left").withColumn("status", F.coalesce("status", F.lit("running")))

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from fieldlark.plans import provider
-from fieldlark.sources import providers
+from fieldlark.sources import lines, providers
 
 STATE = {
     "response": [
@@ -35,7 +35,7 @@ def test_match_state(spark, tmp_path):
 
 def test_raw_lines_keep_their_numbers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\n\ny\n")
-    assert [(r.line, r.value) for r in providers.raw_lines(spark, str(tmp_path / "a.txt")).collect()] == [(1, "x"), (3, "y")]
+    assert [(r.line, r.value) for r in lines.raw_lines(spark, str(tmp_path / "a.txt")).collect()] == [(1, "x"), (3, "y")]
 
 
 def test_first_pass_scores_settled_rows_alone(spark):
