@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, and read from it.
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, which driver and executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The copy outlives any executor. A folder of this machine is made only for a local master that names none.
+    A folder of this machine is made only for a local master that names none.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from it; the copy outlives any executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

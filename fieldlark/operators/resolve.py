@@ -159,5 +159,36 @@ def patched(markets: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return markets.unionByName(patch.dropDuplicates([key]).join(markets.select(key), key, "left_anti"))
 
 
+#: What a market of a patch must say; fixed values.
+MARKET_FIELDS = ("canonical_market_id", "family", "settlement_rule", "selection_scope", "correlation_group")
+
+
+def patch_faults(patch: dict, markets: DataFrame, aliases: DataFrame, targets: list[str]) -> DataFrame:
+    """(fault, rows) of a review patch that may not be applied: its flags, its new ``markets`` and ``aliases``, each fault with its rows.
+
+    A patch is for offline samples alone, is never applied, used or trained on by itself, and has markets and aliases; a market fills
+    MARKET_FIELDS, an alias no longer asks for review and is of one of the ``targets``. No faults: no rows.
+    """
+    blank = F.lit(False)
+    for field in MARKET_FIELDS:
+        blank |= F.trim(F.coalesce(field, F.lit(""))) == ""
+    flags = {
+        "scope_not_offline": patch.get("scope") != "offline_sample_only",
+        "automatic_use_allowed": any(patch.get(f"{x}_allowed", False) for x in ("automatic_application", "production_use", "training_dataset_promotion")),
+    }
+    spark = markets.sparkSession
+    out = spark.createDataFrame([(name, int(bad)) for name, bad in flags.items()], "fault string, rows long")
+    counted = markets.agg(F.when(F.count("*") == 0, 1).otherwise(0).alias("no_markets"), F.count_if(blank).alias("market_without_field")).unpivot([], ["no_markets", "market_without_field"], "fault", "rows")
+    named = aliases.agg(F.when(F.count("*") == 0, 1).otherwise(0).alias("no_aliases"), F.count_if(F.col("review_required")).alias("alias_needs_review"), F.count_if(~F.coalesce(F.col("provider_market_key").isin(*targets), F.lit(False))).alias("alias_of_another_market"))
+    return out.unionByName(counted).unionByName(named.unpivot([], ["no_aliases", "alias_needs_review", "alias_of_another_market"], "fault", "rows")).where("rows > 0")
+
+
+def applied(markets: DataFrame, aliases: DataFrame, new_markets: DataFrame, new_aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(markets, aliases) with a patch's rows; what is known already, by market id or by provider and market key, stays as it is."""
+    keys = ["provider_id", "provider_market_key"]
+    more = new_aliases.dropDuplicates(keys).join(aliases.select(*keys), keys, "left_anti")
+    return patched(markets, new_markets, "canonical_market_id"), aliases.unionByName(more)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
