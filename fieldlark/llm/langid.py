@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled texts a language is learned from, about; bytes of a dictionary; compression level; languages at most.
-TEXTS, DICTIONARY, LEVEL, LANGUAGES = 400, 1 << 18, 6, 200
+#: Labelled texts a language is learned from, about; bytes of a dictionary, and of all together; compression level.
+TEXTS, DICTIONARY, ALL, LEVEL = 400, 1 << 18, 64 << 20, 6
 UNKNOWN = "und"
 
 
@@ -52,14 +52,21 @@ def chance(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """A dictionary per language, from about ``texts`` of its rows: at most texts * size / 8 bytes a language reach the driver."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) <= size // 8))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY) -> dict[str, bytes]:
+    """A dictionary per language, from about ``texts`` of its rows: at most ``texts`` times an eighth of ``size`` bytes a language reach the driver, one text at a time.
+
+    Every language that has a text gets one; of more than ALL / ``size`` languages each is smaller, so that all together stay within ALL. A long text
+    is learned from by its first eighth of ``size`` characters, up to a space.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
     if not counts:
         return {}
+    size = min(size, ALL // len(counts))
+    whole = F.col(text)
+    learned = F.when(F.length(whole) <= size // 8, whole).otherwise(F.regexp_replace(F.substring(whole, 1, size // 8), r"\s\S*$", ""))
     share = F.element_at(F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, texts / n)))), F.col(lang))
-    drawn = rows.where(chance(F.col(key)) < F.coalesce(share, F.lit(0.0))).select(F.col(lang).alias("_lang"), chance(F.col(key)).alias("_at"), F.col(text).alias("_text"))
+    drawn = rows.where(chance(F.col(key)) < F.coalesce(share, F.lit(0.0))).select(F.col(lang).alias("_lang"), chance(F.col(key)).alias("_at"), learned.alias("_text"))
     out: dict[str, list[bytes]] = {name: [] for name in counts}
     held, met = dict.fromkeys(counts, 0), set()
     for name, _, whole in drawn.orderBy("_at", "_lang", "_text").toLocalIterator():

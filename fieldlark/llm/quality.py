@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import stash
+from fieldlark.llm.common import stash, unused
 
 #: Labelled rows that the list is learned from, about: a bounded sample.
 ROWS = 20_000
@@ -93,13 +93,12 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
             count(r"[^#*$%&|<>]+").alias("n_symbols"),
             (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
             repeated_words(found).alias("n_repeat_words"),
-            count(r"\P{Lu}+").alias("_upper"),
-            count(r"[\p{L}\s]+").alias("_other"),
-            F.size(rows).alias("_n_lines"),
+            F.struct(count(r"\P{Lu}+").alias("upper"), count(r"[\p{L}\s]+").alias("other"), F.size(rows).alias("lines")).alias(more),
         )
 
     names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    more = unused(df, "_more")
     # A generator: filters on what it makes are not moved below it, where the counts would be made twice.
     counted = df.select(*kept, F.inline(F.transform(F.array(F.struct(words(F.col(text)).alias("w"), lines.alias("l"))), counts)))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
@@ -108,13 +107,13 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "mean_word": share("word_chars", "n_words"),
             "symbol_share": share("n_symbols", "n_words"),
-            "upper_share": share("_upper", "word_chars"),
-            "other_share": share("_other", "word_chars"),
-            "dup_line_share": share("n_dup_lines", "_n_lines"),
+            "upper_share": share(f"{more}.upper", "word_chars"),
+            "other_share": share(f"{more}.other", "word_chars"),
+            "dup_line_share": share("n_dup_lines", f"{more}.lines"),
             "repeat_share": share("n_repeat_words", "n_words"),
-            "line_words": share("n_words", "_n_lines"),
+            "line_words": share("n_words", f"{more}.lines"),
         }
-    ).drop("_upper", "_other", "_n_lines")
+    ).drop(more)
 
 
 @dataclass(frozen=True)

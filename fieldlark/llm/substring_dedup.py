@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlark.llm.common import joined_groups, release, stash, with_groups
+from fieldlark.llm.common import joined_groups, release, stash, unused, with_groups
 from fieldlark.llm.near_dedup import KEYS, both_ends, link_lists, signatures, spread
 from fieldlark.llm.textkernel import SPACED, _powers, mixed, shingles, slices, words
 
@@ -236,11 +236,12 @@ def _cut(spans: list, text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed spans of ``repeats``; a text may become empty, and a null one stays null."""
-    gone = spans.where("removed").groupBy(key).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
+    held = unused(docs, "_spans")
+    gone = spans.where("removed").groupBy(key).agg(F.collect_list(F.struct("first_word", "n_words")).alias(held))
     gone = stash(gone)
-    gone = F.broadcast(gone) if gone.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0] <= SPANS else gone
+    gone = F.broadcast(gone) if gone.agg(F.coalesce(F.sum(F.size(held)), F.lit(0))).first()[0] <= SPANS else gone
     names = docs.columns
-    at = names.index(text)
+    at = next(i for i, n in enumerate(names) if n.lower() == text.lower())
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -258,4 +259,4 @@ def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
                     column = pa.array(new, column.type)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:at], column, *rows.columns[at + 1 : len(names)]], names)
 
-    return docs.join(gone, key, "left").select(*(f"`{c}`" for c in names), "_spans").mapInArrow(batches, T.StructType(docs.schema.fields))
+    return docs.join(gone, key, "left").select(*(f"`{c}`" for c in names), held).mapInArrow(batches, T.StructType(docs.schema.fields))

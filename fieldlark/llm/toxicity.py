@@ -115,12 +115,14 @@ def _rows(wanted: np.ndarray):
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = ROWS, features: int = FEATURES) -> Model:
     """Learn from ``labels`` (key, label 0/1) on the texts of ``docs``.
 
-    At most ``rows`` labelled keys, those with the smallest hash, are read: a bounded sample. Counts are made and
+    At most ``rows`` labelled keys, those with the smallest hash, are read, and where keys repeat as many rows of these: a bounded sample. Counts are made and
     features chosen by Spark; the driver gets the chosen features and which texts of the sample have them.
     """
     drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64(key), key).limit(rows)
     sample = stash(docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn), key).select("label", "_text"))
+    if sample.count() > rows:
+        sample = stash(sample.orderBy(F.xxhash64("_text"), "label", "_text").limit(rows))
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     base = float(np.log((positive + 0.5) / (total - positive + 0.5)))
     if not 0 < positive < total:

@@ -267,3 +267,33 @@ def test_toxicity_of_odd_labels_and_tables(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
     scores = [r.score for r in toxicity.score(df.union(df), model).collect()]
     assert len(scores) == 400 and all(0 <= s <= 1 for s in scores)
+
+
+def test_statistics_and_removal_keep_columns_of_any_name(spark):
+    from fieldlark.llm import substring_dedup
+
+    rows = [(1, "one two three " * 30, "a", 1.0, 2), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, Text string, _more string, _upper double, _n_lines int")
+    got = {r.doc_id: r for r in quality.statistics(df).collect()}
+    assert (got[1]._more, got[1]._upper, got[1].n_words, got[1].upper_share, got[2].n_words) == ("a", 1.0, 90, 0.0, 0)
+    spans = spark.createDataFrame([(1, 3, 87, True)], "doc_id long, first_word int, n_words int, removed boolean")
+    out = {r.doc_id: r for r in substring_dedup.remove(df.withColumn("_spans", F.lit("mine")).withColumn("_spans_", F.lit(3)), spans).collect()}
+    assert out[1].Text.split() == ["one", "two", "three"] and (out[1]._spans, out[1]._spans_, out[2].Text) == ("mine", 3, None)
+
+
+def test_toxicity_reads_no_more_rows_than_it_says(spark, monkeypatch):
+    rows = toxic_rows(60)
+    df = spark.createDataFrame([r for r in rows for _ in range(20)], "doc_id long, text string, toxic int")
+    held = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda y, *more: held.append(len(y)) or fit(y, *more))
+    toxicity.learn(df, df.select("doc_id", "toxic"), rows=100)
+    assert held in ([100], [])  # not fitted where the sample is of one label
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x430 + i % 30) * 3} {chr(0x430 + i // 30) * 2} sound{i} " * 4, f"l{i:03}") for i in range(260)] + [(900, "klang wort " * 20_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, size=1 << 12)
+    assert len(model) == 261 and 400 < len(model["long"]) <= 512 and model["long"].endswith((b"klang", b"wort"))
+    assert langid.identify(df.where("lang = 'long'"), model).first().lang_pred == "long"
