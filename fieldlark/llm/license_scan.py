@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 SPDX = (
     "MIT Apache-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
     "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC 0BSD MPL-2.0 Unlicense "
-    "EPL-2.0 CC0-1.0 Zlib BSL-1.0 WTFPL CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
+    "EPL-2.0 CC0-1.0 Zlib BSL-1.0 WTFPL CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Artistic-2.0 PSF-2.0 EUPL-1.2"
 ).split()
 #: Known sentences, normalised; fixed values.
 SENTENCES = {
     # MIT
     "released under the mit license": "mit_ref",
     "licensed under the mit license": "mit_ref",
-    "this project is licensed under the mit license": "mit_ref",
     "mit license": "mit_title",
     "the mit license": "mit_title",
     "the mit license mit": "mit_title",
@@ -43,17 +42,20 @@ SENTENCES = {
     # Apache
     "licensed under the apache license version 2 0": "apache2_ref",
     "licensed under the apache license version 2 0 the license": "apache2_ref",
+    "licensed under either of apache license version 2 0": "apache2_ref",
+    "licensed under either of the apache license version 2 0": "apache2_ref",
     "released under the apache license version 2 0": "apache2_ref",
     "you may not use this file except in compliance with the license": "apache2_use",
     "you may obtain a copy of the license at": "apache2_copy",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2_copy",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2_copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_as_is",
+    "apache license version 2 0": "apache2_title",
     "apache license version 2 0 january 2004": "apache2_title",
     "apache license version 2 0 january 2004 http www apache org licenses": "apache2_title",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache2_copyright",
     "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "apache2_definition",
     # GPL, LGPL, AGPL
-    "this work is licensed under the gnu general public license version 3": "gpl3_ref",
     "licensed under the gnu general public license version 3": "gpl3_ref",
     "licensed under the gnu general public license version 2": "gpl2_ref",
     "gnu general public license version 3 29 june 2007": "gpl3_title",
@@ -105,9 +107,20 @@ SENTENCES = {
     "licensed under cc by nc 4 0": "ccbync4_ref",
     "licensed under cc by 4 0": "ccby4_ref",
     "licensed under cc by sa 4 0": "ccbysa4_ref",
-    "this work is licensed under a creative commons attribution 4 0 international license": "ccby4_ref",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4_ref",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4_ref",
+    "licensed under a creative commons attribution 4 0 international license": "ccby4_ref",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4_ref",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4_ref",
+    # Artistic, Python, European Union
+    "the artistic license 2 0": "artistic2_title",
+    "artistic license 2 0": "artistic2_title",
+    "licensed under the artistic license 2 0": "artistic2_title",
+    "psf license agreement for python": "psf_title",
+    "python software foundation license version 2": "psf_title",
+    "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation": "psf_between",
+    "european union public license v 1 2": "eupl12_title",
+    "licensed under the eupl": "eupl12_ref",
+    "licensed under the eupl version 1 2": "eupl12_ref",
+    "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the license": "eupl12_ref",
     "all rights reserved": "reserved",
 } | {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', name.lower())}": f"spdx_{re.sub('[^a-z0-9]+', '_', name.lower())}" for name in SPDX}
 #: Families of (licence, identifiers in order), each tried from the top; fixed values.
@@ -124,6 +137,7 @@ RULES = (
         ("Apache-2.0", ("apache2_ref",)),
         ("Apache-2.0", ("apache2_title",)),
         ("Apache-2.0", ("apache2_definition",)),
+        ("Apache-2.0", ("apache2_copyright",)),
         ("Apache-2.0", ("spdx_apache_2_0",)),
     ),
     (
@@ -181,13 +195,27 @@ RULES = (
     (("Unlicense", ("unlicense_domain", "unlicense_anyone")), ("Unlicense", ("unlicense_domain",)), ("Unlicense", ("spdx_unlicense",))),
     (("CC0-1.0", ("cc0_dedicated",)), ("CC0-1.0", ("cc0_title",)), ("CC0-1.0", ("spdx_cc0_1_0",))),
     (("WTFPL", ("wtfpl_title",)), ("WTFPL", ("wtfpl_terms",)), ("WTFPL", ("spdx_wtfpl",))),
+    (("Artistic-2.0", ("artistic2_title",)), ("Artistic-2.0", ("spdx_artistic_2_0",))),
+    (("PSF-2.0", ("psf_between",)), ("PSF-2.0", ("psf_title",)), ("PSF-2.0", ("spdx_psf_2_0",))),
+    (("EUPL-1.2", ("eupl12_ref",)), ("EUPL-1.2", ("eupl12_title",)), ("EUPL-1.2", ("spdx_eupl_1_2",))),
     (("Proprietary", ("reserved",)),),
 )
+
+
+def _spaced(pattern: str) -> str:
+    """The pattern with each blank standing for blanks and a line's end."""
+    return pattern.replace(" ?", "[ \\t\\n]*").replace(" ", "[ \\t\\n]+")
+
+
 #: What is done to a text, in order, before it is cut at blank lines: (pattern, what replaces it).
 PREPARED = (
     (r"(^|\n)[ \t\r]*(?:/\*+|\*+/?|#+|//+|--+|;+)[ \t]*", r"\1"),
     *[(r"(?i)(spdx-licen[cs]e-identifier:[^\n]*?)[ \t]+(?:or|and)[ \t]+", "\\1\nspdx-license-identifier: ")] * 3,
     (r"(?i)spdx-licen[cs]e-identifier:[ \t]*\(?([a-z0-9.+-]+)", "\n\nspdx-license-identifier-\\1\n\n"),
+    # A holder's name, which may have full stops and be wrapped, stands where a sentence has a placeholder.
+    (_spaced(r"(?i)neither the names? of [^\n]{0,200}(?:\n[^\n]{1,200})? nor the names? of (?:its|their|the|other|any) contributors"), "Neither the name of the copyright holder nor the names of its contributors"),
+    (_spaced(r"(?i)(?:this|the) (?:project|software|library|package|program|work|code|repository|crate|module) is (licen[cs]ed|released) under"), "\\1 under"),
+    (_spaced(r"(?i)(apache license,? version 2\.0)(?: ?\([^)\n]{0,200}\))? or (?:the )?(mit license),? at your option"), "\\1.\n\\2."),
 )
 BLANK_LINE, SENTENCE_END = r"\n[ \t\f\r\n]*\n", r"([.!?;:])[ \t\n\f\r]+"
 
@@ -196,12 +224,13 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's known sentences, in order."""
     known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
     for pattern, new in PREPARED:
-        text = F.regexp_replace(text, pattern, new.replace("\\1", "$1"))
+        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", new))
 
     def named(paragraph: Column) -> Column:
         parts = F.split(F.regexp_replace(paragraph, SENTENCE_END, "$1\n"), "\n")
         plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.replace(F.lower(s), F.lit("licence"), F.lit("license")), "[^a-z0-9]+", " ")))
-        return F.filter(F.transform(plain, lambda s: F.get(F.array(known), F.lit(0))[s]), lambda x: x.isNotNull())
+        told = F.filter(plain, lambda s: s.isin(*sentences))  # a hash set: few sentences get as far as the map, which is searched from its front
+        return F.transform(told, lambda s: F.get(F.array(known), F.lit(0))[s])
 
     def best(paragraph: Column) -> Column:
         joined = F.when(F.contains(paragraph, F.lit("\n")), named(F.replace(paragraph, F.lit("\n"), F.lit(" "))))

@@ -297,3 +297,47 @@ def test_every_language_is_learned(spark):
     model = langid.learn(df, size=1 << 12)
     assert len(model) == 261 and 400 < len(model["long"]) <= 512 and model["long"].endswith((b"klang", b"wort"))
     assert langid.identify(df.where("lang = 'long'"), model).first().lang_pred == "long"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        ("* Neither the name of The Example\n  Project, Ltd. nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.", "BSD-3-Clause"),
+        ("", "BSD-2-Clause"),
+    ],
+)
+def test_bsd_with_a_holders_name(spark, text, names):
+    body = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+    df = spark.createDataFrame([(body + "\n" + text,)], "text string")
+    assert license_scan.scan(df).first().licenses == names
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "MIT,Apache-2.0"),
+        ("Licensed under either of\n\n * Apache License, Version 2.0\n   (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license\n\nat your option.", "MIT,Apache-2.0"),
+        ("The project is licensed under the MIT License.", "MIT"),
+        ("This software is released under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");", "EUPL-1.2"),
+        ("The Artistic License 2.0\n\nCopyright (c) 2000-2006", "Artistic-2.0"),
+        ("PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2\n", "PSF-2.0"),
+        ("Neither the name of the game nor the rules of it were known.", ""),
+    ],
+)
+def test_licence_references(spark, text, names):
+    assert license_scan.scan(spark.createDataFrame([(text,)], "text string")).first().licenses == names
+
+
+def test_licence_scan_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "MIT License. " * 40_000, "x", "y"), (2, None, "x", "y"), (2, None, "x", "y"), (3, "", None, None)], "doc_id long, text string, Licenses string, other string")
+    got = license_scan.scan(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.licenses, r.n_known) for r in got] == [(1, "MIT", 40_000), (2, "", 0), (2, "", 0), (3, "", 0)] and got[0].other == "y"
+    assert license_scan.scan(df.limit(0)).count() == 0
