@@ -108,6 +108,11 @@ def chronological_split(df: DataFrame, day: str, order: list[str], fraction: flo
     return out.withColumn("part", F.when(F.col("_total") < min_train + min_eval, "blocked").when(F.col("row_index") >= F.col("_total") - size, "eval").otherwise("train")).drop("_total")
 
 
+def split_by_date(df: DataFrame, day: str, cut: str) -> DataFrame:
+    """Add ``part``: train before the day ``cut``, eval from it on; a null day trains."""
+    return df.withColumn("part", F.when(F.col(day) >= F.lit(cut).cast("date"), "eval").otherwise("train"))
+
+
 def refit_fold(index: Column, min_train: int, every: int) -> Column:
     """Which refit a row is scored by: a new one every ``every`` rows, none before ``min_train``."""
     return F.when(index >= min_train, F.floor((index - min_train) / every)).cast("int")

@@ -80,6 +80,26 @@ def domain(value: Column, fine: Column) -> Column:
     return F.when(fine, value)
 
 
+def is_probability(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (x >= 0) & (x <= 1), F.lit(False))
+
+
+def is_price(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (x > 1) & (x < float("inf")), F.lit(False))
+
+
+def checked(predicted: Column, observed: Column, fair: Column, taken: Column, closing: Column) -> dict[str, Column]:
+    """Gap, Brier score, difference to the fair share and closing value of a row, each null where its inputs are out of their domain.
+
+    ``observed`` is a hit rate for the gap and an outcome of 0 or 1 for the score.
+    """
+    one, two = is_probability(predicted), is_probability(observed)
+    return {
+        "calibration_gap": domain(predicted - observed, one & two), "brier": domain((predicted - observed) * (predicted - observed), one & F.coalesce(observed.isin(0.0, 1.0), F.lit(False))),
+        "no_vig_delta": domain(predicted - fair, one & is_probability(fair)), "clv_decimal": domain(taken / closing - 1, is_price(taken) & is_price(closing)),
+    }
+
+
 def status(blocked: Column, sample: Column, trust: Column) -> Column:
     """The trust ladder of a report."""
     return F.when(blocked, "blocked_sample").when(sample, "sample_only").when(trust < 0.5, "paper_only").otherwise("evaluated")

@@ -156,6 +156,14 @@ def by_model(rows: DataFrame, models_: list[str]) -> DataFrame:
     return rows.withColumn("model", F.explode(F.array(*map(F.lit, models_))))
 
 
+def base_rates(train: DataFrame, rows: DataFrame, keys: list[str], label: Column, name: str = "base") -> DataFrame:
+    """``rows`` with the share of ``label`` among the training rows of the same ``keys``, else among all of them; null if nothing trains."""
+    hit = F.avg(label.cast("double"))
+    by = train.groupBy(*keys).agg(hit.alias("_own"))
+    all_ = train.agg(hit.alias("_all"))
+    return rows.join(by, keys, "left").crossJoin(F.broadcast(all_)).select(*rows.columns, F.coalesce("_own", "_all").alias(name))  # one row
+
+
 #: Shares of the base rates that are tried, the share where rows are too few, and the least rows to choose on; fixed values.
 SHARES, USUAL_SHARE, LEAST_CHOICE = tuple(k / 20 for k in range(11)), 0.2, 25
 
