@@ -77,28 +77,51 @@ def slices(texts: pa.Array, size: int = _SPLIT) -> Iterator[tuple[int, pa.Array]
 
 
 def words(texts: pa.Array, letters: Alphabet) -> Words:
-    """The words of a slice. Equal words get equal hashes; unequal ones collide with odds of about 2 ** -60."""
+    """The words of a slice. Equal words get equal hashes; unequal ones collide with odds of about 2 ** -60.
+
+    Bytes are looked at in pieces of about _SPLIT that end between words, so that a long text takes little more than its words.
+    """
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     lo, hi = int(offsets[0]), int(offsets[-1])
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8, hi - lo, lo) if hi > lo else np.empty(0, np.uint8)
     offsets = offsets - lo
+    found, at = [], 0
+    while at < len(data):
+        to = _between(data, letters, min(at + _SPLIT, len(data)))
+        edges = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")] - at
+        value, start, end = _piece(data[at:to], edges, letters)
+        found.append((value, start + at, end + at))
+        at = to
+    value, start, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    offset = np.searchsorted(start, offsets)
+    base = np.repeat(offsets[:-1], np.diff(offset))
+    return Words(value, start - base, end - base, offset)
+
+
+def _between(data: np.ndarray, letters: Alphabet, at: int) -> int:
+    """The first place from ``at`` on that is not within a word."""
+    while at < len(data):
+        outside = np.flatnonzero(~letters.word[data[at : at + 4096]])
+        if len(outside):
+            return at + int(outside[0])
+        at += 4096
+    return len(data)
+
+
+def _piece(data: np.ndarray, edges: np.ndarray, letters: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of a piece; ``edges`` are where rows begin within it."""
     inside = np.zeros(len(data) + 1, bool)
     np.take(letters.word, data, out=inside[:-1])
     begins = inside[:-1].copy()
     begins[1:] &= ~inside[:-2]
     ends = inside[:-1] & ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
     both = edges[inside[edges] & inside[edges - 1]]  # a word ends with its row
     begins[both], ends[both - 1] = True, True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters.value[data] * up[: len(data)], out=total[1:])
-    value = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    offset = np.searchsorted(start, offsets)
-    base = np.repeat(offsets[:-1], np.diff(offset))
-    return Words(value, start - base, end - base, offset)
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

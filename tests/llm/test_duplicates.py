@@ -272,3 +272,21 @@ def test_texts_with_a_passage_in_common_alone(spark, monkeypatch):
     df = spark.createDataFrame([(f"k{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.cluster(df, n=4).collect()}
     assert got == {f"k{i:02}": {30: "k03", 31: "k05"}.get(i, f"k{i:02}") for i in range(32)}
+
+
+def test_words_of_pieces_equal_words_of_the_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldlark.llm import textkernel
+
+    rnd = random.Random(15)
+    for _ in range(40):
+        rows = ["".join(rnd.choice("aB é\n.1  ") for _ in range(rnd.randrange(150))) for _ in range(rnd.randrange(9))] + ["x" * 300, ""]
+        texts = pa.array(rows, pa.large_string()).slice(rnd.randrange(2))
+        for letters in (textkernel.SPACED, textkernel.ALPHANUMERIC):
+            monkeypatch.setattr(textkernel, "_SPLIT", 1 << 18)
+            whole = textkernel.words(texts, letters)
+            for size in (5, 64):
+                monkeypatch.setattr(textkernel, "_SPLIT", size)
+                assert all(map(np.array_equal, textkernel.words(texts, letters), whole))
