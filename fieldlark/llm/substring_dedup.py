@@ -188,7 +188,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     found = found.where((F.col("id") != F.col("first.id")) | (F.col("place") == F.col("first.place")) | (F.col("place") >= F.col("first.place") + WORDS))
     found = found.where(F.struct("id", "place") != F.col("first")).groupBy("id", F.col("first.id").alias("first_id"))
     found = stash(found.agg(F.collect_set(F.struct("place", F.col("first.place").alias("first_place"))).alias("anchors")))
-    release(groups)
+    lines = stash(units.where("signature IS NOT NULL"))
+    release(groups, units)
     rows = found.count()
     pairs = found.withColumn("bucket", spread(F.col("id"), rows))
     ends = stash(found.select("id").union(found.select("first_id")).distinct())
@@ -203,7 +204,6 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     spans = spans.agg(F.min("place").alias("first_word"), F.max(F.col("place") + F.col("n_words")).alias("_end"), F.min("first_id").alias("first_id"))
     spans = spans.select("id", "first_word", (F.col("_end") - F.col("first_word")).alias("n_words"), F.lit("window").alias("kind"), "first_id", "removed")
 
-    lines = units.where("signature IS NOT NULL")
     distinct = lines.groupBy(F.col("hash").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"), F.min_by("signature", "id").alias("signature"))
     distinct = stash(distinct)
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("signature", 2 * i), F.get("signature", 2 * i + 1)))
@@ -216,8 +216,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int
     sets = source.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(least_words), "id long, hashes array<long>").join(met.select("id"), "id", "left_semi")
     hashes = stash(sets.groupBy("id").agg(F.first("hashes").alias("hashes")))
     joined = link_lists(met, distinct.select("id", "signature"), hashes, LEAST, share)
+    release(met, hashes)
     classes = distinct.select("id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     classes = stash(classes.select(F.col("id").alias("hash"), "n", F.coalesce("component", "id").alias("class")))
+    release(distinct)
     placed = joined_groups(lines.select("id", "place", "n_words", "hash"), classes, ["hash"]).select("id", "place", "n_words", "class")
     same, _ = with_groups(placed, ["class"], first, last, where=across)
     same = same.select("id", F.col("place").alias("first_word"), "n_words", F.lit("paragraph").alias("kind"), F.col("first.id").alias("first_id"), (F.struct("id", "place") != F.col("first")).alias("removed"))
