@@ -566,13 +566,20 @@ def match_clock_windows(spark, d):
     return snapshots.windowed_counts(read(spark, d, "events"), "ts", "event_type").select("event_type", F.col("start"), "n")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE m AS MATERIALIZED (SELECT o_orderkey AS match_id, c_mktsegment AS competition, c_nationkey AS h, (c_nationkey + 1 + o_orderkey % 23) % 25 AS a, trunc(o_totalprice % 4) AS x, o_orderkey % 3 AS y,
+  row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate::DATE, o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT DISTINCT competition, 0::BIGINT AS k, NULL::BIGINT AS match_id, list_transform(range(25), lambda i: 1500.0::DOUBLE) AS t, NULL::DOUBLE AS hr, NULL::DOUBLE AS ar, NULL::DOUBLE AS e FROM m
+  UNION ALL SELECT competition, k, match_id, list_transform(range(25), lambda i: CASE WHEN i = h THEN hr + 18 * (s - e) WHEN i = a THEN ar - 18 * (s - e) ELSE t[i + 1] END), hr, ar, e
+  FROM (SELECT m.*, t, t[h + 1] AS hr, t[a + 1] AS ar, 1 / (1 + 10 ** ((t[a + 1] - t[h + 1]) / 400)) AS e, CASE WHEN x = y THEN 0.5 WHEN x > y THEN 1.0 ELSE 0.0 END AS s FROM r JOIN m ON m.competition = r.competition AND m.k = r.k + 1))
+SELECT match_id, competition, round(hr, 6) AS home_rating, round(ar, 6) AS away_rating, round(e, 6) AS expected_home FROM r WHERE k > 0
+""")
 def elo_ratings(spark, d):
     o, c = read(spark, d, "orders"), read(spark, d, "customer")
     side = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     score = (F.col("o_totalprice") % 4).cast("int").cast("double")
     rows = side.select(F.col("o_orderkey").alias("match_id"), F.col("c_mktsegment").alias("competition"), F.lit("domestic").alias("kind"), F.to_date("o_orderdate").alias("day"), F.col("c_nationkey").cast("string").alias("home"), ((F.col("c_nationkey") + 1 + F.col("o_orderkey") % 23) % 25).cast("string").alias("away"), score.alias("home_goals"), (F.col("o_orderkey") % 3).cast("double").alias("away_goals"))
-    return ratings.elo(rows)
+    return ratings.elo(rows).select("match_id", "competition", *(r6(x).alias(x) for x in ("home_rating", "away_rating", "expected_home")))
 
 
 @query(None)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlark.operators import dixon_coles, history, hybrid, metrics, models, refits, walkforward
-from fieldlark.operators.lineage import checkpointed
+from fieldlark.operators.lineage import checkpointed, scratch
 from fieldlark.plans.queries import query, r6, read
+from fieldlark.streaming import rated
 
 c = F.col
 #: Orders read as matches of 40 teams; one in three has no score, and statistics are there in four of five.
@@ -61,6 +62,17 @@ def _steps(matches) -> tuple[int, int]:
     return eighth, eighth
 
 
+_EIGHTHS = f"""{_M}, e AS (SELECT greatest(1, count(*) // 8) AS q FROM played), f AS (SELECT *, row_number() OVER (ORDER BY day, match_id) - 1 AS i FROM played),
+g AS (SELECT f.*, CASE WHEN i >= q THEN (i - q) // q ELSE -1 END AS fold FROM f, e), t AS (SELECT DISTINCT fold AS f FROM g WHERE fold >= 0),
+w AS (SELECT t.f AS fold, g.home, g.away, g.home_goals AS x, g.away_goals AS y, exp(-0.001 * (max(day) OVER (PARTITION BY t.f) - day)) AS w FROM t JOIN g ON g.fold < t.f)"""
+
+
+@query(f"""WITH {_EIGHTHS} SELECT fold::INT AS fold, home, away, round(sum(w), 6) AS w, round(sum(w * x), 6) AS x, round(sum(w * y), 6) AS y, """ + ", ".join(f"round(coalesce(sum(w) FILTER (x = {i} AND y = {j}), 0), 6) AS w{i}{j}" for i in (0, 1) for j in (0, 1)) + " FROM w GROUP BY ALL")
+def dixon_coles_sums(spark, d):
+    rows = checkpointed(walkforward.folds(matches := _matches(spark, d), "day", ["match_id"], *_steps(matches)))
+    return dixon_coles.pair_sums(rows, "day", 0.001).select("fold", "home", "away", *(r6(x).alias(x) for x in ("w", "x", "y", "w00", "w01", "w10", "w11")))
+
+
 @query(None)
 def dixon_coles_fits(spark, d):
     rows = checkpointed(walkforward.folds(matches := _matches(spark, d), "day", ["match_id"], *_steps(matches)))
@@ -119,3 +131,32 @@ def softmax_refits(spark, d):
     rows = checkpointed(walkforward.folds(made, "day", ["match_id"], *_steps(matches)))
     scored = refits.probabilities(rows, refits.fit(rows, _SOFT, "outcome", ["H", "D", "A"]), _SOFT, ["H", "D", "A"])
     return refits.report(scored, "outcome", ["H", "D", "A"], ["fold"])
+
+
+#: Ratings before each match by a recursion over a competition's matches, and form from its teams' last five ones.
+_STREAMED = f"""RECURSIVE {_M}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY day, match_id) AS k FROM m),
+r AS (SELECT DISTINCT competition, 0::BIGINT AS k, NULL::BIGINT AS match_id, list_transform(range(40), lambda i: 1500.0::DOUBLE) AS t, NULL::DOUBLE AS hr, NULL::DOUBLE AS ar FROM n
+  UNION ALL SELECT competition, k, match_id, list_transform(range(40), lambda i: CASE WHEN i = home THEN hr + 18 * (s - e) WHEN i = away THEN ar - 18 * (s - e) ELSE t[i + 1] END), hr, ar
+  FROM (SELECT *, CASE WHEN home_goals IS NULL THEN e WHEN home_goals > away_goals THEN 1.0 WHEN home_goals = away_goals THEN 0.5 ELSE 0.0 END AS s FROM (SELECT n.*, t, t[home + 1] AS hr, t[away + 1] AS ar, 1 / (1 + 10 ** ((t[away + 1] - t[home + 1]) / 400)) AS e FROM r JOIN n ON n.competition = r.competition AND n.k = r.k + 1))),
+l AS (SELECT match_id, competition, day, 1 AS side, home AS team, (home_goals > away_goals)::INT AS won FROM m UNION ALL SELECT match_id, competition, day, -1, away, (away_goals > home_goals)::INT FROM m),
+x AS (SELECT match_id, side, list(won) FILTER (won IS NOT NULL) OVER (PARTITION BY competition, team ORDER BY day, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)[-5:] AS w FROM l),
+f AS (SELECT match_id, sum(side * coalesce(list_avg(w), 0.5)) AS form_diff FROM x GROUP BY 1)"""
+
+
+@query(f"WITH {_STREAMED} SELECT match_id, round(hr, 6) AS home_rating, round(ar, 6) AS away_rating, round(form_diff, 6) AS form_diff FROM r JOIN f USING (match_id) WHERE r.k > 0")
+def streamed_ratings(spark, d):
+    """The matches as a stream that comes in three runs, each from the state of the last; rows long after the matches let the watermark pass them."""
+    path, store = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    rows = _matches(spark, d).select("competition", "match_id", F.lit("domestic").alias("kind"), F.to_timestamp("day").alias("kickoff"), c("home").cast("string").alias("home"), c("away").cast("string").alias("away"), "home_goals", "away_goals")
+    end = rows.limit(1).withColumns({"match_id": F.lit(-1).cast("long"), "competition": F.lit("end"), "home_goals": F.lit(None).cast("long"), "away_goals": F.lit(None).cast("long")})
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (rows, end.withColumn("kickoff", F.to_timestamp(F.lit("2100-01-01"))), end.withColumn("kickoff", F.to_timestamp(F.lit("2101-01-01")))):
+            part.select([c(x).cast("long").alias(x) if x.endswith("_goals") else c(x) for x in rows.columns]).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema("competition string, match_id long, kind string, kickoff timestamp, home string, away string, home_goals long, away_goals long").parquet(f"{path}/in")
+            rated.rated(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    out = spark.read.schema(rated.OUT).parquet(f"{path}/out").where("competition <> 'end'")
+    return out.select("match_id", r6("home_rating").alias("home_rating"), r6("away_rating").alias("away_rating"), r6("form_diff").alias("form_diff"))

@@ -68,18 +68,18 @@ class RatedProcessor(StatefulProcessor):
             part = part.assign(time=part["time"].astype("int64"))
             columns = part[["match_id", "kind", "time", "home", "away", "home_goals", "away_goals"]]
             self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in columns.astype(object).itertuples(index=False, name=None)])
-            for t in part["time"].unique().tolist():
-                self.handle.registerTimer(int(t))
+            self.handle.registerTimer(int(part["time"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs()
+        upto = timerValues.getCurrentWatermarkInMs()  # one timer stands for all that has become ready, and the next for what has not
         there = list(self.waiting.get())
         ready = sorted((tuple(r) for r in there if r[2] <= upto), key=lambda r: (r[2], r[0]))
         if not ready:
             return
         if rest := [tuple(r) for r in there if r[2] > upto]:
             self.waiting.put(rest)
+            self.handle.registerTimer(int(min(r[2] for r in rest)))
         else:
             self.waiting.clear()
         known: dict[str, _Team] = {}
