@@ -37,7 +37,7 @@ x AS (SELECT *, least(greatest(mean * least(greatest(hf / mean, 0.35), 3.2) * sq
 
 @query(f"WITH {_WALK} SELECT match_id, fold::INT AS fold, round(lh, 6) AS lambda_home, round(la, 6) AS lambda_away FROM x")
 def walk_forward_rates(spark, d):
-    out = walkforward.poisson(_matches(spark, d), "day", ["match_id"], 1000, 500)
+    out = walkforward.poisson_rates(_matches(spark, d), "day", ["match_id"], 1000, 500)
     return out.select("match_id", "fold", r6("lambda_home").alias("lambda_home"), r6("lambda_away").alias("lambda_away"))
 
 
