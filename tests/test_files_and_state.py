@@ -5,6 +5,7 @@ import json
 import random
 
 import pyarrow.parquet as pq
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,17 @@ def test_streamed_ratings_equal_the_batch_row_by_row(spark, tmp_path):
         assert (s.form_diff, s.strength_diff, s.rest_diff, s.congestion_diff) == pytest.approx((r.form_diff, r.strength_diff, r.rest_diff, r.congestion_diff), abs=2e-6), r.match_id
 
 
+def test_waiting_matches_are_packed_by_competition_and_time(spark):
+    """A backlog is sent and kept by the pack: a state call a match made the longest task 474 microseconds a match."""
+    schema = pa.schema([("competition", pa.string()), ("kickoff", pa.timestamp("us", "UTC")), *((f.name, f.type) for f in rated._ROW)])
+    rows = [(f"c{i % 2}", dt.datetime(2024, 1, 1 + i // 3000, tzinfo=dt.timezone.utc), i // 3000, i, f"h{i % 7}", "a", i % 8) for i in range(6000)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[k : k + 1000], strict=True), schema, strict=True)], schema=schema) for k in range(0, 6000, 1000)]
+    packs = [r for b in rated._packed(iter(parts)) for r in b.to_pylist()]
+    assert sorted((p["competition"], p["time"]) for p in packs) == [("c0", 0), ("c0", 1), ("c1", 0), ("c1", 1)]
+    back = [(p["competition"], p["kickoff"], *r.values()) for p in packs for b in rated._unpacked(len(p["pack"]).to_bytes(8, "little") + p["pack"]) for r in b.to_pylist()]
+    assert sorted(back) == sorted(rows)
+
+
 def test_a_failed_batch_neither_skips_nor_doubles_rows(spark, tmp_path):
     schema = "source_id string, cursor string, n int"
     path, at, checkpoint = (str(tmp_path / x) for x in ("out", "cursors", "c"))
