@@ -57,7 +57,7 @@ def value_reasons(row_class: Column, values: Column, status: Column, missing: Co
         found.append(named("invalid_timestamp_shape", time, own & time_fault(_of(values, time))))
         if price:
             found.append(named("invalid_decimal_price", price, own & price_fault(_of(values, price))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    return F.sort_array(F.array_except(F.array(*found), F.array(F.lit(None).cast("string"))))  # no lambda: the checks stay compiled
 
 
 def validated(rows: DataFrame) -> DataFrame:
@@ -67,15 +67,26 @@ def validated(rows: DataFrame) -> DataFrame:
     return made.select("row_id", "row_class", F.when(F.size("review_reasons") == 0, "value_ok").otherwise("review_required").alias("value_status"), "review_reasons", F.lit(True).alias("quarantine_only"))
 
 
+def _by_reasons(checked: DataFrame) -> DataFrame:
+    """Rows by what is wrong with them, all in one pass; there are few such sets."""
+    return checked.groupBy("value_status", "review_reasons").agg(F.count("*").alias("n"))
+
+
 def reason_counts(checked: DataFrame) -> DataFrame:
     """(reason, rows) over all rows; a reason that no row has is absent."""
-    return checked.select(F.explode("review_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    each = _by_reasons(checked).select("n", F.explode_outer("review_reasons").alias("reason")).where("reason IS NOT NULL")  # a plain explode has its rows filtered first, and all checks made for that again
+    return each.groupBy("reason").agg(F.sum("n").alias("rows"))
 
 
 def readiness(checked: DataFrame) -> DataFrame:
     """One row: rows, those that are fine, those that are not, and what blocks the batch, in order of reason. Nothing is ever ready by itself."""
-    totals = checked.agg(F.count("*").alias("total_rows"), F.count_if(c("value_status") == "value_ok").alias("value_ok_rows"), F.count_if(c("value_status") != "value_ok").alias("blocked_rows"))
-    why = reason_counts(checked).agg(F.sort_array(F.collect_list(F.concat_ws(":", "reason", "rows"))).alias("_why"))  # as many as there are checks
+    fine = c("value_status") == "value_ok"
+    marks = F.array(F.struct(F.when(fine, "ok").otherwise("blocked").alias("kind"), F.lit("").alias("reason")))
+    why = F.transform("review_reasons", lambda r: F.struct(F.lit("why").alias("kind"), r.alias("reason")))
+    each = _by_reasons(checked).select("n", F.inline(F.concat(marks, why))).groupBy("kind", "reason").agg(F.sum("n").alias("n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(c("kind") == kind, c("n"))), F.lit(0))
+    told = F.sort_array(F.collect_list(F.when(c("kind") == "why", F.concat_ws(":", "reason", "n"))))  # as many as there are checks
+    totals = each.agg((of("ok") + of("blocked")).alias("total_rows"), of("ok").alias("value_ok_rows"), of("blocked").alias("blocked_rows"), told.alias("_why"))
     blocked = F.when(c("blocked_rows") > 0, F.array(F.concat(F.lit("review_required_rows:"), "blocked_rows"))).otherwise(F.array().cast("array<string>"))
     ready = [F.lit(False).alias(f"ready_for_{x}") for x in ("bronze_write", "silver_promotion", "evaluation", "training")]
-    return totals.crossJoin(F.broadcast(why)).select("total_rows", "value_ok_rows", "blocked_rows", F.concat(blocked, "_why").alias("blockers"), *ready)  # one row each
+    return totals.select("total_rows", "value_ok_rows", "blocked_rows", F.concat(blocked, "_why").alias("blockers"), *ready)
