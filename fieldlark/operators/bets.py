@@ -9,7 +9,7 @@ from fieldlark.functions.odds import clv, decision, fair_odds, kelly, no_vig, qu
 from fieldlark.functions.scalars import clamp
 from fieldlark.operators import history
 from fieldlark.operators.dedupe import keep_last, top_in_group
-from fieldlark.operators.joins import books
+from fieldlark.operators.joins import books, small
 
 #: The fixed tickets: name -> (risk, legs as market:selection); fixed values.
 TICKETS = {
@@ -33,8 +33,11 @@ def market_probabilities(home: Column, draw: Column, away: Column, over: Column,
 
 
 def value_selections(prices: DataFrame, probabilities: DataFrame, trust: float, keys: list[str] = ["market", "selection"]) -> DataFrame:  # noqa: B006
-    """Prices beside the model's probability: fair odds, edge, Kelly share, decision; markets without one drop out."""
-    out = prices.join(probabilities, keys)
+    """Prices beside the model's probability: fair odds, edge, Kelly share, decision; markets without one drop out.
+
+    A few probabilities go to the prices: by their keys, all prices would meet in as many tasks as there are selections.
+    """
+    out = prices.join(small(probabilities), keys)
     p, odds = F.col("p"), F.col("odds")
     out = out.withColumns({"fair_odds": fair_odds(p), "edge": p * odds - 1, "kelly": F.coalesce(kelly(p, odds), F.lit(0.0)), "quarter_kelly": F.coalesce(quarter_kelly(p, odds), F.lit(0.0))})
     return out.withColumn("decision", decision(F.col("edge"), F.col("kelly"), F.lit(trust)))
