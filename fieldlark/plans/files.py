@@ -21,7 +21,8 @@ def exported_lines(spark, d):
     rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(c("o_custkey") % 7 > 0, c("o_orderpriority")).alias("o_orderpriority"), c("o_orderpriority").alias("_p"))
     ordered = rows.select("o_custkey", "o_orderkey", "o_orderpriority", F.struct("_p", "o_orderkey").alias("_at"))
     path = scratch(spark)
-    made = ordered.repartitionByRange(8, "_at").sortWithinPartitions("_at").select(F.to_json(F.struct("o_custkey", "o_orderkey", "o_orderpriority"), {"ignoreNullFields": "false"}).alias("value"))
+    parts = 1 + rows.count() // exports.PART
+    made = ordered.repartitionByRange(parts, "_at").sortWithinPartitions("_at").select(F.to_json(F.struct("o_custkey", "o_orderkey", "o_orderpriority"), {"ignoreNullFields": "false"}).alias("value"))
     made.write.option("compression", "gzip").text(f"{path}/orders")
     rows_, sha = lines.digest(spark, exports.data_files(spark, f"{path}/orders"))
     return spark.createDataFrame([("orders", rows_, sha)], "name string, rows long, sha256 string")
