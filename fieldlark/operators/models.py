@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +36,23 @@ def score_grid(home: Column, away: Column, rho: Column | None = None, goals: int
 def grid_probabilities(df: DataFrame, home: str, away: str, rho: str | None = None, goals: int = GOALS, normalised: bool = True) -> DataFrame:
     """Add p_home, p_draw, p_away, p_over25, p_btts and the likeliest score (the first in row order), from a grid whose sum is 1 if ``normalised``.
 
-    The grid is an array in the row: no join and no shuffle.
+    Shares of goals are arrays in the row, and cells are their products in plain expressions, added in row order: no join, no shuffle and no
+    lambda, so that all of it is compiled.
     """
-    cells = score_grid(F.col(home), F.col(away), F.col(rho) if rho else None, goals)
-    total = lambda keep: F.aggregate(F.filter("_grid", keep), F.lit(0.0), lambda s, c: s + c["p"])
-    best = F.get(F.filter("_grid", lambda c: c["p"] == F.array_max(F.transform("_grid", lambda x: x["p"]))), F.lit(0))
-    made = df.select(*df.columns, F.explode(F.array(cells)).alias("_grid"))
-    share = {"p_home": lambda c: c["h"] > c["a"], "p_draw": lambda c: c["h"] == c["a"], "p_away": lambda c: c["h"] < c["a"], "p_over25": lambda c: c["h"] + c["a"] > 2, "p_btts": lambda c: (c["h"] > 0) & (c["a"] > 0)}
-    made = made.withColumn("_total", total(lambda c: F.lit(True)) if normalised else F.lit(1.0))
-    return made.select(*df.columns, *((total(keep) / F.col("_total")).alias(n) for n, keep in share.items()), F.concat_ws("-", best["h"], best["a"]).alias("likely_score"))
+    at = range(goals + 1)
+    x, y = F.col(home), F.col(away)
+    tau = {(0, 0): 1 - x * y * F.col(rho), (0, 1): 1 + x * F.col(rho), (1, 0): 1 + y * F.col(rho), (1, 1): 1 - F.lit(1.0) * F.col(rho)} if rho else {}
+    pmf = lambda rate: F.array(*(_pmf(rate, F.lit(k)) for k in at))
+    made = df.select(*df.columns, F.explode(F.array(F.struct(pmf(x).alias("h"), pmf(y).alias("a")))).alias("_g"))
+    cells = {(h, a): c * F.greatest(tau[h, a], F.lit(0.0)) if (h, a) in tau else c for h in at for a in at for c in [F.col("_g.h")[h] * F.col("_g.a")[a]]}
+    total = lambda keep: reduce(add, (p for k, p in cells.items() if keep(*k)))
+    share = {"p_home": lambda h, a: h > a, "p_draw": lambda h, a: h == a, "p_away": lambda h, a: h < a, "p_over25": lambda h, a: h + a > 2, "p_btts": lambda h, a: h > 0 and a > 0}
+    whole = total(lambda h, a: True) if normalised else F.lit(1.0)
+    grid = F.array(*(p for p in cells.values()))
+    first = F.array_position(grid, F.array_max(grid)) - 1
+    best = F.concat_ws("-", F.floor(first / len(at)), first % len(at))
+    sums = made.select(*df.columns, "_g", whole.alias("_total"), *(total(keep).alias(f"_{n}") for n, keep in share.items()))
+    return sums.select(*df.columns, *((F.col(f"_{n}") / F.col("_total")).alias(n) for n in share), best.alias("likely_score"))
 
 
 def multiplicative_rates(df: DataFrame, avg: Column, h: tuple[Column, Column, Column], a: tuple[Column, Column, Column]) -> DataFrame:
