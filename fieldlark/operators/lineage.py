@@ -34,3 +34,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from it; the copy outlives any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stashed(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read from it, by the columns that a reader needs."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task of ``dealt``, about.
+DEALT = 500_000
+
+
+def tasks(*frames: DataFrame) -> int:
+    """Tasks over which the largest of the frames is dealt."""
+    return 1 + max(df.count() for df in frames) // DEALT
+
+
+def dealt(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` by its keys in ``n`` tasks, as many as its rows need: what sorts or groups by these keys or more holds no more at a larger size."""
+    return df.repartition(n, *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.operators import history, metrics, models
+from fieldlark.operators.lineage import dealt, tasks
 
 
 #: Folds whose sums one task carries on at most.
@@ -118,10 +119,12 @@ def form(matches: DataFrame, keys: list[str], day: str, order: list[str], last:
     c = F.col
     won = lambda a, b: (c(a) > c(b)).cast("int")
     long = history.team_long(matches, [c("home"), won("home_goals", "away_goals")], [c("away"), won("away_goals", "home_goals")], ["team", "won"], [*keys, *order, day])
+    long = dealt(long, [*keys, "team"], n := 2 * tasks(matches))
     teams, by, inside = [*keys, "team"], [day, *order], c("won").isNotNull()
     share = lambda df, by_, n, name: history.rolling_filtered(df, by_, by, inside, ["won"], n).withColumn(name, F.coalesce("won_avg", F.lit(0.5))).drop("games", "won_avg")
     before = F.last(F.when(inside, c(day)), ignorenulls=True).over(history.before(teams, by))
     seen = share(share(long, teams, last, "form"), [*teams, "side"], role, "strength").withColumn("rest", F.coalesce(F.datediff(day, before), F.lit(rest)))
+    seen = dealt(seen.select(*keys, *order, "side", "form", "strength", "rest"), [*keys, *order], n)
     both = seen.groupBy(*keys, *order).agg(*(F.max(F.when(c("side") == s, c(x))).alias(f"{s}_{x}") for s in ("home", "away") for x in ("form", "strength", "rest")))
     apart = lambda x: c(f"home_{x}") - c(f"away_{x}")
     tired_ = lambda s: (c(f"{s}_rest") <= tired).cast("int")
