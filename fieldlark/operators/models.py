@@ -194,10 +194,13 @@ def fit_hybrid(train: DataFrame, features: list[str], targets: list[str], day: s
     from pyspark.ml.functions import vector_to_array
 
     from fieldlark.operators import history, walkforward
+    from fieldlark.operators.lineage import stashed
 
     out = {}
+    known = train.withColumns({t: F.col(t).cast("int") for t in targets}).select(*dict.fromkeys([*features, *targets, day, *order]))
+    numbered = stashed(history.running_totals(known, day, order, {f"_at_{t}": F.when(F.col(t).isNotNull(), 1) for t in targets}))  # each fit passes over the rows many times
     for target in targets:
-        rows = history.row_number_in(train.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("int")), day, order)
+        rows = numbered.where(F.col(target).isNotNull()).select(*features, target, F.col(f"_at_{target}").alias("row_index"))
         counts = dict(rows.groupBy(target).count().collect())  # one row a class
         total = sum(counts.values())
         if len(counts) < 2:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlark.operators import dixon_coles, history, hybrid, metrics, models, refits, walkforward
-from fieldlark.operators.lineage import checkpointed, scratch
+from fieldlark.operators.lineage import checkpointed, scratch, stashed
 from fieldlark.plans.queries import query, r6, read
 from fieldlark.streaming import rated
 
@@ -109,7 +109,8 @@ def hybrid_features(spark, d):
 def hybrid_holdout(spark, d):
     """The hybrid model fitted on the first three quarters of the played matches and held against the rolling grid on the rest."""
     there = [f for f in hybrid.FEATURES if not f.startswith(("sot", "fouls", "rank"))]
-    rows = checkpointed(history.chronological_split(walkforward.played(hybrid.features(_matches(spark, d), "day", ["match_id"])), "day", ["match_id"], 0.25))
+    made = stashed(walkforward.played(hybrid.features(_matches(spark, d), "day", ["match_id"])).select("match_id", "day", "outcome", "over25", *there))
+    rows = stashed(history.chronological_split(made, "day", ["match_id"], 0.25))
     code = F.when(c("outcome") == "H", 0).when(c("outcome") == "D", 1).otherwise(2)
     rows = rows.withColumns({"result": code, "over": c("over25")})
     fitted = models.fit_hybrid(rows.where("part = 'train'"), there, ["result", "over"], "day", ["match_id"])
@@ -127,8 +128,8 @@ _SOFT = ["gf_diff", "ga_diff", "form_points_diff"]
 @query(None)
 def softmax_refits(spark, d):
     """Softmax models refitted for each eighth of the played matches, beside the class shares of the same training rows."""
-    made = walkforward.played(hybrid.features(matches := _matches(spark, d), "day", ["match_id"])).select("match_id", "day", "home_goals", "away_goals", "outcome", *_SOFT)
-    rows = checkpointed(walkforward.folds(made, "day", ["match_id"], *_steps(matches)))
+    made = stashed(walkforward.played(hybrid.features(matches := _matches(spark, d), "day", ["match_id"])).select("match_id", "day", "home_goals", "away_goals", "outcome", *_SOFT))
+    rows = stashed(walkforward.folds(made, "day", ["match_id"], *_steps(matches)))
     scored = refits.probabilities(rows, refits.fit(rows, _SOFT, "outcome", ["H", "D", "A"]), _SOFT, ["H", "D", "A"])
     return refits.report(scored, "outcome", ["H", "D", "A"], ["fold"])
 
