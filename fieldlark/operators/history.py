@@ -37,8 +37,8 @@ def rolling_strict(df: DataFrame, keys: list[str], day: Column, values: list[str
     return df.withColumn("_day", number).withColumns({f"{v}_avg": F.avg(v).over(frame) for v in values} | {"games": F.count(F.lit(1)).over(frame)}).drop("_day")
 
 
-def rolling_filtered(df: DataFrame, keys: list[str], order: list[str], counted: Column, values: list[str], n: int = 10) -> DataFrame:
-    """As ``rolling``, but only rows where ``counted`` holds enter the history; all rows get features.
+def rolling_filtered(df: DataFrame, keys: list[str], order: list[str], counted: Column, values: list[str], n: int = 10, carried: tuple[str, ...] = ()) -> DataFrame:
+    """As ``rolling``, but only rows where ``counted`` holds enter the history; all rows get features, and as ``_last`` the ``carried`` columns of the last row that counts.
 
     Rows that do not count sort before those that do, with their values hidden, so that a frame of ``n`` rows
     holds the last counted ones; what a counted row sees is then carried to the rows after it. Both windows have
@@ -46,10 +46,11 @@ def rolling_filtered(df: DataFrame, keys: list[str], order: list[str], counted:
     """
     inside = F.coalesce(counted, F.lit(False))
     own = Window.partitionBy(*keys).orderBy("_in", *order).rowsBetween(1 - n, 0)
-    seen = F.struct(F.count(F.when(F.col("_in"), F.lit(1))).over(own).alias("games"), *(F.avg(F.when(F.col("_in"), F.col(v))).over(own).alias(f"{v}_avg") for v in values))
+    means = (F.avg(F.when(F.col("_in"), F.col(v))).over(own).alias(f"{v}_avg") for v in values)
+    seen = F.struct(F.count(F.when(F.col("_in"), F.lit(1))).over(own).alias("games"), *means, *(F.col(k).alias(f"{k}_last") for k in carried))
     rows = df.withColumn("_in", inside).withColumn("_seen", F.when(F.col("_in"), seen))
     last = rows.withColumn("_last", F.last("_seen", ignorenulls=True).over(before(keys, order)))
-    return last.select(*df.columns, F.coalesce("_last.games", F.lit(0).cast("long")).alias("games"), *(F.col(f"_last.{v}_avg").alias(f"{v}_avg") for v in values))
+    return last.select(*df.columns, F.coalesce("_last.games", F.lit(0).cast("long")).alias("games"), *(F.col(f"_last.{x}").alias(x) for x in (*(f"{v}_avg" for v in values), *(f"{k}_last" for k in carried))))
 
 
 def expanding(df: DataFrame, keys: list[str], order: list[str], values: list[str], digits: int = 4, ready: int = 3) -> DataFrame:

@@ -101,7 +101,7 @@ _ROUNDED = ["gf_diff", "ga_diff", "shots_for_diff", "shots_against_diff", "corne
 
 @query(f"WITH {_SHAPE} SELECT match_id, round(lh, 6) AS lambda_home, round(la, 6) AS lambda_away, games_home, games_away, rest_days_diff, {', '.join(f'round({x}, 6) AS {x}' for x in _ROUNDED)} FROM f")
 def hybrid_features(spark, d):
-    out = hybrid.features(_matches(spark, d), "day", ["match_id"])
+    out = hybrid.features(_matches(spark, d), "day", ["match_id"], grid=False)
     return out.select("match_id", r6("lambda_home").alias("lambda_home"), r6("lambda_away").alias("lambda_away"), "games_home", "games_away", "rest_days_diff", *(r6(x).alias(x) for x in _ROUNDED))
 
 
@@ -128,7 +128,7 @@ _SOFT = ["gf_diff", "ga_diff", "form_points_diff"]
 @query(None)
 def softmax_refits(spark, d):
     """Softmax models refitted for each eighth of the played matches, beside the class shares of the same training rows."""
-    made = stashed(walkforward.played(hybrid.features(matches := _matches(spark, d), "day", ["match_id"])).select("match_id", "day", "home_goals", "away_goals", "outcome", *_SOFT))
+    made = stashed(walkforward.played(hybrid.features(matches := _matches(spark, d), "day", ["match_id"], grid=False)).select("match_id", "day", "home_goals", "away_goals", "outcome", *_SOFT))
     rows = stashed(walkforward.folds(made, "day", ["match_id"], *_steps(matches)))
     scored = refits.probabilities(rows, refits.fit(rows, _SOFT, "outcome", ["H", "D", "A"]), _SOFT, ["H", "D", "A"])
     return refits.report(scored, "outcome", ["H", "D", "A"], ["fold"])

@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from fieldlark.operators import bets, bronze_rules, lineage, models, walkforward
+from fieldlark.operators import bets, bronze_rules, history, hybrid, lineage, models, walkforward
+from fieldlark.plans import walks
 from fieldlark.sources import hashes
 
 
@@ -40,3 +41,18 @@ def test_more_rows_are_dealt_over_more_tasks(spark, monkeypatch):
     assert lineage.tasks(day) == 10
     out = walkforward.form(day, ["k"], "day", ["id"])
     assert ", 20), REPARTITION_BY_NUM" in _plan(out) and out.count() == 95
+
+
+def test_hybrid_features_deal_rows_and_make_no_unused_grid(spark, monkeypatch):
+    assert "EXP(" not in _plan(walks.hybrid_features(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(lineage, "DEALT", 10)
+    rows = spark.range(95).select(F.to_date(F.lit("2024-01-01")).alias("day"), F.col("id"), (F.col("id") % 4).alias("home"), (F.col("id") % 4 + 4).alias("away"), F.lit(1).alias("home_goals"), F.lit(0).alias("away_goals"))
+    whole, plain = hybrid.features(rows, "day", ["id"]), hybrid.features(rows, "day", ["id"], grid=False)
+    assert ", 20), REPARTITION_BY_NUM" in _plan(plain)
+    assert whole.drop(*hybrid.GRID).columns == plain.columns and sorted(whole.drop(*hybrid.GRID).collect()) == sorted(plain.collect())
+
+
+def test_filtered_history_carries_columns_of_the_last_counted_row(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("a", 4, None), ("b", 5, None), (None, 6, 1), (None, 7, 2)], "team string, id long, goals int")
+    got = {r.id: (r.games, r.id_last) for r in history.rolling_filtered(rows, ["team"], ["id"], F.col("goals").isNotNull(), ["goals"], 4, ("id",)).collect()}
+    assert got == {1: (0, None), 2: (1, 1), 3: (1, 1), 4: (2, 3), 5: (0, None), 6: (0, None), 7: (1, 6)}
